@@ -119,7 +119,8 @@ def invoice_items(sums: DataFrame, params: PricingParams = PricingParams()) -> D
     ``total_vat_inc = pricing * forex / margin * vat`` in exact decimals; the unit price is
     Σpricing ÷ Σquantity (0 when Σquantity is 0 or missing)."""
     priced = _priced(sums, params)
-    return priced.select(*_scope(sums), *LINE_COLS, "tags", *_amounts())
+    tags = ["tags"] if "tags" in sums.columns else []
+    return priced.select(*_scope(sums), *LINE_COLS, *tags, *_amounts())
 
 
 def invoice_subtotals(sums: DataFrame, params: PricingParams = PricingParams()) -> DataFrame:

@@ -37,7 +37,7 @@ def dec_text(expr: str, min_frac: int = 0) -> str:
         return t
     frac = f"(CASE WHEN contains({t}, '.') THEN split_part({t}, '.', 2) ELSE '' END)"
     return (f"(CASE WHEN ({expr}) IS NULL THEN NULL ELSE split_part({t}, '.', 1) || '.' || "
-            f"rpad({frac}, greatest(length({frac}), {min_frac}), '0') END)")
+            f"rpad({frac}, CAST(greatest(length({frac}), {min_frac}) AS INTEGER), '0') END)")
 
 
 def unscaled(expr: str) -> str:
