@@ -17,9 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterbook.functions.text import contains_ci, equals_ci, like_contains_ci, non_blank
-from meterbook.schema import CONTAINS_FILTER_COLUMNS, EQUALITY_FILTER_COLUMNS, SEARCH_COLUMNS
-
-LOWER_SUFFIX = "_lc"
+from meterbook.schema import CONTAINS_FILTER_COLUMNS, EQUALITY_FILTER_COLUMNS, LOWER_SUFFIX, SEARCH_COLUMNS
 
 
 def _present(value) -> bool:

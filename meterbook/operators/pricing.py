@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from meterbook.functions.numbers import strict_double
 from meterbook.params import PricingParams
-from meterbook.schema import COMPUTED_COLUMNS
+from meterbook.schema import COMPUTED_COLUMNS, is_helper
 
 
 def drop_computed_names(df: DataFrame) -> DataFrame:
-    """A source column named like a computed one (any case) gives way to the computed one."""
-    clash = [c for c in df.columns if c.lower() in {n.lower() for n in COMPUTED_COLUMNS}]
-    return df.drop(*clash) if clash else df
+    """A source column named like a computed one (any case) gives way to the computed one;
+    storage helper columns are not shown either."""
+    computed = {n.lower() for n in COMPUTED_COLUMNS}
+    hidden = [c for c in df.columns if c.lower() in computed or is_helper(c)]
+    return df.drop(*hidden) if hidden else df
 
 
 def grid_pricing(params: PricingParams, amount: str = "PricingPreTaxTotal") -> dict:

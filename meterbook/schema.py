@@ -71,3 +71,10 @@ INVOICE_SCOPE_KEYS = ("CustomerName", "CustomerDomainName", "InvoiceNumber")
 ROW_ID = "_row_id"
 UPLOAD_ID = "upload_id"
 CORRUPT_RECORD = "_corrupt_record"
+SOURCE_FILE = "_source_file"
+LOWER_SUFFIX = "_lc"
+
+
+def is_helper(column: str) -> bool:
+    """Storage helper columns that reports do not show."""
+    return column in (CORRUPT_RECORD, SOURCE_FILE) or column.endswith(LOWER_SUFFIX)
