@@ -15,9 +15,11 @@ def _col(c) -> Column:
 
 
 def lenient_date(col) -> Column:
-    """``TRY_CAST(x AS DATE)`` restricted to year-month-day text; anything else is null."""
+    """``TRY_CAST(x AS DATE)`` restricted to year-month-day text; anything else is null.
+    ``2024/01/05`` reads as ``2024-01-05``."""
     c = _col(col)
-    return F.when(c.rlike(_ISO_DATE_PREFIX), c.try_cast(T.DateType()))
+    dashed = F.regexp_replace(c, r"^(\s*\d{4})/(\d{1,2})/(\d{1,2})", "$1-$2-$3")
+    return F.when(c.rlike(_ISO_DATE_PREFIX), dashed.try_cast(T.DateType()))
 
 
 def usage_day(usage_date="UsageDate", charge_start="ChargeStartDate") -> Column:

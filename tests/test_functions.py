@@ -1,0 +1,145 @@
+"""Column functions: text predicates, numbers, dates (cross-checked with DuckDB where the
+reference's engine defines the behaviour)."""
+
+from decimal import Decimal
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from meterbook.functions import dates, numbers, text
+
+
+def _duck(sql, params):
+    return duckdb.connect().execute(sql, params)
+
+
+def _one(spark, expr, data, schema):
+    return [r[0] for r in spark.createDataFrame(data, schema).select(expr).collect()]
+
+
+@pytest.mark.parametrize("term, value, expected", [
+    ("50%", "a 50% off", True),      # '%' is a wildcard: matches anything after 50
+    ("50%", "500 units", True),
+    ("a_b", "xaZby", True),          # '_' matches one character
+    ("a_b", "ab", False),
+    ("a\\b", "path a\\b here", True),  # backslash is an ordinary character
+    ("RED", "red widget", True),
+    ("zzz", None, None),
+])
+def test_like_contains_matches_duckdb(spark, term, value, expected):
+    got = _one(spark, text.like_contains_ci("v", term), [(value,)], "v string")[0]
+    duck = _duck("SELECT lower(v) LIKE '%' || lower(?) || '%' FROM (SELECT ?::VARCHAR AS v)",
+                 [term, value]).fetchone()[0]
+    assert got == duck == expected
+
+
+def test_equals_and_contains_ignore_case(spark):
+    rows = [("Machinery.Example.com",), ("other",), (None,)]
+    eq = _one(spark, text.equals_ci("v", "MACHINERY.example.COM"), rows, "v string")
+    assert eq == [True, False, None]
+    cont = _one(spark, text.contains_ci("v", "EXAMPLE"), rows, "v string")
+    assert cont == [True, False, None]
+
+
+def test_non_blank_and_labels(spark):
+    rows = [(None,), ("",), ("  ",), ("x",)]
+    assert _one(spark, text.non_blank("v"), rows, "v string") == [False, False, False, True]
+    assert _one(spark, text.label_or("v", "Unknown"), rows, "v string") == ["Unknown", "Unknown", "  ", "x"]
+    assert _one(spark, text.blank_to_null("v"), rows, "v string") == [None, None, None, "x"]
+
+
+def test_first_usable_and_choice_label(spark):
+    rows = [("", "E1"), (None, None), ("Plan 1", "E1")]
+    assert _one(spark, text.first_usable("a", "b"), rows, "a string, b string") == ["E1", "", "Plan 1"]
+    lab = _one(spark, text.choice_label("v", "d"), [("acme", "ACME"), ("x1", "Acme"), ("v", None)], "v string, d string")
+    assert lab == ["ACME", "Acme (x1)", "v"]
+
+
+@pytest.mark.parametrize("value, minimum, expected", [
+    ("100", 0, "100"), ("0", 0, "0"), ("1.5", 0, "1.5"), ("-0.1", 0, "-0.1"),
+    ("0.000000000001", 0, "0.000000000001"), ("1.5", 2, "1.50"), ("100", 2, "100.00"),
+    ("12.3456", 2, "12.3456"), ("-3", 2, "-3.00"),
+])
+def test_decimal_text(spark, value, minimum, expected):
+    got = _one(spark, numbers.decimal_text(F.col("v").cast(numbers.MONEY), minimum), [(value,)], "v string")[0]
+    assert got == expected
+
+
+def test_decimal_text_null(spark):
+    assert _one(spark, numbers.decimal_text(F.col("v").cast(numbers.MONEY), 2), [(None,)], "v string") == [None]
+
+
+@pytest.mark.parametrize("value", ["abc", "", "1,000", "1e3", " 2 ", ".5", "5.", "NaN", "inf", "0.0000000000005"])
+def test_lenient_decimal_agrees_with_duckdb(spark, value):
+    got = _one(spark, numbers.lenient_decimal("v"), [(value,)], "v string")[0]
+    duck = _duck("SELECT TRY_CAST(?::VARCHAR AS DECIMAL(38,12))", [value]).fetchone()[0]
+    assert got == duck
+
+
+def test_strict_cast_fails_on_bad_number(spark):
+    df = spark.createDataFrame([("12.5",), ("abc",)], "v string")
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT|cannot be cast"):
+        df.select(F.sum(numbers.strict_double("v"))).collect()
+
+
+def test_weighted_price_rules(spark):
+    schema = "p decimal(38,12), q decimal(38,12)"
+    rows = [(Decimal("10"), Decimal("4")), (Decimal("10"), Decimal("0")), (Decimal("10"), None), (None, Decimal("3"))]
+    dec = _one(spark, numbers.weighted_price("p", "q"), rows, schema)
+    assert dec == [Decimal("2.5"), Decimal("0"), None, None]
+    dbl = _one(spark, numbers.weighted_price_double("p", "q"), rows, schema)
+    assert dbl == [2.5, 0.0, None, None]
+
+
+def test_priced_decimal_is_exact_and_typed(spark):
+    df = spark.createDataFrame([(Decimal("12345.6789"),), (Decimal("-1.5"),)], "p decimal(38,12)")
+    out = df.select(numbers.priced_decimal("p", Decimal("56.25"), Decimal("0.85"), Decimal("1.12")).alias("v"))
+    assert out.schema["v"].dataType.simpleString() == "decimal(38,12)"
+    vals = [r.v for r in out.collect()]
+    exact = [Decimal("12345.6789") * Decimal("63") / Decimal("0.85"), Decimal("-1.5") * Decimal("63") / Decimal("0.85")]
+    from decimal import ROUND_HALF_UP
+    assert vals == [e.quantize(Decimal("1e-12"), rounding=ROUND_HALF_UP) for e in exact]
+
+
+@pytest.mark.parametrize("forex, margin, vat", [(1, 1, "1.12"), ("0.0123456789", "1.25", "1.2"), ("56.25", "0.85", "1.12")])
+def test_priced_decimal_various_rates(spark, forex, margin, vat):
+    from decimal import ROUND_HALF_UP
+    p = Decimal("98765.4321")
+    out = spark.createDataFrame([(p,)], "p decimal(38,12)").select(
+        numbers.priced_decimal("p", Decimal(forex), Decimal(margin), Decimal(vat)).alias("v")).first().v
+    exact = p * Decimal(forex) * Decimal(vat) / Decimal(margin)
+    assert abs(out - exact) <= Decimal("1e-12")
+    assert out == exact.quantize(Decimal("1e-12"), rounding=ROUND_HALF_UP)
+
+
+def test_money_text(spark):
+    vals = _one(spark, numbers.money_text("v"), [(1234.5,), (0.125,), (2.675,), (None,), (float("nan"),)], "v double")
+    assert vals[3:] == ["0.00", "0.00"]
+    py = ["{:,.2f}".format(x) for x in (1234.5, 0.125, 2.675)]
+    assert vals[:3] == py
+
+
+@pytest.mark.parametrize("value", ["2024-01-05", "2024-1-5", "2024/01/05", "2024-01-05T00:00:00",
+                                   "1/5/2024", "20240105", "2024-02-30", "2024-01", "", None, " 2024-03-04"])
+def test_lenient_date_agrees_with_duckdb(spark, value):
+    got = _one(spark, dates.lenient_date("v"), [(value,)], "v string")[0]
+    duck = _duck(
+        "SELECT CASE WHEN regexp_matches(v, '^\\s*\\d{4}[-/]\\d{1,2}[-/]\\d{1,2}') THEN TRY_CAST(v AS DATE) END "
+        "FROM (SELECT ?::VARCHAR AS v)", [value]).fetchone()[0]
+    assert got == duck, value
+
+
+def test_lenient_date_rejects_partial_dates(spark):
+    got = _one(spark, dates.lenient_date("v"), [("2024-01",), ("1/5/2024",), ("2024-02-30",)], "v string")
+    assert got == [None, None, None]
+
+
+@pytest.mark.parametrize("start, end, label", [
+    ("2024-01-05", "2024-01-31", "January 2024"),
+    ("2024-01-05", "2024-02-03", "Jan 05, 2024 - Feb 03, 2024"),
+    (None, "2024-02-03", "N/A"),
+    ("garbage", "2024-02-03", "N/A"),
+])
+def test_period_label(spark, start, end, label):
+    assert _one(spark, dates.period_label("s", "e"), [(start, end)], "s string, e string") == [label]
