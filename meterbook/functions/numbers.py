@@ -99,16 +99,19 @@ def priced_decimal(amount, forex: Decimal, margin: Decimal, vat: Decimal) -> Col
 
 def decimal_text(col, min_fraction_digits: int = 0) -> Column:
     """Plain decimal text without trailing zeros (``100``, ``1.5``, ``-0.1``), padded to a
-    minimum number of fraction digits when asked (``1.5`` → ``1.50``)."""
-    text = _col(col).cast(T.StringType())
-    trimmed = F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    minimum number of fraction digits when asked (``1.5`` → ``1.50``).
+
+    The value is rendered at scale 12 (always with a dot), so trimming trailing ``0`` and
+    then ``.`` characters only touches the fraction."""
+    text = _col(col).cast(MONEY).cast(T.StringType())
+    trimmed = F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))
     if min_fraction_digits <= 0:
         return trimmed
     has_dot = trimmed.contains(".")
     integer = F.substring_index(trimmed, ".", 1)
     fraction = F.when(has_dot, F.substring_index(trimmed, ".", -1)).otherwise(F.lit(""))
     padded = F.rpad(fraction, F.greatest(F.length(fraction), F.lit(min_fraction_digits)), "0")
-    return F.when(text.isNull(), F.lit(None)).otherwise(F.concat(integer, F.lit("."), padded))
+    return F.concat(integer, F.lit("."), padded)
 
 
 def money_text(col) -> Column:
