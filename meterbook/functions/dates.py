@@ -35,3 +35,13 @@ def period_label(start_text, end_text) -> Column:
     span = F.concat(F.date_format(start, "MMM dd, yyyy"), F.lit(" - "), F.date_format(end, "MMM dd, yyyy"))
     label = F.when(same_month, F.date_format(start, "MMMM yyyy")).otherwise(span)
     return F.when(start.isNull() | end.isNull(), F.lit("N/A")).otherwise(label)
+
+
+def display_date(col) -> Column:
+    """``2024-01-05`` text of a date or timestamp."""
+    return F.date_format(_col(col), "yyyy-MM-dd")
+
+
+def display_datetime(col) -> Column:
+    """``2024-01-05 13:45`` text of a timestamp."""
+    return F.date_format(_col(col), "yyyy-MM-dd HH:mm")

@@ -115,8 +115,9 @@ def decimal_text(col, min_fraction_digits: int = 0) -> Column:
 
 
 def money_text(col) -> Column:
-    """Display amount: thousands separators and 2 decimals; missing or NaN shows ``0.00``."""
-    x = _col(col).cast(T.DoubleType())
+    """Display amount: thousands separators and 2 decimals (half-even on the binary value,
+    like ``'{:,.2f}'``); missing, unreadable or NaN shows ``0.00``."""
+    x = _col(col).try_cast(T.DoubleType())
     return F.format_number(F.coalesce(F.nanvl(x, F.lit(0.0)), F.lit(0.0)), 2)
 
 

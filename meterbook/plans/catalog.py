@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterbook.operators import choices, detail, invoice, pricing, ranking, summary
+from meterbook.operators import choices, detail, display, invoice, pricing, ranking, summary
 from meterbook.operators.filters import UsageFilter
 from meterbook.params import PricingParams
 from meterbook.sources.fixture import billing_view
@@ -159,6 +159,14 @@ def q_invoice_batch_period(spark, sf_dir):
     return invoice.invoice_period(_sums(spark, sf_dir, batch=True))
 
 
+def q_money_format(spark, sf_dir):
+    return display.grid_display(detail.standard_view(_view(spark, sf_dir), PARAMS))
+
+
+def q_invoice_display(spark, sf_dir):
+    return display.invoice_display(invoice.invoice_items(_sums(spark, sf_dir), PARAMS))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ingest_profile": q_ingest_profile,
     "detail_page": q_detail_page,
@@ -187,4 +195,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "invoice_batch": q_invoice_batch,
     "invoice_batch_totals": q_invoice_batch_totals,
     "invoice_batch_period": q_invoice_batch_period,
+    "money_format": q_money_format,
+    "invoice_display": q_invoice_display,
 }

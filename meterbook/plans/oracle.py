@@ -284,6 +284,30 @@ def _strategy_pricing() -> str:
             f"ON b.CustomerName = s.customer_name")
 
 
+def money_text(expr: str) -> str:
+    x = f"TRY_CAST({expr} AS DOUBLE)"
+    return f"format('{{:,.2f}}', COALESCE(CASE WHEN isnan({x}) THEN 0 ELSE {x} END, CAST(0 AS DOUBLE)))"
+
+
+MONEY_COLUMNS = ("UnitPrice", "PricingPreTaxTotal", "BillingPreTaxTotal", "PreTaxWithForex", "TotalVATEx", "TotalVATInc")
+
+
+def _money_format() -> str:
+    g = grid()
+    cols = []
+    for n in STANDARD_VIEW:
+        e = g.get(n, n)
+        cols.append(f"{money_text(e)} AS {n}" if n in MONEY_COLUMNS else f"{e} AS {n}")
+    return f"{WITH_BILLING} SELECT {', '.join(cols)} FROM billing"
+
+
+def _invoice_display() -> str:
+    labels = ", ".join(f"COALESCE(NULLIF({c}, ''), '-') AS {c}" for c in ("meter_category", "meter_sub_category", "meter_name", "meter_type", "unit"))
+    return (f"{invoice_with()} SELECT {labels}, {money_text(to_double('qd'))} AS quantity, {money_text('u')} AS unit_price, "
+            f"{money_text(to_double('vd'))} AS total_vat_inc, COALESCE(NULLIF(tags, ''), '-') AS tags, "
+            f"COALESCE(NULLIF(entitlement_description, ''), NULLIF(entitlement_id, ''), '-') AS entitlement FROM priced")
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "ingest_profile": _ingest_profile(),
@@ -317,4 +341,6 @@ def oracle_sql() -> dict[str, str]:
         "invoice_batch": f"{invoice_with(True)} SELECT {SCOPE_COLS}, {LINE_COLS}, tags, {amounts()} FROM priced",
         "invoice_batch_totals": f"{totals_with(True)} {totals_select(True)}",
         "invoice_batch_period": f"{WITH_BILLING}, {sums_cte(True)} {period_select(True)}",
+        "money_format": _money_format(),
+        "invoice_display": _invoice_display(),
     }
