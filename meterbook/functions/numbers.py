@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from meterbook.schema import DECIMAL_SUFFIX
+
 # Exact type of money and quantity sums.
 MONEY = T.DecimalType(38, 12)
 # Narrower operand type for division, so that the quotient keeps 12 fraction digits.
@@ -37,13 +39,34 @@ def lenient_double(col) -> Column:
     return _col(col).try_cast(T.DoubleType())
 
 
+def amount(df, name: str, strict: bool) -> Column:
+    """DECIMAL(38,12) value of the text amount column ``name`` of ``df``.
+
+    When the table carries the copy parsed at ingest (``<name>_dec``, lenient), that copy is
+    used and no text is parsed; the strict form then fails the query on text the copy could
+    not read, as a strict cast of the text would."""
+    typed = name + DECIMAL_SUFFIX
+    if typed in df.columns:
+        if not strict:
+            return F.col(typed)
+        unreadable = F.col(name).isNotNull() & F.col(typed).isNull()
+        message = F.concat(F.lit("[CAST_INVALID_INPUT] The value '"), F.col(name),
+                           F.lit(f"' of column {name} cannot be cast to DECIMAL(38,12)."))
+        return F.when(unreadable, F.raise_error(message)).otherwise(F.col(typed))
+    return strict_decimal(name) if strict else lenient_decimal(name)
+
+
 def money_sum(col, strict: bool = True) -> Column:
     """Exact sum of a text amount column as DECIMAL(38,12), 0 when there is nothing to sum.
 
     A decimal sum does not depend on partitioning or task order, unlike a double sum,
-    so the same data gives the same total on any cluster layout.
+    so the same data gives the same total on any cluster layout. ``col`` may also be an
+    already-decimal column (see :func:`amount`).
     """
-    value = strict_decimal(col) if strict else lenient_decimal(col)
+    if isinstance(col, Column):
+        value = col
+    else:
+        value = strict_decimal(col) if strict else lenient_decimal(col)
     return F.coalesce(F.sum(value), F.lit(Decimal(0)).cast(MONEY))
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from meterbook.functions.dates import period_label
 from meterbook.functions.numbers import (
-    MONEY, decimal_text, lenient_decimal, priced_decimal, to_double, weighted_price,
+    MONEY, amount, decimal_text, priced_decimal, to_double, weighted_price,
     weighted_price_double,
 )
 from meterbook.functions.text import blank_to_null, first_usable, label_or
@@ -69,9 +69,9 @@ def line_sums(df: DataFrame, flt: UsageFilter | None = None, batch: bool = False
             shown.append(F.min(src).alias(name))
     keys += [F.col(src).alias(name) for src, name in LINE_NAMES.items()]
     aggs = [
-        F.sum(lenient_decimal("Quantity")).alias("_q"),
-        F.sum(lenient_decimal("PricingPreTaxTotal")).alias("_p"),
-        F.sum(lenient_decimal("BillingPreTaxTotal")).alias("_b"),
+        F.sum(amount(base, "Quantity", strict=False)).alias("_q"),
+        F.sum(amount(base, "PricingPreTaxTotal", strict=False)).alias("_p"),
+        F.sum(amount(base, "BillingPreTaxTotal", strict=False)).alias("_b"),
         F.min(F.coalesce(F.col("UsageDate"), F.col("ChargeStartDate"))).alias("_start"),
         F.max(F.coalesce(F.col("UsageDate"), F.col("ChargeEndDate"))).alias("_end"),
     ]

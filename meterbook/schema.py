@@ -73,8 +73,12 @@ UPLOAD_ID = "upload_id"
 CORRUPT_RECORD = "_corrupt_record"
 SOURCE_FILE = "_source_file"
 LOWER_SUFFIX = "_lc"
+DECIMAL_SUFFIX = "_dec"
+
+# Amount columns stored a second time, parsed, at ingest.
+AMOUNT_COLUMNS = ("Quantity", "PricingPreTaxTotal", "BillingPreTaxTotal")
 
 
 def is_helper(column: str) -> bool:
     """Storage helper columns that reports do not show."""
-    return column in (CORRUPT_RECORD, SOURCE_FILE) or column.endswith(LOWER_SUFFIX)
+    return column in (CORRUPT_RECORD, SOURCE_FILE) or column.endswith((LOWER_SUFFIX, DECIMAL_SUFFIX))

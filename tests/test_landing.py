@@ -189,3 +189,30 @@ def test_streaming_landing_is_exactly_once(spark, usage_files, tmp_path):
     state = mf.latest(mf.read(spark, man)).collect()
     assert len(state) == 2 and {r.status for r in state} == {"completed"}
     assert spark.read.parquet(root).count() == 6000 + sum(r.row_count for r in state if r.original_filename == "feb.csv")
+
+
+def test_parsed_amounts_keep_strict_and_lenient_rules(spark, tmp_path):
+    from meterbook.operators import ranking, summary
+
+    text = ("CustomerName,PricingPreTaxTotal,BillingPreTaxTotal,Quantity,MeterCategory\n"
+            "a,10.5,1,2,C\nb,abc,2,n/a,C\nc,,3,1,C\n")
+    path = _write(tmp_path / "amounts.csv", text)
+    root, man = str(tmp_path / "wh"), str(tmp_path / "mf")
+    wh.land_upload(spark, str(path), root, man, 3)
+    stored = wh.read_uploads(spark, root, 3)
+    assert "PricingPreTaxTotal_dec" in stored.columns
+    assert "PricingPreTaxTotal_dec" not in __import__("meterbook").operators.detail.priced_detail(stored, P).columns
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        summary.billing_summary(stored, P).collect()
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        ranking.top_customers(stored, 3).collect()
+    prof = summary.ingest_profile(stored).first()
+    assert prof.pricing_pretax_total == 10.5 and prof.row_count == 3
+    line = invoice.invoice_items(invoice.line_sums(stored), P).first()
+    assert (line.quantity_raw, line.pricing_pretax_total_raw) == ("3", "10.50")
+    # same answers as reading the text directly
+    raw = stored.drop(*[c for c in stored.columns if c.endswith("_dec")])
+    assert invoice.invoice_items(invoice.line_sums(raw), P).first() == line
+    good = stored.where("CustomerName <> 'b'")
+    assert summary.billing_summary(good, P).first() == summary.billing_summary(
+        good.drop(*[c for c in good.columns if c.endswith("_dec")]), P).first()
