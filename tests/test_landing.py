@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meterbook import PricingParams
-from meterbook.operators import invoice
+from meterbook.operators import detail, invoice
 from meterbook.schema import USAGE_COLUMNS
 from meterbook.sources import exports
 from meterbook.sources import manifest as mf
@@ -201,7 +201,7 @@ def test_parsed_amounts_keep_strict_and_lenient_rules(spark, tmp_path):
     wh.land_upload(spark, str(path), root, man, 3)
     stored = wh.read_uploads(spark, root, 3)
     assert "PricingPreTaxTotal_dec" in stored.columns
-    assert "PricingPreTaxTotal_dec" not in __import__("meterbook").operators.detail.priced_detail(stored, P).columns
+    assert "PricingPreTaxTotal_dec" not in detail.priced_detail(stored, P).columns
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
         summary.billing_summary(stored, P).collect()
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
