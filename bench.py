@@ -2,6 +2,7 @@
 
 Setup (not timed): the usage table is derived from the driver's tables in $BENCH_SF_DIR
 and written as one CSV export, the input the product receives (about 150 MB at sf0.1).
+All files go to a new folder under the session's shared ``spark.checkpoint.dir``.
 
 Timed steps, on local[$BENCH_CPUS]:
   ingest            CSV → warehouse partition (+ profile and manifest entries); timed on
@@ -18,8 +19,8 @@ import json
 import os
 import re
 import sys
-import tempfile
 import time
+import uuid
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F  # noqa: E402
 from meterbook import PricingParams, UsageFilter, invoice_scope  # noqa: E402
 from meterbook.operators import choices, detail, invoice, ranking, summary  # noqa: E402
 from meterbook.schema import USAGE_COLUMNS  # noqa: E402
+from meterbook.session import shared_dir  # noqa: E402
 from meterbook.sources import exports, warehouse as wh  # noqa: E402
 from meterbook.sources.fixture import billing_view  # noqa: E402
 
@@ -68,7 +70,7 @@ def timed(fn, runs=RUNS) -> float:
 
 def main() -> None:
     spark = session()
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="meterbook-bench-")
+    base = shared_dir(spark, f"meterbook-bench-{uuid.uuid4().hex[:12]}")
     csv_dir, root, man = f"{base}/upload_csv", f"{base}/warehouse", f"{base}/manifest"
 
     view = billing_view(spark, SF_DIR)

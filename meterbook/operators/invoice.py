@@ -5,7 +5,8 @@ aggregate keyed by the seven line keys (plus customer, domain and invoice number
 batch of invoices). Decimal sums are associative, so totals and subtotals taken from the
 line sums equal those taken from the rows, and the weighted unit price is recomputed from
 summed parts, never averaged. Distinct tags are the only collected state; they are
-de-duplicated map-side by ``collect_set`` before the shuffle.
+de-duplicated map-side by ``collect_set`` before the shuffle. Parts that do not need tags
+(totals, subtotals, period) ask for ``with_tags=False`` and get a plain hash aggregate.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterbook.functions.dates import period_label
+from meterbook.functions.dates import lenient_date, period_label
 from meterbook.functions.numbers import (
     MONEY, amount, decimal_text, priced_decimal, to_double, weighted_price,
     weighted_price_double,
@@ -53,32 +54,54 @@ def _scope(sums: DataFrame) -> list[str]:
     return [c for c in SCOPE_COLS if c in sums.columns]
 
 
-def line_sums(df: DataFrame, flt: UsageFilter | None = None, batch: bool = False, with_tags: bool = True) -> DataFrame:
+def line_sums(df: DataFrame, flt: UsageFilter | None = None, batch: bool = False, with_tags: bool = True,
+              period_mode: str = "date") -> DataFrame:
     """Per invoice line: exact (lenient) sums of quantity, pricing and billing, the distinct
-    non-blank tags, and the first / last usage day text.
+    non-blank tags, and the first / last usage day.
 
     ``batch=True`` also keys by customer, domain and invoice number, compared ignoring
     case like the single-invoice filter, and shows the smallest spelling of each.
+
+    Plan: one partial aggregate before one shuffle. With tags, ``collect_set`` dedups them
+    map-side in the same pass. Without tags every buffer is fixed-width, so Spark
+    hash-aggregates; a tag-less batch first sums by the exact spellings and then merges
+    spellings that differ only in case over that smaller output, so that the string
+    ``min`` of the shown spelling never forces a sort of the rows.
+
+    ``period_mode="date"`` takes the earliest / latest readable usage date (chronological
+    order, fixed-width buffers). ``"text"`` compares the date text as strings, like a
+    VARCHAR column; string buffers then need a sort- or object-based aggregate.
     """
+    if period_mode not in ("date", "text"):
+        raise ValueError("period_mode is 'date' or 'text'")
     base = apply_filter(df, flt)
-    keys: list[Column] = []
-    shown: list[Column] = []
-    if batch:
-        for src, name in SCOPE_NAMES.items():
-            keys.append(F.lower(F.col(src)).alias("_k_" + name))
-            shown.append(F.min(src).alias(name))
-    keys += [F.col(src).alias(name) for src, name in LINE_NAMES.items()]
-    aggs = [
+    first = F.coalesce(F.col("UsageDate"), F.col("ChargeStartDate"))
+    last = F.coalesce(F.col("UsageDate"), F.col("ChargeEndDate"))
+    if period_mode == "date":
+        first, last = lenient_date(first), lenient_date(last)
+    measures = [
         F.sum(amount(base, "Quantity", strict=False)).alias("_q"),
         F.sum(amount(base, "PricingPreTaxTotal", strict=False)).alias("_p"),
         F.sum(amount(base, "BillingPreTaxTotal", strict=False)).alias("_b"),
-        F.min(F.coalesce(F.col("UsageDate"), F.col("ChargeStartDate"))).alias("_start"),
-        F.max(F.coalesce(F.col("UsageDate"), F.col("ChargeEndDate"))).alias("_end"),
+        F.min(first).alias("_start"),
+        F.max(last).alias("_end"),
     ]
     if with_tags:
         tags = F.array_join(F.array_sort(F.collect_set(blank_to_null("Tags"))), ", ")
-        aggs.append(F.nullif(tags, F.lit("")).alias("tags"))
-    sums = base.groupBy(*keys).agg(*shown, *aggs)
+        measures.append(F.nullif(tags, F.lit("")).alias("tags"))
+    line_keys = [F.col(src).alias(name) for src, name in LINE_NAMES.items()]
+    if not batch:
+        return base.groupBy(*line_keys).agg(*measures)
+    lowered = [F.lower(F.col(src)).alias("_k_" + name) for src, name in SCOPE_NAMES.items()]
+    if with_tags:
+        sums = base.groupBy(*lowered, *line_keys).agg(*[F.min(src).alias(n) for src, n in SCOPE_NAMES.items()], *measures)
+    else:
+        exact = base.groupBy(*[F.col(src).alias(n) for src, n in SCOPE_NAMES.items()], *line_keys).agg(*measures)
+        sums = exact.groupBy(*[F.lower(n).alias("_k_" + n) for n in SCOPE_COLS], *LINE_COLS).agg(
+            *[F.min(n).alias(n) for n in SCOPE_COLS],
+            F.sum("_q").alias("_q"), F.sum("_p").alias("_p"), F.sum("_b").alias("_b"),
+            F.min("_start").alias("_start"), F.max("_end").alias("_end"),
+        )
     return sums.drop(*[c for c in sums.columns if c.startswith("_k_")])
 
 
@@ -171,9 +194,10 @@ def invoice_totals(sums: DataFrame, params: PricingParams = PricingParams()) ->
 
 
 def invoice_period(sums: DataFrame) -> DataFrame:
-    """First and last usage day (as text) and the period label of each invoice."""
+    """First and last usage day (``YYYY-MM-DD`` text) and the period label of each invoice."""
     scope = _scope(sums)
-    bounds = sums.groupBy(*scope).agg(F.min("_start").alias("period_start"), F.max("_end").alias("period_end"))
+    bounds = sums.groupBy(*scope).agg(
+        F.min("_start").cast("string").alias("period_start"), F.max("_end").cast("string").alias("period_end"))
     return bounds.select(*scope, "period_start", "period_end", period_label("period_start", "period_end").alias("period_label"))
 
 

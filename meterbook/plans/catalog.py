@@ -85,8 +85,8 @@ def q_invoice_list(spark, sf_dir):
     return choices.invoice_list(_view(spark, sf_dir), limit=INVOICE_LIST_LIMIT)
 
 
-def _sums(spark, sf_dir, batch=False):
-    return invoice.line_sums(_view(spark, sf_dir), batch=batch)
+def _sums(spark, sf_dir, batch=False, with_tags=True):
+    return invoice.line_sums(_view(spark, sf_dir), batch=batch, with_tags=with_tags)
 
 
 def q_invoice_lines(spark, sf_dir):
@@ -103,15 +103,15 @@ def q_invoice_tags(spark, sf_dir):
 
 
 def q_invoice_subtotals(spark, sf_dir):
-    return invoice.invoice_subtotals(_sums(spark, sf_dir), PARAMS)
+    return invoice.invoice_subtotals(_sums(spark, sf_dir, with_tags=False), PARAMS)
 
 
 def q_invoice_totals(spark, sf_dir):
-    return invoice.invoice_totals(_sums(spark, sf_dir), PARAMS)
+    return invoice.invoice_totals(_sums(spark, sf_dir, with_tags=False), PARAMS)
 
 
 def q_invoice_period(spark, sf_dir):
-    return invoice.invoice_period(_sums(spark, sf_dir))
+    return invoice.invoice_period(_sums(spark, sf_dir, with_tags=False))
 
 
 def q_invoice_export(spark, sf_dir):
@@ -152,11 +152,11 @@ def q_invoice_batch(spark, sf_dir):
 
 
 def q_invoice_batch_totals(spark, sf_dir):
-    return invoice.invoice_totals(_sums(spark, sf_dir, batch=True), PARAMS)
+    return invoice.invoice_totals(_sums(spark, sf_dir, batch=True, with_tags=False), PARAMS)
 
 
 def q_invoice_batch_period(spark, sf_dir):
-    return invoice.invoice_period(_sums(spark, sf_dir, batch=True))
+    return invoice.invoice_period(_sums(spark, sf_dir, batch=True, with_tags=False))
 
 
 def q_money_format(spark, sf_dir):

@@ -144,8 +144,8 @@ def sums_cte(batch: bool = False) -> str:
         "SUM(TRY_CAST(Quantity AS DECIMAL(38,12))) AS q",
         "SUM(TRY_CAST(PricingPreTaxTotal AS DECIMAL(38,12))) AS p",
         "SUM(TRY_CAST(BillingPreTaxTotal AS DECIMAL(38,12))) AS b",
-        "MIN(COALESCE(UsageDate, ChargeStartDate)) AS s",
-        "MAX(COALESCE(UsageDate, ChargeEndDate)) AS e",
+        f"MIN({lenient_date('COALESCE(UsageDate, ChargeStartDate)')}) AS s",
+        f"MAX({lenient_date('COALESCE(UsageDate, ChargeEndDate)')}) AS e",
     ]
     return f"sums AS (SELECT {', '.join(cols)} FROM billing GROUP BY {', '.join(group)})"
 
@@ -196,7 +196,7 @@ def period_select(batch: bool = False) -> str:
              f"WHEN strftime({s}, '%Y-%m') = strftime({e}, '%Y-%m') THEN strftime({s}, '%B %Y') "
              f"ELSE strftime({s}, '%b %d, %Y') || ' - ' || strftime({e}, '%b %d, %Y') END")
     return (f"SELECT {scope}period_start, period_end, {label} AS period_label FROM "
-            f"(SELECT {scope}MIN(s) AS period_start, MAX(e) AS period_end FROM sums{group})")
+            f"(SELECT {scope}CAST(MIN(s) AS VARCHAR) AS period_start, CAST(MAX(e) AS VARCHAR) AS period_end FROM sums{group})")
 
 
 def _ingest_profile() -> str:

@@ -216,3 +216,11 @@ def test_parsed_amounts_keep_strict_and_lenient_rules(spark, tmp_path):
     good = stored.where("CustomerName <> 'b'")
     assert summary.billing_summary(good, P).first() == summary.billing_summary(
         good.drop(*[c for c in good.columns if c.endswith("_dec")]), P).first()
+
+
+def test_shared_dir_reads_the_session_setting(spark):
+    from meterbook.session import shared_dir
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    path = shared_dir(spark, "x")
+    assert path.endswith("/x") and (base is None or path.startswith(base.rstrip("/")))
