@@ -39,6 +39,13 @@ def lenient_double(col) -> Column:
     return _col(col).try_cast(T.DoubleType())
 
 
+def is_strict(on_bad_number: str) -> bool:
+    """``"fail"``: a non-number fails the report (strict cast); ``"null"``: it counts as missing."""
+    if on_bad_number not in ("fail", "null"):
+        raise ValueError("on_bad_number is 'fail' or 'null'")
+    return on_bad_number == "fail"
+
+
 def amount(df, name: str, strict: bool) -> Column:
     """DECIMAL(38,12) value of the text amount column ``name`` of ``df``.
 

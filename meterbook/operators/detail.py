@@ -42,12 +42,13 @@ def priced_detail(
     params: PricingParams = PricingParams(),
     flt: UsageFilter | None = None,
     columns: Sequence[str] | None = None,
+    on_bad_number: str = "fail",
 ) -> DataFrame:
     """Filtered rows with the six pricing columns; unordered (order with :func:`detail_page`)."""
     base = apply_filter(df, flt)
     wanted = requested_columns(base, columns)
     source = [F.col(c) for c in wanted] if wanted else [F.col(c) for c in drop_computed_names(base).columns]
-    return base.select(*source, *grid_pricing_columns(params))
+    return base.select(*source, *grid_pricing_columns(params, on_bad_number=on_bad_number))
 
 
 def detail_page(
@@ -58,6 +59,7 @@ def detail_page(
     page: int = 1,
     page_size: int | None = 100,
     all_records: bool = False,
+    on_bad_number: str = "fail",
 ) -> DataFrame:
     """One sorted page (``LIMIT page_size OFFSET (page-1)*page_size``).
 
@@ -73,7 +75,7 @@ def detail_page(
     base = apply_filter(df, flt)
     wanted = requested_columns(base, columns)
     source = [F.col(c) for c in wanted] if wanted else [F.col(c) for c in drop_computed_names(base).columns]
-    ordered = base.orderBy(*detail_order(base)).select(*source, *grid_pricing_columns(params))
+    ordered = base.orderBy(*detail_order(base)).select(*source, *grid_pricing_columns(params, on_bad_number=on_bad_number))
     if all_records or not page_size:
         return ordered
     offset = (page - 1) * page_size

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterbook.functions.numbers import strict_double
+from meterbook.functions.numbers import is_strict, lenient_double, strict_double
 from meterbook.params import PricingParams
 from meterbook.schema import COMPUTED_COLUMNS, is_helper
 
@@ -18,15 +18,17 @@ def drop_computed_names(df: DataFrame) -> DataFrame:
     return df.drop(*hidden) if hidden else df
 
 
-def grid_pricing(params: PricingParams, amount: str = "PricingPreTaxTotal") -> dict:
+def grid_pricing(params: PricingParams, amount: str = "PricingPreTaxTotal", on_bad_number: str = "fail") -> dict:
     """Forex, PreTaxWithForex, Margin, TotalVATEx, VAT, TotalVATInc as double columns.
 
     ``PreTaxWithForex = price * forex``; ``TotalVATEx = price * forex / margin``;
-    ``TotalVATInc = price * forex / margin * vat``. The price is cast strictly.
+    ``TotalVATInc = price * forex / margin * vat``. The price is cast strictly unless
+    ``on_bad_number="null"`` (then an unreadable price gives null amounts).
     """
     p = params.for_grid()
     forex, margin, vat = F.lit(p.forex), F.lit(p.margin), F.lit(p.vat)
-    with_forex = strict_double(amount) * forex
+    price = strict_double(amount) if is_strict(on_bad_number) else lenient_double(amount)
+    with_forex = price * forex
     vat_ex = with_forex / margin
     exprs = {
         "Forex": forex,
@@ -39,8 +41,8 @@ def grid_pricing(params: PricingParams, amount: str = "PricingPreTaxTotal") -> d
     return {name: e.alias(name) for name, e in exprs.items()}
 
 
-def grid_pricing_columns(params: PricingParams, amount: str = "PricingPreTaxTotal") -> list:
-    return list(grid_pricing(params, amount).values())
+def grid_pricing_columns(params: PricingParams, amount: str = "PricingPreTaxTotal", on_bad_number: str = "fail") -> list:
+    return list(grid_pricing(params, amount, on_bad_number).values())
 
 
 def with_grid_pricing(df: DataFrame, params: PricingParams, amount: str = "PricingPreTaxTotal") -> DataFrame:

@@ -7,14 +7,14 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterbook.functions.numbers import amount, money_sum, to_double
+from meterbook.functions.numbers import amount, is_strict, money_sum, to_double
 from meterbook.functions.text import label_or
 from meterbook.operators.filters import UsageFilter, apply_filter
 
 MAX_TOP_CUSTOMERS = 50
 
 
-def top_customers(df: DataFrame, k: int = 10, flt: UsageFilter | None = None) -> DataFrame:
+def top_customers(df: DataFrame, k: int = 10, flt: UsageFilter | None = None, on_bad_number: str = "fail") -> DataFrame:
     """The ``k`` customers with the largest pricing total: ``label``, ``value``.
 
     Grouping is on the exact name (null and empty stay separate groups, both labelled
@@ -25,7 +25,7 @@ def top_customers(df: DataFrame, k: int = 10, flt: UsageFilter | None = None) ->
     if not 1 <= k <= MAX_TOP_CUSTOMERS:
         raise ValueError(f"k must be within 1..{MAX_TOP_CUSTOMERS}")
     costs = apply_filter(df, flt).groupBy("CustomerName").agg(
-        money_sum(amount(df, "PricingPreTaxTotal", strict=True)).alias("_cost"))
+        money_sum(amount(df, "PricingPreTaxTotal", strict=is_strict(on_bad_number))).alias("_cost"))
     ranked = costs.orderBy(F.col("_cost").desc_nulls_last(), F.col("CustomerName").asc_nulls_last()).limit(k)
     return ranked.select(label_or("CustomerName", "Unknown").alias("label"), to_double("_cost").alias("value"))
 

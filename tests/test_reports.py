@@ -250,3 +250,17 @@ def test_lowered_columns_are_used_and_agree(view001):
     assert "CustomerDomainName_lc" in str(flt.predicate(lc))
     assert "CustomerDomainName_lc" not in str(flt.predicate(view001))
     assert flt.apply(lc).count() == flt.apply(view001).count() > 0
+
+
+def test_on_bad_number_null_counts_unreadable_amounts_as_missing(spark):
+    df = usage(spark, [("a", "10", "1"), ("b", "abc", "2")], ["CustomerName", "PricingPreTaxTotal", "BillingPreTaxTotal"])
+    s = summary.billing_summary(df, PricingParams(1.0, 1.0, 1.0), on_bad_number="null").first()
+    assert (s.total_pricing, s.total_billing, s.total_records) == (10.0, 3.0, 2)
+    ranked = {r.label: r.value for r in ranking.top_customers(df, 5, on_bad_number="null").collect()}
+    assert ranked == {"a": 10.0, "b": 0.0}
+    rows = {r.CustomerName: r.TotalVATInc for r in detail.priced_detail(df, P, on_bad_number="null").collect()}
+    assert rows["b"] is None and rows["a"] == ((10.0 * 56.25) / 0.85) * 1.12
+    with pytest.raises(Exception):
+        detail.priced_detail(df, P).collect()
+    with pytest.raises(ValueError):
+        summary.billing_summary(df, P, on_bad_number="skip")
