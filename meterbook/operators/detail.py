@@ -7,6 +7,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meterbook.functions.dates import lenient_date
 from meterbook.operators.filters import UsageFilter, apply_filter
 from meterbook.operators.pricing import drop_computed_names, grid_pricing, grid_pricing_columns
 from meterbook.params import PricingParams
@@ -29,9 +30,15 @@ def requested_columns(df: DataFrame, columns: Sequence[str] | None) -> list[str]
     return wanted or None
 
 
-def detail_order(df: DataFrame, date_column: str = "UsageDate") -> list[Column]:
-    """Newest usage first, missing dates last, then the persisted row id so that pages never overlap."""
-    order = [F.col(date_column).desc_nulls_last()]
+def detail_order(df: DataFrame, date_column: str = "UsageDate", date_mode: str = "text") -> list[Column]:
+    """Newest usage first, missing dates last, then the persisted row id so that pages never overlap.
+
+    ``date_mode="text"`` orders the date text as strings (right for ISO dates, like a VARCHAR
+    column); ``"date"`` orders by the parsed date, with unreadable text last."""
+    if date_mode not in ("text", "date"):
+        raise ValueError("date_mode is 'text' or 'date'")
+    key = F.col(date_column) if date_mode == "text" else lenient_date(date_column)
+    order = [key.desc_nulls_last()]
     if ROW_ID in df.columns:
         order.append(F.col(ROW_ID).asc_nulls_last())
     return order
@@ -60,6 +67,7 @@ def detail_page(
     page_size: int | None = 100,
     all_records: bool = False,
     on_bad_number: str = "fail",
+    date_mode: str = "text",
 ) -> DataFrame:
     """One sorted page (``LIMIT page_size OFFSET (page-1)*page_size``).
 
@@ -75,7 +83,7 @@ def detail_page(
     base = apply_filter(df, flt)
     wanted = requested_columns(base, columns)
     source = [F.col(c) for c in wanted] if wanted else [F.col(c) for c in drop_computed_names(base).columns]
-    ordered = base.orderBy(*detail_order(base)).select(*source, *grid_pricing_columns(params, on_bad_number=on_bad_number))
+    ordered = base.orderBy(*detail_order(base, date_mode=date_mode)).select(*source, *grid_pricing_columns(params, on_bad_number=on_bad_number))
     if all_records or not page_size:
         return ordered
     offset = (page - 1) * page_size

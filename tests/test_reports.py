@@ -264,3 +264,40 @@ def test_on_bad_number_null_counts_unreadable_amounts_as_missing(spark):
         detail.priced_detail(df, P).collect()
     with pytest.raises(ValueError):
         summary.billing_summary(df, P, on_bad_number="skip")
+
+
+def test_keyset_paging_crosses_the_null_dates(spark):
+    rows = [(f"r{i:02d}", None if i % 4 == 0 else f"2024-01-{(i % 9) + 1:02d}") for i in range(40)]
+    df = usage(spark, rows, ["_row_id", "UsageDate"])
+    full = [r._row_id for r in detail.detail_page(df, P, columns=["_row_id"], all_records=True).collect()]
+    got, last = [], None
+    while True:
+        page = detail.detail_after(df, last[0] if last else "9999", last[1] if last else "", P, page_size=7).collect() \
+            if last is not None else detail.detail_page(df, P, page=1, page_size=7).collect()
+        if not page:
+            break
+        got += [r._row_id for r in page]
+        last = (page[-1].UsageDate, page[-1]._row_id)
+    assert got == full
+
+
+def test_date_mode_orders_by_parsed_date(spark):
+    df = usage(spark, [("a", "2024-1-9"), ("b", "2024-01-10"), ("c", "junk"), ("d", None)], ["_row_id", "UsageDate"])
+    text = [r._row_id for r in detail.detail_page(df, P, columns=["_row_id"], all_records=True).collect()]
+    dated = [r._row_id for r in detail.detail_page(df, P, columns=["_row_id"], all_records=True, date_mode="date").collect()]
+    assert text == ["c", "a", "b", "d"]
+    assert dated == ["b", "a", "c", "d"]
+
+
+def test_invoice_bundle_shares_one_aggregate(view001):
+    one = view001.select("CustomerName", "CustomerDomainName").orderBy("CustomerName").first()
+    inv = invoice.build_invoice(view001, P, invoice_scope(one.CustomerName, one.CustomerDomainName)).persist()
+    try:
+        items = inv.items.collect()
+        assert items and inv.totals.count() == 1 and inv.period.count() == 1
+        assert inv.export_rows.count() == len(items) + 1
+        assert inv.subtotals.where("level = 'total'").count() == 1
+        plan = inv.totals._jdf.queryExecution().executedPlan().toString()
+        assert "InMemoryTableScan" in plan
+    finally:
+        inv.sums.unpersist()
