@@ -108,17 +108,17 @@ def weighted_price_double(price_sum, quantity_sum) -> Column:
     return F.when(q == 0, F.lit(0.0)).otherwise(to_double(price_sum) / to_double(q))
 
 
-def priced_decimal(amount, forex: Decimal, margin: Decimal, vat: Decimal) -> Column:
-    """``amount * forex / margin * vat`` in exact decimals, rounded half-up once to 12 places.
+def priced_decimal(value, forex: Decimal, margin: Decimal, vat: Decimal) -> Column:
+    """``value * forex / margin * vat`` in exact decimals, rounded half-up once to 12 places.
 
-    The product ``amount * (forex * vat)`` is exact. The divisor's scale is chosen so that
+    The product ``value * (forex * vat)`` is exact. The divisor's scale is chosen so that
     Spark's decimal division yields DECIMAL(38,12) directly (one rounding, no second cast).
     Amounts must stay below 10^14.
     """
     rate = Decimal(forex) * Decimal(vat)
     rate_p, rate_s = _digits(rate)
     margin_p, margin_s = _digits(margin)
-    numerator = _col(amount).cast(_DIVISION_OPERAND) * _decimal_lit(rate)
+    numerator = _col(value).cast(_DIVISION_OPERAND) * _decimal_lit(rate)
     # quotient integer digits = (27 + rate_p) - (12 + rate_s) + divisor scale; 26 of them leave 12 fraction digits
     divisor_scale = 11 - rate_p + rate_s
     if rate_p > 11 or divisor_scale < margin_s:

@@ -24,9 +24,9 @@ from meterbook.functions.numbers import (
 from meterbook.functions.text import blank_to_null, first_usable, label_or
 from meterbook.operators.filters import UsageFilter, apply_filter
 from meterbook.params import PricingParams
-from meterbook.schema import INVOICE_KEYS, INVOICE_SCOPE_KEYS
 
-# Output names of the line keys and the batch scope keys.
+# Output names of the line keys (schema.INVOICE_KEYS) and the batch scope keys
+# (schema.INVOICE_SCOPE_KEYS).
 LINE_NAMES = {
     "MeterCategory": "meter_category",
     "MeterSubCategory": "meter_sub_category",
@@ -45,7 +45,6 @@ SCOPE_COLS = tuple(SCOPE_NAMES.values())
 LINE_COLS = tuple(LINE_NAMES.values())
 
 
-
 def _zero() -> Column:
     return F.lit(0).cast(MONEY)
 
