@@ -224,3 +224,17 @@ def test_shared_dir_reads_the_session_setting(spark):
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     path = shared_dir(spark, "x")
     assert path.endswith("/x") and (base is None or path.startswith(base.rstrip("/")))
+
+
+def test_clustered_landing_keeps_rows_and_clusters_customers(spark, usage_files, tmp_path, view001):
+    one, _ = usage_files
+    root, man = str(tmp_path / "wh"), str(tmp_path / "mf")
+    wh.land_upload(spark, one, root, man, 4, cluster_files=3)
+    stored = wh.read_uploads(spark, root, 4)
+    assert stored.count() == 6000 and len(glob.glob(root + "/upload_id=4/*.parquet")) == 3
+    with_file = stored.select("CustomerName", F.col("_metadata.file_path").alias("f"))
+    files_per_customer = with_file.groupBy("CustomerName").agg(F.countDistinct("f").alias("n"))
+    assert files_per_customer.agg(F.max("n")).first()[0] <= 2
+    def lines(df):
+        return sorted(map(tuple, invoice.invoice_items(invoice.line_sums(df), P).collect()), key=str)
+    assert lines(stored) == lines(view001)
