@@ -118,6 +118,7 @@ def test_land_replace_and_delete(spark, usage_files, tmp_path, view001):
     assert state == {1: "deleted", 2: "completed"}
     assert [r.upload_id for r in wh.read_uploads(spark, root).select("upload_id").distinct().collect()] == [2]
     assert wh.read_uploads(spark, root, manifest_root=man).select("upload_id").distinct().count() == 1
+    assert wh.read_uploads(spark, root, 1).count() == 0  # deleted: empty, not an error
 
 
 def test_failed_landing_is_recorded(spark, tmp_path):
