@@ -112,6 +112,11 @@ def test_land_replace_and_delete(spark, usage_files, tmp_path, view001):
     # newest completed upload, recent list
     assert mf.newest_completed(mf.latest(mf.read(spark, man))).first().upload_id in (1, 2)
     assert mf.recent(mf.latest(mf.read(spark, man)), 1).count() == 1
+    shown = {r.upload_id: r for r in mf.listing(mf.latest(mf.read(spark, man))).collect()}
+    assert shown[1].rows_text == "6,000" and shown[1].completed_text != "-" and shown[1].error_text == ""
+    assert len(shown[1].created_text) == 16 and "," in shown[1].pricing_text
+    picks = mf.upload_choices(mf.latest(mf.read(spark, man))).collect()
+    assert {p.upload_id for p in picks} == {1, 2} and picks[0].label.endswith("usage.csv")
 
     wh.delete_upload(spark, root, man, 1)
     state = {r.upload_id: r.status for r in mf.latest(mf.read(spark, man)).collect()}
