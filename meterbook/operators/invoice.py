@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from meterbook.functions.dates import lenient_date, period_label
 from meterbook.functions.numbers import (
-    MONEY, amount, decimal_text, priced_decimal, to_double, weighted_price,
+    MONEY, amount, decimal_text, export_number, priced_decimal, to_double, weighted_price,
     weighted_price_double,
 )
 from meterbook.functions.text import blank_to_null, first_usable, label_or
@@ -208,9 +208,9 @@ def invoice_export(sums: DataFrame, params: PricingParams = PricingParams()) ->
         *scope,
         F.lit(0).alias("row_kind"),
         *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("meter_category", "meter_sub_category", "meter_name", "meter_type", "unit")],
-        F.col("quantity_raw").alias("quantity"),
-        F.col("unit_price_raw").alias("unit_price"),
-        F.col("total_vat_inc_raw").alias("total_vat_inc"),
+        export_number("quantity_raw", "quantity").alias("quantity"),
+        export_number("unit_price_raw", "unit_price").alias("unit_price"),
+        export_number("total_vat_inc_raw", "total_vat_inc").alias("total_vat_inc"),
         F.coalesce(F.col("tags"), F.lit("")).alias("tags"),
         first_usable("entitlement_description", "entitlement_id").alias("entitlement"),
     )
@@ -219,9 +219,9 @@ def invoice_export(sums: DataFrame, params: PricingParams = PricingParams()) ->
         *scope,
         F.lit(1).alias("row_kind"),
         *[blank.alias(c) for c in ("meter_category", "meter_sub_category", "meter_name", "meter_type", "unit")],
-        F.col("quantity_raw").alias("quantity"),
+        export_number("quantity_raw", "total_quantity").alias("quantity"),
         blank.alias("unit_price"),
-        F.col("total_vat_inc_raw").alias("total_vat_inc"),
+        export_number("total_vat_inc_raw", "total_vat_inc").alias("total_vat_inc"),
         F.lit("TOTAL").alias("tags"),
         blank.alias("entitlement"),
     )

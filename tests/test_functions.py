@@ -143,3 +143,9 @@ def test_lenient_date_rejects_partial_dates(spark):
 ])
 def test_period_label(spark, start, end, label):
     assert _one(spark, dates.period_label("s", "e"), [(start, end)], "s string, e string") == [label]
+
+
+def test_export_number_prefers_usable_raw_text(spark):
+    rows = [("12.50", 12.5), (" ", 3.25), (None, None), (None, 7.0)]
+    got = _one(spark, numbers.export_number("raw", "num"), rows, "raw string, num double")
+    assert got == ["12.50", "3.25", "0", "7"]
