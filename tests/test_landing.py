@@ -244,3 +244,12 @@ def test_clustered_landing_keeps_rows_and_clusters_customers(spark, usage_files,
     def lines(df):
         return sorted(map(tuple, invoice.invoice_items(invoice.line_sums(df), P).collect()), key=str)
     assert lines(stored) == lines(view001)
+
+
+def test_streaming_rejects_a_file_with_another_header(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    _write(src / "odd.csv", "Foo,Bar\n1,2\n")
+    q = start_landing(spark, str(src), str(tmp_path / "wh"), str(tmp_path / "mf"), str(tmp_path / "ck"))
+    with pytest.raises(Exception):
+        q.awaitTermination()
