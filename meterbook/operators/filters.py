@@ -16,7 +16,7 @@ from typing import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterbook.functions.text import contains_ci, equals_ci, like_contains_ci, non_blank
+from meterbook.functions.text import contains_ci, equals_ci, like_contains_ci
 from meterbook.schema import CONTAINS_FILTER_COLUMNS, EQUALITY_FILTER_COLUMNS, LOWER_SUFFIX, SEARCH_COLUMNS
 
 
@@ -102,7 +102,3 @@ def invoice_scope(customer: str, domain: str, invoice: str | None = None, search
     if _present(invoice):
         equals["InvoiceNumber"] = invoice
     return UsageFilter(search=search, equals=equals)
-
-
-def only_non_blank(df: DataFrame, column: str) -> DataFrame:
-    return df.where(non_blank(column))

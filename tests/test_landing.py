@@ -253,3 +253,13 @@ def test_streaming_rejects_a_file_with_another_header(spark, tmp_path):
     q = start_landing(spark, str(src), str(tmp_path / "wh"), str(tmp_path / "mf"), str(tmp_path / "ck"))
     with pytest.raises(Exception):
         q.awaitTermination()
+
+
+def test_usage_view_serves_sql_and_hides_helpers(spark, tmp_path):
+    path = _write(tmp_path / "u.csv", "CustomerName,PricingPreTaxTotal\nAcme,10\nBeta,5\n")
+    root, man = str(tmp_path / "wh"), str(tmp_path / "mf")
+    wh.land_upload(spark, str(path), root, man, 11)
+    df = wh.usage_view(spark, root, 11, name="usage_11")
+    assert "CustomerName_lc" in df.columns and "CustomerName_lc" not in wh.visible_columns(df)
+    total = spark.sql("SELECT SUM(PricingPreTaxTotal_dec) AS t FROM usage_11 WHERE CustomerName_lc = 'acme'").first().t
+    assert float(total) == 10.0

@@ -301,3 +301,22 @@ def test_invoice_bundle_shares_one_aggregate(view001):
         assert "InMemoryTableScan" in plan
     finally:
         inv.sums.unpersist()
+
+
+def test_with_grid_pricing_appends_to_all_columns(view001):
+    from meterbook.operators.pricing import with_grid_pricing
+
+    out = with_grid_pricing(view001, P)
+    assert out.columns[: len(view001.columns)] == view001.columns
+    assert out.columns[len(view001.columns):] == ["Forex", "PreTaxWithForex", "Margin", "TotalVATEx", "VAT", "TotalVATInc"]
+
+
+def test_all_domains_first_by_name(view001):
+    got = [r.CustomerDomainName for r in choices.all_domains(view001).collect()]
+    assert got == sorted(got) and len(got) == 5
+
+
+def test_line_order_sorts_items(view001):
+    items = invoice.invoice_items(invoice.line_sums(view001), P).orderBy(*invoice.line_order()).collect()
+    keys = [(r.meter_category, r.meter_sub_category or "￿", r.meter_name) for r in items]
+    assert keys == sorted(keys)
