@@ -28,7 +28,7 @@ from pyspark.sql import SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from meterbook import PricingParams, UsageFilter, invoice_scope  # noqa: E402
-from meterbook.operators import choices, detail, invoice, ranking, summary  # noqa: E402
+from meterbook.operators import choices, dashboard, detail, invoice, ranking, summary  # noqa: E402
 from meterbook.schema import USAGE_COLUMNS  # noqa: E402
 from meterbook.session import shared_dir  # noqa: E402
 from meterbook.sources import exports, warehouse as wh  # noqa: E402
@@ -104,6 +104,7 @@ def main() -> None:
         "filter_options": lambda: choices.filter_options(up),
         "customer_domains": lambda: choices.customer_domains(up),
         "daily_spend": lambda: summary.daily_spend(up),
+        "dashboard_refresh": lambda: dashboard.dashboard_rollup(up),
         "invoice_customer": lambda: invoice.invoice_items(invoice.line_sums(up, scope), P),
         "invoice_lines": lambda: invoice.invoice_items(invoice.line_sums(up), P),
         "invoice_subtotals": lambda: invoice.invoice_subtotals(invoice.line_sums(up), P),

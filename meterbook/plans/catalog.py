@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterbook.operators import choices, detail, display, invoice, pricing, ranking, summary
+from meterbook.operators import choices, dashboard, detail, display, invoice, pricing, ranking, summary
 from meterbook.operators.filters import UsageFilter
 from meterbook.params import PricingParams
 from meterbook.sources.fixture import billing_view
@@ -167,6 +167,12 @@ def q_invoice_display(spark, sf_dir):
     return display.invoice_display(invoice.invoice_items(_sums(spark, sf_dir), PARAMS))
 
 
+def q_dashboard_rollup(spark, sf_dir):
+    return dashboard.dashboard_rollup(_view(spark, sf_dir)).select(
+        "level", "CustomerName", "date", F.col("pricing").cast("double").alias("pricing"),
+        F.col("billing").cast("double").alias("billing"), "records")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ingest_profile": q_ingest_profile,
     "detail_page": q_detail_page,
@@ -197,4 +203,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "invoice_batch_period": q_invoice_batch_period,
     "money_format": q_money_format,
     "invoice_display": q_invoice_display,
+    "dashboard_rollup": q_dashboard_rollup,
 }

@@ -308,6 +308,17 @@ def _invoice_display() -> str:
             f"COALESCE(NULLIF(entitlement_description, ''), NULLIF(entitlement_id, ''), '-') AS entitlement FROM priced")
 
 
+def _dashboard_rollup() -> str:
+    gid = "GROUPING(CustomerName, d)"
+    level = f"CASE WHEN {gid} = 3 THEN 'total' WHEN {gid} = 1 THEN 'customer' ELSE 'day' END"
+    day = lenient_date("COALESCE(UsageDate, ChargeStartDate)")
+    p = to_double(f"COALESCE(SUM(CAST(PricingPreTaxTotal AS DECIMAL(38,12))), {ZERO})")
+    b = to_double(f"COALESCE(SUM(CAST(BillingPreTaxTotal AS DECIMAL(38,12))), {ZERO})")
+    return (f"{WITH_BILLING} SELECT {level} AS level, CustomerName, d AS \"date\", {p} AS pricing, {b} AS billing, "
+            f"COUNT(*) AS records FROM (SELECT *, {day} AS d FROM billing) "
+            f"GROUP BY GROUPING SETS ((), (CustomerName), (d))")
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "ingest_profile": _ingest_profile(),
@@ -343,4 +354,5 @@ def oracle_sql() -> dict[str, str]:
         "invoice_batch_period": f"{WITH_BILLING}, {sums_cte(True)} {period_select(True)}",
         "money_format": _money_format(),
         "invoice_display": _invoice_display(),
+        "dashboard_rollup": _dashboard_rollup(),
     }

@@ -92,3 +92,14 @@ def test_no_broadcast_hints(landed, spark):
 
     src = "".join(p.read_text() for p in pathlib.Path("meterbook").rglob("*.py"))
     assert "broadcast(" not in src and "localCheckpoint" not in src
+
+
+def test_dashboard_refresh_is_one_scan(landed):
+    from meterbook.operators.dashboard import dashboard_rollup
+
+    up, _ = landed
+    text = plan(dashboard_rollup(up))
+    import re
+
+    assert len(re.findall(r"^\(\d+\) Scan parquet", text, re.M)) == 1
+    assert "Expand" in text and "SortAggregate" not in text

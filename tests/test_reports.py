@@ -320,3 +320,17 @@ def test_line_order_sorts_items(view001):
     items = invoice.invoice_items(invoice.line_sums(view001), P).orderBy(*invoice.line_order()).collect()
     keys = [(r.meter_category, r.meter_sub_category or "￿", r.meter_name) for r in items]
     assert keys == sorted(keys)
+
+
+def test_dashboard_answers_equal_the_separate_reports(view001):
+    from meterbook.operators import dashboard as dash
+
+    d = dash.dashboard(view001, P).persist()
+    try:
+        assert d.summary.collect() == summary.billing_summary(view001, P).collect()
+        assert d.top_customers(10).collect() == ranking.top_customers(view001, 10).collect()
+        assert sorted(d.daily_spend.collect()) == sorted(summary.daily_spend(view001).collect())
+        flt = UsageFilter(search="gear")
+        assert dash.dashboard(view001, P, flt).summary.collect() == summary.billing_summary(view001, P, flt).collect()
+    finally:
+        d.rollup.unpersist()
