@@ -49,6 +49,8 @@ def session() -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "16g")
+        # throughput collector: the single local JVM runs batch work, pauses do not matter
+        .config("spark.driver.extraJavaOptions", "-XX:+UseParallelGC")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
