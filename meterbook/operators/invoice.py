@@ -270,5 +270,7 @@ class Invoice:
 
 
 def build_invoice(df: DataFrame, params: PricingParams = PricingParams(), flt: UsageFilter | None = None,
-                  batch: bool = False) -> Invoice:
-    return Invoice(line_sums(df, flt, batch=batch), params)
+                  batch: bool = False, period_mode: str = "date") -> Invoice:
+    """All parts of one invoice (``flt`` = :func:`invoice_scope`) or of every invoice
+    (``batch=True``) over one shared line aggregate."""
+    return Invoice(line_sums(df, flt, batch=batch, period_mode=period_mode), params)

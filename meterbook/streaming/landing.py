@@ -66,9 +66,11 @@ def land_batch(batch: DataFrame, batch_id: int, warehouse_root: str, manifest_ro
 
 def start_landing(spark: SparkSession, source_dir: str, warehouse_root: str, manifest_root: str,
                   checkpoint_location: str, header: Sequence[str] = USAGE_COLUMNS,
-                  multi_line: bool = False, available_now: bool = True) -> StreamingQuery:
-    """Start the landing stream; with ``available_now`` it stops when the folder is drained."""
-    stream = usage_stream(spark, source_dir, header, multi_line)
+                  multi_line: bool = False, available_now: bool = True,
+                  max_files_per_trigger: int | None = None) -> StreamingQuery:
+    """Start the landing stream; with ``available_now`` it stops when the folder is drained.
+    ``max_files_per_trigger`` bounds the files (uploads) of one micro-batch."""
+    stream = usage_stream(spark, source_dir, header, multi_line, max_files_per_trigger)
     writer = (
         stream.writeStream.foreachBatch(lambda df, bid: land_batch(df, bid, warehouse_root, manifest_root))
         .option("checkpointLocation", checkpoint_location)

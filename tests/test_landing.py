@@ -263,3 +263,16 @@ def test_usage_view_serves_sql_and_hides_helpers(spark, tmp_path):
     assert "CustomerName_lc" in df.columns and "CustomerName_lc" not in wh.visible_columns(df)
     total = spark.sql("SELECT SUM(PricingPreTaxTotal_dec) AS t FROM usage_11 WHERE CustomerName_lc = 'acme'").first().t
     assert float(total) == 10.0
+
+
+def test_streaming_landing_in_small_batches(spark, usage_files, tmp_path):
+    _, four = usage_files
+    src = tmp_path / "in"
+    src.mkdir()
+    for i, f in enumerate(four):
+        shutil.copy(f, src / f"m{i}.csv")
+    root, man, ck = str(tmp_path / "wh"), str(tmp_path / "mf"), str(tmp_path / "ck")
+    start_landing(spark, str(src), root, man, ck, max_files_per_trigger=1).awaitTermination()
+    state = mf.latest(mf.read(spark, man)).collect()
+    assert len(state) == len(four) and sum(r.row_count for r in state) == 6000
+    assert mf.read(spark, man).select("entry_key").distinct().count() == len(four)  # one micro-batch per file
