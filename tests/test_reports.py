@@ -334,3 +334,22 @@ def test_dashboard_answers_equal_the_separate_reports(view001):
         assert dash.dashboard(view001, P, flt).summary.collect() == summary.billing_summary(view001, P, flt).collect()
     finally:
         d.rollup.unpersist()
+
+
+def test_period_text_mode_compares_strings(spark):
+    rows = [("C", "2024-1-9", "2024-1-9", "2024-1-9"), ("C", "2024-01-10", "2024-01-10", "2024-01-10")]
+    df = usage(spark, rows, ["MeterCategory", "UsageDate", "ChargeStartDate", "ChargeEndDate"])
+    text = invoice.invoice_period(invoice.line_sums(df, with_tags=False, period_mode="text")).first()
+    dated = invoice.invoice_period(invoice.line_sums(df, with_tags=False)).first()
+    assert (text.period_start, text.period_end) == ("2024-01-10", "2024-1-9")      # string order
+    assert (dated.period_start, dated.period_end) == ("2024-01-09", "2024-01-10")  # date order
+    assert dated.period_label == "January 2024"
+    with pytest.raises(ValueError):
+        invoice.line_sums(df, period_mode="week")
+
+
+def test_filter_without_drops_columns(view001):
+    f = UsageFilter(search="gear", equals={"ChargeType": "new", "CustomerName": "x"}, contains={"MeterName": "gear"})
+    g = f.without("CustomerName", "MeterName")
+    assert g.search == "gear" and g.equals == {"ChargeType": "new"} and g.contains == {}
+    assert detail.detail_count(view001, g).first().total > 0
