@@ -276,3 +276,23 @@ def test_streaming_landing_in_small_batches(spark, usage_files, tmp_path):
     state = mf.latest(mf.read(spark, man)).collect()
     assert len(state) == len(four) and sum(r.row_count for r in state) == 6000
     assert mf.read(spark, man).select("entry_key").distinct().count() == len(four)  # one micro-batch per file
+
+
+def test_many_files_headers_in_one_job(spark, tmp_path):
+    from meterbook.sources.usage_csv import file_headers, read_header
+
+    folder = tmp_path / "many"
+    folder.mkdir()
+    files = []
+    for i in range(20):
+        if i % 2:
+            text = f'CustomerName,"Quantity",Extra\nC{i},{i},e\n'
+        else:
+            text = f"\ufeffQuantity,CustomerName\n{i},C{i}\n"
+        files.append(str(_write(folder / f"f{i:02d}.csv", text)))
+    found = file_headers(spark, files)
+    assert found[files[1]] == ("CustomerName", "Quantity", "Extra") and found[files[0]] == ("Quantity", "CustomerName")
+    assert found[files[1]] == tuple(read_header(spark, files[1]))
+    df = usage_csv.read_usage_csv(spark, files)  # more than 16 files: distributed discovery
+    rows = sorted((r.CustomerName, r.Quantity) for r in df.collect())
+    assert rows == sorted((f"C{i}", str(i)) for i in range(20))
