@@ -296,3 +296,20 @@ def test_many_files_headers_in_one_job(spark, tmp_path):
     df = usage_csv.read_usage_csv(spark, files)  # more than 16 files: distributed discovery
     rows = sorted((r.CustomerName, r.Quantity) for r in df.collect())
     assert rows == sorted((f"C{i}", str(i)) for i in range(20))
+
+
+def test_catalog_table_tracks_landings_and_deletes(spark, tmp_path):
+    path = _write(tmp_path / "u.csv", "CustomerName,PricingPreTaxTotal\nAcme,10\nBeta,5\n")
+    root, man = str(tmp_path / "wh"), str(tmp_path / "mf")
+    name = "usage_catalog_test"
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    wh.land_upload(spark, str(path), root, man, 1)
+    wh.register_table(spark, root, name)
+    wh.land_upload(spark, str(path), root, man, 2, table=name)
+    parts = sorted(r.partition for r in spark.sql(f"SHOW PARTITIONS {name}").collect())
+    assert parts == ["upload_id=1", "upload_id=2"]
+    assert wh.read_uploads(spark, root, 2, table=name).count() == 2
+    wh.delete_upload(spark, root, man, 1, table=name)
+    assert [r.partition for r in spark.sql(f"SHOW PARTITIONS {name}").collect()] == ["upload_id=2"]
+    assert wh.read_uploads(spark, root, table=name).count() == 2
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
