@@ -29,11 +29,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Cached pieces of one Python worker; a full cache is emptied, which costs time only.
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 400_000
 #: Longer pieces are encoded each time they occur.
 CACHE_PIECE_CHARS = 64
 #: Characters of text whose pieces are looked up together.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 4_000_000
 
 #: The code points of the Unicode property White_Space.
 WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -269,36 +269,40 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(load_ranks(path), pattern)
 
 
-def _blocks(column: pa.Array) -> Iterator[list[str]]:
-    """The texts of a column, null as empty, some million characters at a time."""
-    block, size = [], 0
-    for x in column:
+def _blocks(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """The texts of a column, null as empty, some million characters at a time, and where
+    they begin."""
+    block, size, begin = [], 0, 0
+    for k, x in enumerate(column):
         block.append(x.as_py() or "")
         size += len(block[-1])
-        if size >= BLOCK_CHARS:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+        if size >= BLOCK_CHARS or k == len(column) - 1:
+            yield begin, block
+            block, size, begin = [], 0, k + 1
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``docs`` with the column ``text`` replaced by ``ids``, an array of token ids.
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """``docs`` with the column ``text`` replaced by ``ids``, an array of token ids, and on
+    request by ``decoded``, the bytes which those ids decode to, in the same pass.
 
     The vocabulary file must be readable at ``path`` on every executor. No shuffle."""
-    kept = [c for c in docs.columns if c not in (text, ids)]
-    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)])
+    new = [ids] + [decoded] * bool(decoded)
+    kept = [c for c in docs.columns if c not in (text, *new)]
+    fields = [T.StructField(ids, T.ArrayType(T.IntegerType(), False), False), T.StructField(decoded or "", T.BinaryType(), False)]
+    schema = T.StructType([docs.schema[c] for c in kept] + fields[: len(new)])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = codec(path, pattern)
         for batch in it:
-            parts: list[bytes] = []
-            for texts in _blocks(batch.column(text)):
-                parts += one.encode(texts)
-            ends = np.cumsum([0, *(len(p) // 4 for p in parts)]).astype(np.int32)
-            values = pa.array(np.frombuffer(b"".join(parts), "<i4"), pa.int32())
-            lists = pa.ListArray.from_arrays(pa.array(ends), values)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), lists], names=[*kept, ids])
+            for begin, texts in _blocks(batch.column(text)):
+                parts = one.encode(texts)
+                ends = np.cumsum([0, *(len(p) // 4 for p in parts)]).astype(np.int32)
+                values = np.frombuffer(b"".join(parts), "<i4")
+                columns = [pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.int32()))]
+                if decoded:
+                    columns.append(pa.array([one.decode(np.frombuffer(p, "<i4").tolist()) for p in parts], pa.binary()))
+                mine = batch.slice(begin, len(texts))
+                yield pa.RecordBatch.from_arrays([*(mine.column(c) for c in kept), *columns], names=[*kept, *new])
 
     return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`")).mapInArrow(run, schema)
 
@@ -312,7 +316,7 @@ def decode(tokens: DataFrame, path: str, pattern: str, ids: str = "ids", decoded
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = codec(path, pattern)
         for batch in it:
-            column = pa.array([one.decode(x or ()) for x in batch.column(ids).to_pylist()], pa.binary())
+            column = pa.array([one.decode(x.as_py() or []) for x in batch.column(ids)], pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), column], names=[*kept, decoded])
 
     return tokens.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
@@ -320,7 +324,6 @@ def decode(tokens: DataFrame, path: str, pattern: str, ids: str = "ids", decoded
 
 def digests(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: number of ids, digest of the ids in decimal, digest of what they decode to."""
-    tokens = encode(docs.select(doc_id, text), path, pattern, text)
+    tokens = encode(docs.select(doc_id, text), path, pattern, text, decoded="decoded")
     listed = F.array_join(F.col("ids").cast("array<string>"), " ")
-    numbered = tokens.select(doc_id, "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"))
-    return decode(numbered, path, pattern).select(F.col(doc_id).alias("doc_id"), "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return tokens.select(F.col(doc_id).alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
