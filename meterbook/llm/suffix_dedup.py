@@ -294,9 +294,10 @@ def _covered(parse: Parse, answers: dict[int, bytes]) -> list[np.ndarray]:
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", as_text: bool = False) -> DataFrame:
     """``docs`` with ``n_bytes``, ``removed`` (the maximal removed runs, as byte offsets) and
-    ``kept`` (the bytes that remain); columns of these names are replaced.
+    ``kept`` (the bytes that remain, or as text without characters that lost some of their
+    bytes); columns of these names are replaced.
 
     The documents are shuffled once and that shuffle is read twice; the dictionaries are the
     only other data of the corpus's size."""
@@ -308,7 +309,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         part += "_"
     parts = partitions_for(docs, text, PART_BYTES)
     dealt = docs.withColumn(part, F.pmod(F.xxhash64(doc_id), F.lit(parts)).cast("int"))
-    out_schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL("n_bytes long, removed array<struct<start: long, end: long>>, kept binary").fields])
+    out_schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL("n_bytes long, removed array<struct<start: long, end: long>>, kept " + ("string" if as_text else "binary")).fields])
 
     def dictionary(rows: pa.Table) -> pa.Table:
         return _dictionary(rows, doc_id, text, part, parts)
@@ -328,7 +329,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             spans.append([{"start": a, "end": b} for a, b in runs])
             kept.append(b"".join(data[a:b] for a, b in zip([0, *edges[1::2]], [*edges[::2], len(data)], strict=True)))
         taken = rows.select(given).take(pa.array(order, pa.int64()))
-        columns = [pa.array([len(data) for _, data in sorted_docs], pa.int64()), pa.array(spans, _SPANS), pa.array(kept, pa.binary())]
+        columns = [pa.array([len(data) for _, data in sorted_docs], pa.int64()), pa.array(spans, _SPANS), pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())]
         return pa.table([*taken.columns, *columns], names=[*given, "n_bytes", "removed", "kept"])
 
     bodies = dealt.groupBy(part).applyInArrow(dictionary, f"bucket int, `{part}` int, n int, body binary")
@@ -336,6 +337,18 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return dealt.groupBy(part).cogroup(answers.groupBy(part)).applyInArrow(apply, out_schema)
 
 
+def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
+    """``docs`` with the removed bytes cut out of ``text``, and ``n_chars``, where it is a column,
+    set to the new length. A character that lost some of its bytes goes entirely; documents
+    of which nothing is left go too, but empty ones stay."""
+    found = remove_repeats(docs, doc_id, text, as_text=True)
+    whole = F.size("removed") == 0
+    columns = {text: F.when(whole, F.col(text)).otherwise(F.col("kept"))}
+    if n_chars in docs.columns:
+        columns[n_chars] = F.when(whole, F.col(n_chars)).otherwise(F.length("kept").cast(docs.schema[n_chars].dataType))
+    return found.filter(whole | (F.col("kept") != "")).select(*[columns[c].alias(c) if c in columns else F.col(f"`{c}`") for c in docs.columns])
+
+
 def digests(docs: DataFrame) -> DataFrame:
     found = remove_repeats(docs.select("doc_id", "text"))
     n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
