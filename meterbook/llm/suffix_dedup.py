@@ -3,11 +3,11 @@
 Every 50-byte string (a window) of a document is covered if it also starts in a document with
 a smaller doc_id; covered bytes are removed. Windows never cross documents.
 
-Parsing. A rolling hash runs over all 12-byte strings. Of those inside a window the one with
+Parsing. A rolling hash runs over all 8-byte strings. Of those inside a window the one with
 the least hash (the leftmost of equals) is the window's trigger; it depends on the window's
 bytes alone, so equal windows have equal triggers at equal offsets. Consecutive windows with
 the same trigger make a phrase, and neighbouring phrases overlap by 49 bytes: each window
-lies whole in exactly one phrase, no phrase is longer than 88 bytes, and the order of the
+lies whole in exactly one phrase, no phrase is longer than 92 bytes, and the order of the
 corpus's suffixes to depth 50 never has to look past a phrase.
 
 Dictionary and parse. Documents are dealt to parts by a hash of doc_id. A part's distinct
@@ -17,7 +17,7 @@ made again when needed. Only the dictionaries travel, cut into buckets by trigge
 passage in any number of documents costs a bucket one entry a part.
 
 Corpus order. A bucket joins the dictionaries. A phrase whose smallest document overall comes
-before a part's is covered there entirely. Phrases that share 31 bytes around the trigger with
+before a part's is covered there entirely. Phrases that share 29 bytes around the trigger with
 a different phrase may also share windows: their suffixes are ranked to depth 50 by prefix
 doubling (the dictionary's suffix array), equal ranks are one window, and the smallest
 document of its phrases is the window's. The answer goes back to the part as a bit mask for
@@ -44,11 +44,11 @@ from meterbook.llm.common import partitions_for, utf8
 #: Bytes of a window.
 DEPTH = 50
 #: Bytes of a trigger.
-GRAM = 12
+GRAM = 8
 #: Windows look for their trigger among so many strings.
 CHOICES = DEPTH - GRAM + 1
 #: Text bytes of a part.
-PART_BYTES = 12_000_000
+PART_BYTES = 6_000_000
 #: Bytes parsed at once; longer documents are parsed in overlapping pieces.
 PIECE_BYTES = 1 << 20
 #: Bytes on one side of the trigger which some side of every window has.
@@ -57,22 +57,19 @@ LAST = (1 << 63) - 1
 _POSITION_BITS = np.uint64(22)
 
 
-def _packed(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The 4 and the 8 bytes from each position as integers (zeros past the end)."""
-    x = np.concatenate([raw, np.zeros(16, np.uint8)]).astype(np.uint64)
+def _eight(raw: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each position as an integer (zeros past the end)."""
+    x = np.concatenate([raw, np.zeros(7, np.uint8)]).astype(np.uint64)
     x = (x[:-1] << np.uint64(8)) | x[1:]
-    four = (x[:-2] << np.uint64(16)) | x[2:]
-    eight = (four[:-4] << np.uint64(32)) | four[4:]
-    return four[: len(raw) + 8], eight[: len(raw)]
+    x = (x[:-2] << np.uint64(16)) | x[2:]
+    return (x[:-4] << np.uint64(32)) | x[4:]
 
 
 def _gram_hashes(raw: np.ndarray) -> np.ndarray:
-    """A hash of the 12 bytes from each position."""
-    four, eight = _packed(raw)
+    """A hash of the trigger-sized string from each position."""
     with np.errstate(over="ignore"):
-        x = eight * np.uint64(0x9E3779B97F4A7C15)
+        x = _eight(raw) * np.uint64(0x9E3779B97F4A7C15)
         x ^= x >> np.uint64(29)
-        x += four[8 : len(raw) + 8] * np.uint64(0xC2B2AE3D27D4EB4F)
         x *= np.uint64(0xBF58476D1CE4E5B9)
         x ^= x >> np.uint64(32)
     return x
@@ -176,7 +173,7 @@ def _dictionary(rows: pa.Table, doc_id: str, text: str, part: str, buckets: int)
     listed = list(parse.phrases)
     lengths = np.array([len(x) for x in listed], np.uint8)
     offsets, first = np.array(parse.offset, np.uint8), np.array(parse.first, np.int64)
-    pack = zstandard.ZstdCompressor(level=1).compress
+    pack = zstandard.ZstdCompressor(level=3).compress
     out = []
     for bucket, phrases in parse.by_bucket():
         body = b"".join([lengths[phrases].tobytes(), offsets[phrases].tobytes(), first[phrases].tobytes(), *[listed[k] for k in phrases.tolist()]])
@@ -187,7 +184,7 @@ def _dictionary(rows: pa.Table, doc_id: str, text: str, part: str, buckets: int)
 def _ranks(raw: np.ndarray) -> np.ndarray:
     """The rank of each position's next ``DEPTH`` bytes among all: the suffix array of the
     dictionary to that depth, by prefix doubling."""
-    rank = np.unique(_packed(raw)[1], return_inverse=True)[1].astype(np.int64)
+    rank = np.unique(_eight(raw), return_inverse=True)[1].astype(np.int64)
 
     def joined(left: np.ndarray, right: np.ndarray, by: int) -> np.ndarray:
         shifted = np.concatenate([right[by:], np.zeros(min(by, len(right)), np.int64)])
