@@ -3,7 +3,7 @@
 The canonical form of a URL drops scheme, fragment, ``www.``, default ports, a trailing slash
 and tracking parameters, lower-cases the host and sorts the other parameters. The listed URLs
 are hashed into a blocked Bloom filter: one 64-byte block a URL, ``BITS`` bits in it. Spark
-builds it as one row a block (an aggregation with ``bit_or``, combined before the shuffle);
+builds it, eight words a block (an aggregation with ``bit_or``, combined before the shuffle);
 its size has a fixed bound (``MAX_BLOCKS``) at any length of the list, so it is broadcast.
 Only URLs whose bits are all set go on to an exact join with the list, which removes the
 false positives; with a list beyond the filter's comfort more URLs go on, and the result
@@ -75,16 +75,12 @@ def bloom_filter(listed: DataFrame, key: str = "canonical") -> np.ndarray:
     listed = listed.select(F.col(key).alias("key")).filter("key is not null").distinct()
     blocks = max(1, min(MAX_BLOCKS, math.ceil(listed.count() * BITS_PER_URL / 512)))
     block, bits = _hashes(F.col("key"), blocks)
-    places = [F.shiftrightunsigned("bits", 9 * b).bitwiseAND(511) for b in range(BITS)]
-
-    def word(k: int) -> Column:
-        own = [F.when(F.shiftright(p, 6) == k, F.call_function("shiftleft", F.lit(1).cast("long"), p.bitwiseAND(63).cast("int"))).otherwise(F.lit(0).cast("long")) for p in places]
-        return F.bit_or(reduce(lambda a, b: a.bitwiseOR(b), own)).alias(f"w{k}")
-
-    rows = listed.select(block.alias("block"), bits.alias("bits")).groupBy("block").agg(*[word(k) for k in range(8)]).collect()
+    places = F.explode(F.array(*[F.shiftrightunsigned(bits, 9 * b).bitwiseAND(511) for b in range(BITS)]))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place").bitwiseAND(63).cast("int"))
+    rows = listed.select(block.alias("block"), places.alias("place")).groupBy("block", F.shiftright("place", 6).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits"))
+    found = rows.toArrow()
     out = np.zeros((blocks, 8), np.uint64)
-    for row in rows:
-        out[row.block] = np.array(row[1:], np.int64).view(np.uint64)
+    out[found.column("block").to_numpy(), found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
     return out
 
 
