@@ -204,7 +204,7 @@ class Codec:
         live = np.flatnonzero(pair >= 0)
         order = live[np.argsort(pair[live], kind="stable")]
         ranks, first = np.unique(pair[order], return_index=True)
-        for rank, positions in zip(ranks.tolist(), np.split(order, first[1:]), strict=True):
+        for rank, positions in zip(ranks.tolist(), np.split(order, first[1:]), strict=False):
             queue.push(rank, -1)
             queue.buckets[rank] = positions.tolist()
         while queue.root:

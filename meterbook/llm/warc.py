@@ -111,6 +111,7 @@ def parsed(found: DataFrame) -> DataFrame:
     response verified against its payload's bytes."""
     length = _field("Content-Length").cast("int")
     payload = F.substring(F.col("record"), F.octet_length("header") + 1, length)
+    whole = F.octet_length("record") == F.octet_length("header") + length + 4
     fields = found.select(
         _field("WARC-Record-ID", "<urn:page:-?[0-9]*>").alias("urn"),
         _field("WARC-Type").alias("record_type"),
@@ -118,6 +119,7 @@ def parsed(found: DataFrame) -> DataFrame:
         _field("WARC-Refers-To", "<urn:page:-?[0-9]*>").alias("refers"),
         _field("WARC-Target-URI").alias("url"),
         payload.alias("payload"),
+        whole.alias("whole"),
     )
 
     def number(urn: Column) -> Column:
@@ -126,7 +128,7 @@ def parsed(found: DataFrame) -> DataFrame:
 
     named = F.substring("named", 8, 64)
     digest = F.when(F.col("record_type") == "revisit", named).otherwise(F.sha2("payload", 256))
-    checked = F.when(digest == named, digest).otherwise(F.raise_error(F.concat(F.lit("wrong payload for "), F.col("urn"))))
+    checked = F.when(F.col("whole") & (digest == named), digest).otherwise(F.raise_error(F.concat(F.lit("wrong payload for "), F.col("urn"))))
     return fields.select(number(F.col("urn")).alias("page_id"), "record_type", checked.alias("payload_digest"), number(F.col("refers")).alias("refers_to"), "url", "payload")
 
 
