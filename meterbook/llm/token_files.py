@@ -46,6 +46,12 @@ BLOCK_BYTES = 4_000_000
 MANIFEST = "part int, bin string, idx string, doc string, width int, n_docs long, n_ids long"
 
 
+def _folded(text: bytes) -> bytes:
+    """The text with A-Z lower-cased, for more words in common, unless it has combining marks
+    (they may compose with a small letter and not with the capital one)."""
+    return text if b"\xcc" in text or b"\xcd" in text else text.lower()
+
+
 class WordEncoder:
     """Encodes texts with a tokenizer whose pre-tokens never cross white space, word by word
     through a bounded cache. The tokenizer itself encodes every word."""
@@ -58,6 +64,7 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.cache: dict[bytes, bytes] = {}
+        self.folds = self._ids([b"A", b"a"])[0] == self._ids([b"a"])[0]  # a tokenizer of lower-cased text
 
     def _ids(self, words: list[bytes]) -> list[bytes]:
         out = []
@@ -68,7 +75,7 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian unsigned integers."""
-        split = [t.split() for t in texts]
+        split = [_folded(t).split() if self.folds else t.split() for t in texts]
         get = self.cache.get
         found = [list(map(get, words)) for words in split]
         missing = list({w for words, ids in zip(split, found, strict=True) if None in ids for w, i in zip(words, ids, strict=True) if i is None})
