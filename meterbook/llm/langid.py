@@ -26,10 +26,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from meterbook.llm.common import slices
+
 #: N-grams of a profile.
 PROFILE = 300
 #: Characters counted at once.
-PIECE = 1 << 20
+PIECE = 1 << 18
 #: More different labels than this are taken for a mistake in the table; it bounds what is broadcast.
 MAX_LANGUAGES = 2000
 UNKNOWN = "und"
@@ -81,7 +83,7 @@ def learn(docs: DataFrame, profile: int = PROFILE, text: str = "text", lang: str
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        for batch in it:
+        for batch in slices(it):
             texts: dict[str, list[np.ndarray]] = {}
             size = 0
 
@@ -149,7 +151,7 @@ def predict(docs: DataFrame, profiles: list[tuple[str, list[int]]], profile: int
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Profiles(shared.value, profile)
-        for batch in it:
+        for batch in slices(it):
             found = [model.predict(x.as_py()) for x in batch.column(text)]
             columns = [pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *columns], names=[*kept, "lang_pred", "score"])

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meterbook.llm.common import utf8
+from meterbook.llm.common import slices, utf8
 
 SIMILARITY = 0.8
 
@@ -134,7 +134,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, similarity: f
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Templates(chosen, similarity)
-        for batch in it:
+        for batch in slices(it):
             rows = [[dict(zip(_FOUND.names, x, strict=True)) for x in scanner.scan(t)] for t in utf8(batch.column(text))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(rows, kind)], names=[*kept, found])
 

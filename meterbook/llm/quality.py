@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meterbook.llm.common import utf8, written
+from meterbook.llm.common import slices, utf8, written
 
 #: Labelled documents that learning looks at, at most.
 SAMPLE_ROWS = 20_000
@@ -88,7 +88,7 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(c, T.LongType(), False) for c in COUNTS])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in slices(it):
             found = np.array([counts(x) for x in utf8(batch.column(text))], np.int64).reshape(-1, len(COUNTS))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(found[:, k]) for k in range(len(COUNTS)))], names=[*kept, *COUNTS])
 

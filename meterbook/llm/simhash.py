@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meterbook.llm.common import utf8, written
+from meterbook.llm.common import slices, utf8, written
 
 BYTES = 8
 #: Bytes of two fingerprints within three bits that agree at least.
@@ -93,7 +93,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, doc_id: str = "doc_id", text
     """doc_id and ``fp``, the fingerprint as a signed 64-bit integer. No shuffle."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in slices(it):
             found = np.array([fingerprint(x, shingle) for x in utf8(batch.column(1))], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
@@ -269,7 +269,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, doc_id
     """One row per document: doc_id, ``fp`` and ``component_id``, the smallest doc_id of its
     group."""
     marked = written(fingerprints(docs, shingle, doc_id, text), "simhash")
-    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # dealt out by number: each fingerprint becomes many postings, however few bytes they are now
+    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("low")).repartition(tasks, "fp")
     groups = components(links(distinct, max_bits))
     rooted = distinct.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
