@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterbook.llm.common import scratch
+from meterbook.llm.common import scratch, written
 
 #: Payloads with fewer bytes are kept with their record and never revisited.
 SMALL = 100
@@ -72,7 +72,8 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
         (F.min(F.xxhash64("payload")) == F.max(F.xxhash64("payload"))).alias("one_hash"),
     )
     verified = F.when(F.col("one_size") & F.col("one_hash"), F.col("first")).otherwise(F.raise_error(F.concat(F.lit("different payloads have the digest "), F.col("digest"))))
-    copies = seen.filter("times > 1").select("digest", verified.alias("first"))
+    # written, so that the planner knows their size before it moves any payload
+    copies = written(seen.filter("times > 1").select("digest", verified.alias("first")), "warc-copies")
 
     own = F.coalesce("page_id", F.lit(_LAST))
     marked = large.select("page_id", "payload", "digest").join(copies, "digest", "left")
