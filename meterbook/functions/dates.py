@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from meterbook.schema import DAY_SUFFIX
+
 # Only ISO-like text (year first) is a date; Spark alone would also read '2024-01'.
 _ISO_DATE_PREFIX = r"^\s*\d{4}[-/]\d{1,2}[-/]\d{1,2}"
 
@@ -22,9 +24,17 @@ def lenient_date(col) -> Column:
     return F.when(c.rlike(_ISO_DATE_PREFIX), dashed.try_cast(T.DateType()))
 
 
-def usage_day(usage_date="UsageDate", charge_start="ChargeStartDate") -> Column:
+def stored_or_parsed(df, other: str, usage_date: str = "UsageDate") -> Column:
+    """The readable day of the usage date text, or of the text of column ``other`` where there
+    is no usage date. A table that stores parsed days (``<name>_day``) is not parsed again."""
+    if all(c + DAY_SUFFIX in df.columns for c in (usage_date, other)):
+        return F.when(F.col(usage_date).isNotNull(), F.col(usage_date + DAY_SUFFIX)).otherwise(F.col(other + DAY_SUFFIX))
+    return lenient_date(F.coalesce(F.col(usage_date), F.col(other)))
+
+
+def usage_day(df) -> Column:
     """The day a usage row belongs to: its usage date, else its charge start date."""
-    return lenient_date(F.coalesce(_col(usage_date), _col(charge_start)))
+    return stored_or_parsed(df, "ChargeStartDate")
 
 
 def period_label(start_text, end_text) -> Column:

@@ -26,21 +26,21 @@ USAGE_COLUMNS = (
 
 USAGE_SCHEMA = T.StructType([T.StructField(c, T.StringType(), True) for c in USAGE_COLUMNS])
 
-# Columns the equality filter accepts (dashboard dropdowns / invoice scope).
+# Columns the equality filter accepts (dashboard dropdowns / invoice scope).
 EQUALITY_FILTER_COLUMNS = (
     "CustomerName", "CustomerDomainName", "InvoiceNumber", "ProductName", "ChargeType",
 )
 
-# Columns the free-text search reads.
+# Columns the free-text search reads.
 SEARCH_COLUMNS = ("CustomerName", "ProductName")
 
-# Grid columns that carry a contains-style header filter.
+# Grid columns that carry a contains-style header filter.
 CONTAINS_FILTER_COLUMNS = (
     "EntitlementDescription", "EntitlementId", "MeterCategory", "MeterSubCategory",
     "MeterName", "MeterType",
 )
 
-# Computed pricing columns, in grid order.
+# Computed pricing columns, in grid order.
 COMPUTED_COLUMNS = ("Forex", "PreTaxWithForex", "Margin", "TotalVATEx", "VAT", "TotalVATInc")
 
 # The standard 22-column grid (16 source + 6 computed), in display order.
@@ -52,19 +52,19 @@ STANDARD_VIEW = (
     "TotalVATInc",
 )
 
-# Column groups that can be shown or hidden together in the standard view.
+# Column groups that can be shown or hidden together in the standard view.
 COLUMN_GROUPS = {
     "entitlement": ("EntitlementDescription", "EntitlementId"),
     "meter": ("MeterCategory", "MeterSubCategory", "MeterName", "MeterType"),
 }
 
-# The seven keys of an invoice line.
+# The seven keys of an invoice line.
 INVOICE_KEYS = (
     "MeterCategory", "MeterSubCategory", "MeterName", "MeterType", "Unit",
     "EntitlementDescription", "EntitlementId",
 )
 
-# Extra keys that split one upload into per-customer invoices.
+# Extra keys that split one upload into per-customer invoices.
 INVOICE_SCOPE_KEYS = ("CustomerName", "CustomerDomainName", "InvoiceNumber")
 
 # Tie-breaker column persisted at ingest so that sorted pages never overlap.
@@ -74,11 +74,13 @@ CORRUPT_RECORD = "_corrupt_record"
 SOURCE_FILE = "_source_file"
 LOWER_SUFFIX = "_lc"
 DECIMAL_SUFFIX = "_dec"
+DAY_SUFFIX = "_day"
 
-# Amount columns stored a second time, parsed, at ingest.
+# Amount and date columns stored a second time, parsed, at ingest.
 AMOUNT_COLUMNS = ("Quantity", "PricingPreTaxTotal", "BillingPreTaxTotal")
+DATE_COLUMNS = ("UsageDate", "ChargeStartDate", "ChargeEndDate")
 
 
 def is_helper(column: str) -> bool:
     """Storage helper columns that reports do not show."""
-    return column in (CORRUPT_RECORD, SOURCE_FILE) or column.endswith((LOWER_SUFFIX, DECIMAL_SUFFIX))
+    return column in (CORRUPT_RECORD, SOURCE_FILE) or column.endswith((LOWER_SUFFIX, DECIMAL_SUFFIX, DAY_SUFFIX))

@@ -1,26 +1,31 @@
-"""Incremental landing: new CSV files in a folder become warehouse uploads, exactly once.
-
-A file stream source (all-string schema, header checked against it) feeds a
-``foreachBatch`` sink. Each file is one upload whose id is a hash of its path, so a
-replayed micro-batch rewrites the same partitions (dynamic partition overwrite) and the
-same manifest entry (keyed by the batch id): the result is the same as one clean run.
-The checkpoint records which files were taken, so a second run over the same folder
-adds nothing. ``availableNow`` processes what is there and stops.
+"""Incremental landing: new CSV files in a folder become warehouse uploads.
+
+The stream lists files (the binary-file source, without their content), and its checkpoint
+records which were taken, so a second run over the same folder adds nothing. Each file is
+one upload whose id is a hash of its path and is landed like any other upload: columns by
+header name, size and suffix checks, a manifest entry for each state. A file that cannot be
+landed is recorded as ``failed`` and the others go on. A micro-batch that is run again after
+a failure overwrites the same partitions and adds manifest entries that say the same, so the
+result is that of one clean run.
+
+A micro-batch is bounded in files; ``availableNow`` processes what is there and stops.
 """
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from typing import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from meterbook.operators.summary import ingest_profile
-from meterbook.schema import CORRUPT_RECORD, SOURCE_FILE, USAGE_COLUMNS
-from meterbook.sources import manifest as mf
-from meterbook.sources.usage_csv import CSV_GLOB, _by_contract, all_string_schema, csv_options
-from meterbook.sources.warehouse import prepare, write_uploads
+from meterbook.sources.usage_csv import CSV_GLOB
+from meterbook.sources.warehouse import land_upload
+
+# Files (uploads) of one micro-batch, and those that are landed at the same time.
+MAX_FILES, CONCURRENT = 256, 8
+FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
 def upload_id_of(path_col) -> F.Column:
@@ -28,51 +33,49 @@ def upload_id_of(path_col) -> F.Column:
     return F.xxhash64(path_col).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF))
 
 
-def usage_stream(spark: SparkSession, source_dir: str, header: Sequence[str] = USAGE_COLUMNS,
-                 multi_line: bool = False, max_files_per_trigger: int | None = None) -> DataFrame:
-    opts = csv_options(multi_line)
-    opts.update(pathGlobFilter=CSV_GLOB, enforceSchema="false")
-    if max_files_per_trigger:
-        opts["maxFilesPerTrigger"] = str(max_files_per_trigger)
-    raw = spark.readStream.options(**opts).schema(all_string_schema(header)).csv(source_dir)
-    return _by_contract(raw, header, keep_extra=True)
-
-
-def land_batch(batch: DataFrame, batch_id: int, warehouse_root: str, manifest_root: str) -> None:
-    """Write one micro-batch: rows to their upload partitions, one manifest row per file."""
-    batch = batch.withColumn("_upload", upload_id_of(F.col(SOURCE_FILE))).persist()
-    try:
-        write_uploads(prepare(batch.drop("_upload"), upload_id_of(F.col(SOURCE_FILE))), warehouse_root)
-        good = batch.where(F.col(CORRUPT_RECORD).isNull())
-        profile = ingest_profile(good, by="_upload")
-        counts = batch.groupBy("_upload").agg(
-            F.count_if(F.col(CORRUPT_RECORD).isNotNull()).alias("reject_count"),
-            F.min(SOURCE_FILE).alias("stored_path"),
-        )
-        now = F.localtimestamp()
-        done = counts.join(profile, "_upload", "left").select(
-            F.col("_upload").alias("upload_id"),
-            F.element_at(F.split("stored_path", "/"), -1).alias("original_filename"),
-            "stored_path",
-            F.lit("completed").alias("status"),
-            F.coalesce("row_count", F.lit(0)).alias("row_count"),
-            "reject_count", "pricing_pretax_total", "billing_pretax_total", "usage_start", "usage_end",
-            now.alias("created_at"), now.alias("completed_at"), now.alias("recorded_at"),
-        )
-        mf.append(manifest_root, done, f"stream-{batch_id}")
-    finally:
-        batch.unpersist()
+def file_stream(spark: SparkSession, source_dir: str, max_files_per_trigger: int = MAX_FILES,
+                clean_source: str = "off", archive_dir: str | None = None) -> DataFrame:
+    """New CSV files of a folder: ``path``, ``size`` and ``upload_id``. ``clean_source`` may be
+    ``delete`` or ``archive`` (to ``archive_dir``) for files whose batch has ended."""
+    opts = {"pathGlobFilter": CSV_GLOB, "maxFilesPerTrigger": str(max_files_per_trigger), "cleanSource": clean_source}
+    if archive_dir:
+        opts["sourceArchiveDir"] = archive_dir
+    found = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).options(**opts).load(source_dir)
+    return found.select("path", F.col("length").alias("size"), upload_id_of(F.col("path")).alias("upload_id"))
+
+
+def land_batch(batch: DataFrame, warehouse_root: str, manifest_root: str, **options) -> None:
+    """Land each file of a micro-batch, several at a time; failures are in the manifest."""
+    spark = batch.sparkSession
+
+    def land(row) -> None:
+        try:
+            land_upload(spark, row.path, warehouse_root, manifest_root, row.upload_id, row.path.rsplit("/", 1)[-1], **options)
+        except Exception as exc:  # land_upload has recorded it as failed; what it could not record must stop the batch
+            if not _recorded(spark, manifest_root, row.upload_id):
+                raise exc
+
+    with ThreadPoolExecutor(max_workers=CONCURRENT) as pool:
+        list(pool.map(land, batch.collect()))  # at most max_files_per_trigger small rows
+
+
+def _recorded(spark: SparkSession, manifest_root: str, upload_id: int) -> bool:
+    from meterbook.sources import manifest as mf
+
+    mine = mf.read(spark, manifest_root).where(F.col("upload_id") == upload_id)
+    return mf.latest(mine).where(F.col("status") == "failed").count() == 1
 
 
 def start_landing(spark: SparkSession, source_dir: str, warehouse_root: str, manifest_root: str,
-                  checkpoint_location: str, header: Sequence[str] = USAGE_COLUMNS,
-                  multi_line: bool = False, available_now: bool = True,
-                  max_files_per_trigger: int | None = None) -> StreamingQuery:
-    """Start the landing stream; with ``available_now`` it stops when the folder is drained.
-    ``max_files_per_trigger`` bounds the files (uploads) of one micro-batch."""
-    stream = usage_stream(spark, source_dir, header, multi_line, max_files_per_trigger)
+                  checkpoint_location: str, header: Sequence[str] | None = None,
+                  multi_line: bool = True, max_mb: float | None = None, available_now: bool = True,
+                  max_files_per_trigger: int = MAX_FILES, clean_source: str = "off",
+                  archive_dir: str | None = None) -> StreamingQuery:
+    """Start the landing stream; with ``available_now`` it stops when the folder is drained."""
+    stream = file_stream(spark, source_dir, max_files_per_trigger, clean_source, archive_dir)
+    options = dict(header=header, multi_line=multi_line, max_mb=max_mb)
     writer = (
-        stream.writeStream.foreachBatch(lambda df, bid: land_batch(df, bid, warehouse_root, manifest_root))
+        stream.writeStream.foreachBatch(lambda df, _: land_batch(df, warehouse_root, manifest_root, **options))
         .option("checkpointLocation", checkpoint_location)
     )
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
