@@ -96,10 +96,14 @@ def _decimal_lit(value: Decimal, precision: int | None = None, scale: int | None
 
 
 def weighted_price(price_sum, quantity_sum) -> Column:
-    """Σprice ÷ Σquantity as an exact DECIMAL(38,12) quotient (half-up), 0 when Σquantity = 0."""
-    p = _col(price_sum).cast(_DIVISION_OPERAND)
-    q = _col(quantity_sum).cast(_DIVISION_OPERAND)
-    return F.when(q == 0, F.lit(Decimal(0)).cast(MONEY)).otherwise((p / q).cast(MONEY))
+    """Σprice ÷ Σquantity as an exact DECIMAL(38,12) quotient (half-up), 0 when Σquantity = 0.
+
+    Where either sum reaches 10^14 the quotient keeps six places, so a very large sum costs
+    places and not the report."""
+    p, q = _col(price_sum), _col(quantity_sum)
+    exact = (p.try_cast(_DIVISION_OPERAND) / q.try_cast(_DIVISION_OPERAND)).cast(MONEY)
+    wide = F.try_divide(p.cast(MONEY), q.cast(MONEY)).try_cast(MONEY)
+    return F.when(q == 0, F.lit(Decimal(0)).cast(MONEY)).otherwise(F.coalesce(exact, wide))
 
 
 def weighted_price_double(price_sum, quantity_sum) -> Column:
@@ -113,18 +117,20 @@ def priced_decimal(value, forex: Decimal, margin: Decimal, vat: Decimal) -> Colu
 
     The product ``value * (forex * vat)`` is exact. The divisor's scale is chosen so that
     Spark's decimal division yields DECIMAL(38,12) directly (one rounding, no second cast).
-    Amounts must stay below 10^14.
+    Amounts from 10^14 on are computed with the places that DECIMAL(38) leaves (six or more).
     """
     rate = Decimal(forex) * Decimal(vat)
     rate_p, rate_s = _digits(rate)
     margin_p, margin_s = _digits(margin)
-    numerator = _col(value).cast(_DIVISION_OPERAND) * _decimal_lit(rate)
+    numerator = _col(value).try_cast(_DIVISION_OPERAND) * _decimal_lit(rate)
+    wide = F.try_divide(F.try_multiply(_col(value).cast(MONEY), _decimal_lit(rate)), _decimal_lit(margin)).try_cast(MONEY)
     # quotient integer digits = (27 + rate_p) - (12 + rate_s) + divisor scale; 26 of them leave 12 fraction digits
     divisor_scale = 11 - rate_p + rate_s
     if rate_p > 11 or divisor_scale < margin_s:
-        return (numerator / _decimal_lit(margin)).cast(MONEY)
+        return F.coalesce((numerator / _decimal_lit(margin)).cast(MONEY), wide)
     divisor_int = margin_p - margin_s
-    return numerator / _decimal_lit(margin, min(38, divisor_scale + max(divisor_int, 1) + 8), divisor_scale)
+    exact = numerator / _decimal_lit(margin, min(38, divisor_scale + max(divisor_int, 1) + 8), divisor_scale)
+    return F.coalesce(exact, wide)
 
 
 def decimal_text(col, min_fraction_digits: int = 0) -> Column:

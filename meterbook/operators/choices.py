@@ -9,39 +9,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterbook.functions.text import non_blank
+from meterbook.functions.text import choice_label, non_blank
 from meterbook.operators.filters import UsageFilter, apply_filter
 from meterbook.operators.ranking import top_k_per_group
 
-MAX_OPTIONS = 50
-MAX_INVOICES = 2000
 
-
-def invoice_list(df: DataFrame, flt: UsageFilter | None = None, limit: int | None = 200) -> DataFrame:
-    """Distinct non-blank invoice numbers (kept untrimmed) in ascending order, at most ``limit``.
-
-    ``limit`` of ``None`` / 0 lists all of them (a sorted, range-partitioned result)."""
-    if limit and not 1 <= limit <= MAX_INVOICES:
-        raise ValueError(f"limit must be within 1..{MAX_INVOICES}")
+def invoice_list(df: DataFrame, flt: UsageFilter | None = None, limit: int | None = None) -> DataFrame:
+    """Distinct non-blank invoice numbers (kept untrimmed) in ascending order: all of them
+    (a sorted, range-partitioned result), or the first ``limit``."""
     base = apply_filter(df, flt).where(non_blank("InvoiceNumber"))
     ordered = base.select("InvoiceNumber").distinct().orderBy(F.col("InvoiceNumber").asc_nulls_last())
     return ordered.limit(limit) if limit else ordered
 
 
-def filter_options(df: DataFrame, column: str = "CustomerName", max_options: int = MAX_OPTIONS) -> DataFrame:
-    """Choices for one filter column: distinct non-blank values (``value``, ``label``),
-    the ``max_options`` first by label (case-folded, then exact).
-
-    Which 50 are kept does not depend on file order."""
+def filter_options(df: DataFrame, column: str = "CustomerName", max_options: int | None = None) -> DataFrame:
+    """Choices for one filter column in label order (case-folded, then exact): distinct
+    non-blank values (``value``), their trimmed ``label`` and the ``option`` text shown in a
+    list. All of them, or the ``max_options`` first, whatever the file order."""
     values = df.where(non_blank(column)).select(F.col(column).alias("value")).distinct()
-    labelled = values.select("value", F.col("value").alias("label"))
-    return labelled.orderBy(F.lower("label"), F.col("label")).limit(max_options)
+    labelled = values.select("value", F.trim("value").alias("label"), choice_label("value", "value").alias("option"))
+    ordered = labelled.orderBy(F.lower("label"), F.col("label"), F.col("value"))
+    return ordered.limit(max_options) if max_options else ordered
 
 
-def customer_domains(df: DataFrame, max_per_customer: int = MAX_OPTIONS) -> DataFrame:
+def customer_domains(df: DataFrame, max_per_customer: int | None = None) -> DataFrame:
     """Domains per customer (both present and non-empty): ``CustomerName``,
-    ``CustomerDomainName``, ``domain_rank``; at most ``max_per_customer`` per customer,
-    the first by name."""
+    ``CustomerDomainName``, ``domain_rank`` by name. All of them, or the first
+    ``max_per_customer`` of each customer."""
     pairs = (
         df.where(F.coalesce(F.col("CustomerName"), F.lit("")) != "")
         .where(F.coalesce(F.col("CustomerDomainName"), F.lit("")) != "")
@@ -53,7 +47,8 @@ def customer_domains(df: DataFrame, max_per_customer: int = MAX_OPTIONS) -> Data
     )
 
 
-def all_domains(df: DataFrame, max_options: int = MAX_OPTIONS) -> DataFrame:
-    """Domain choices when no customer is selected: the first ``max_options`` by name."""
+def all_domains(df: DataFrame, max_options: int | None = None) -> DataFrame:
+    """Domain choices when no customer is selected, by name (the first ``max_options``)."""
     values = df.where(F.coalesce(F.col("CustomerDomainName"), F.lit("")) != "")
-    return values.select("CustomerDomainName").distinct().orderBy("CustomerDomainName").limit(max_options)
+    ordered = values.select("CustomerDomainName").distinct().orderBy("CustomerDomainName")
+    return ordered.limit(max_options) if max_options else ordered

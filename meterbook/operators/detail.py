@@ -11,9 +11,7 @@ from meterbook.functions.dates import lenient_date
 from meterbook.operators.filters import UsageFilter, apply_filter
 from meterbook.operators.pricing import drop_computed_names, grid_pricing, grid_pricing_columns
 from meterbook.params import PricingParams
-from meterbook.schema import COMPUTED_COLUMNS, COLUMN_GROUPS, ROW_ID, STANDARD_VIEW
-
-MAX_PAGE_SIZE = 5000
+from meterbook.schema import COMPUTED_COLUMNS, COLUMN_GROUPS, ROW_ID, STANDARD_VIEW, UPLOAD_ID
 
 
 def requested_columns(df: DataFrame, columns: Sequence[str] | None) -> list[str] | None:
@@ -31,7 +29,8 @@ def requested_columns(df: DataFrame, columns: Sequence[str] | None) -> list[str]
 
 
 def detail_order(df: DataFrame, date_column: str = "UsageDate", date_mode: str = "text") -> list[Column]:
-    """Newest usage first, missing dates last, then the persisted row id so that pages never overlap.
+    """Newest usage first, missing dates last, then the upload and the persisted row id (unique
+    within an upload), so that pages never overlap, whether over one upload or many.
 
     ``date_mode="text"`` orders the date text as strings (right for ISO dates, like a VARCHAR
     column); ``"date"`` orders by the parsed date, with unreadable text last."""
@@ -39,8 +38,7 @@ def detail_order(df: DataFrame, date_column: str = "UsageDate", date_mode: str =
         raise ValueError("date_mode is 'text' or 'date'")
     key = F.col(date_column) if date_mode == "text" else lenient_date(date_column)
     order = [key.desc_nulls_last()]
-    if ROW_ID in df.columns:
-        order.append(F.col(ROW_ID).asc_nulls_last())
+    order += [F.col(c).asc_nulls_last() for c in (UPLOAD_ID, ROW_ID) if c in df.columns]
     return order
 
 
@@ -78,8 +76,8 @@ def detail_page(
     """
     if page < 1:
         raise ValueError("page starts at 1")
-    if page_size is not None and not 0 <= page_size <= MAX_PAGE_SIZE:
-        raise ValueError(f"page size must be within 0..{MAX_PAGE_SIZE}")
+    if page_size is not None and page_size < 0:
+        raise ValueError("page size is not negative")
     base = apply_filter(df, flt)
     wanted = requested_columns(base, columns)
     source = [F.col(c) for c in wanted] if wanted else [F.col(c) for c in drop_computed_names(base).columns]
@@ -93,22 +91,33 @@ def detail_page(
 def detail_after(
     df: DataFrame,
     last_usage_date: str | None,
-    last_row_id: str,
+    last_row_id,
     params: PricingParams = PricingParams(),
     flt: UsageFilter | None = None,
     page_size: int = 100,
+    last_upload_id: int | None = None,
+    columns: Sequence[str] | None = None,
+    on_bad_number: str = "fail",
+    date_mode: str = "text",
 ) -> DataFrame:
-    """Keyset page: the ``page_size`` rows that follow ``(last_usage_date, last_row_id)`` in
-    detail order. Cost does not grow with the page number, unlike an offset."""
+    """Keyset page: the ``page_size`` rows that follow the row with ``last_usage_date`` (its
+    text), ``last_upload_id`` (needed where the table holds several uploads) and
+    ``last_row_id`` in detail order. Cost does not grow with the page number, unlike an offset."""
     base = apply_filter(df, flt)
-    d, r = F.col("UsageDate"), F.col(ROW_ID)
-    if last_usage_date is None:
-        after = d.isNull() & (r > F.lit(last_row_id))
-    else:
-        last = F.lit(last_usage_date)
-        after = d.isNull() | (d < last) | ((d == last) & (r > F.lit(last_row_id)))
-    rows = base.where(after).orderBy(*detail_order(base))
-    return rows.select(*[F.col(c) for c in drop_computed_names(base).columns], *grid_pricing_columns(params)).limit(page_size)
+    if date_mode not in ("text", "date"):
+        raise ValueError("date_mode is 'text' or 'date'")
+    text = F.lit(last_usage_date).cast("string")
+    day, last = (F.col("UsageDate"), text) if date_mode == "text" else (lenient_date("UsageDate"), lenient_date(text))
+    later = F.col(ROW_ID) > F.lit(last_row_id)
+    if UPLOAD_ID in base.columns and last_upload_id is not None:
+        upload, mine = F.col(UPLOAD_ID), F.lit(int(last_upload_id))
+        later = (upload > mine) | ((upload == mine) & later)
+    # null days come last; a null last day leaves only them
+    after = F.when(last.isNull(), day.isNull() & later).otherwise(day.isNull() | (day < last) | ((day == last) & later))
+    wanted = requested_columns(base, columns)
+    source = [F.col(c) for c in wanted or drop_computed_names(base).columns]
+    rows = base.where(after).orderBy(*detail_order(base, date_mode=date_mode))
+    return rows.select(*source, *grid_pricing_columns(params, on_bad_number=on_bad_number)).limit(page_size)
 
 
 def detail_count(df: DataFrame, flt: UsageFilter | None = None) -> DataFrame:
@@ -122,13 +131,14 @@ def standard_view(
     flt: UsageFilter | None = None,
     hide_groups: Sequence[str] = (),
     hide_columns: Sequence[str] = (),
+    on_bad_number: str = "fail",
 ) -> DataFrame:
     """The 22-column grid (16 source + 6 computed), optionally without some column groups."""
     hidden = set(hide_columns)
     for g in hide_groups:
         hidden.update(COLUMN_GROUPS[g])
     base = apply_filter(df, flt)
-    pricing = grid_pricing(params)
+    pricing = grid_pricing(params, on_bad_number=on_bad_number)
     cols = []
     for name in STANDARD_VIEW:
         if name in hidden:

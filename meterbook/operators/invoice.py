@@ -1,22 +1,30 @@
-"""Invoices: lines, subtotals, totals, period and export rows from ONE aggregate.
-
-All invoice parts are rolled up from :func:`line_sums`, a single scan with one partial
-aggregate keyed by the seven line keys (plus customer, domain and invoice number for a
-batch of invoices). Decimal sums are associative, so totals and subtotals taken from the
-line sums equal those taken from the rows, and the weighted unit price is recomputed from
-summed parts, never averaged. Distinct tags are the only collected state; they are
-de-duplicated map-side by ``collect_set`` before the shuffle. Parts that do not need tags
-(totals, subtotals, period) ask for ``with_tags=False`` and get a plain hash aggregate.
+"""Invoices: lines, subtotals, totals, period and export rows from aggregates of one scan.
+
+Invoice parts with lines are rolled up from :func:`line_sums`, keyed by the seven line keys
+(plus customer, domain and invoice number for a batch of invoices). Decimal sums are
+associative, so totals and subtotals taken from the line sums equal those taken from the
+rows, and the weighted unit price is recomputed from summed parts, never averaged. Totals
+and period alone come from :func:`scope_sums`, which never forms lines.
+
+Tags and spellings are group keys of a first hash aggregate and are merged by a second one
+over its much smaller output, so a line with very many different tags is spread over all
+tasks before they are listed, and no string state is kept while rows are read.
+
+In a batch, invoices are compared ignoring case like the single-invoice filter. The folded
+keys stay with every intermediate result; an invoice shows the smallest spelling among all
+of its rows.
 """
 
 from __future__ import annotations
 
+import functools
+import operator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterbook.functions.dates import lenient_date, period_label
+from meterbook.functions.dates import period_label, stored_or_parsed
 from meterbook.functions.numbers import (
     MONEY, amount, decimal_text, export_number, priced_decimal, to_double, weighted_price,
     weighted_price_double,
@@ -49,59 +57,104 @@ def _zero() -> Column:
     return F.lit(0).cast(MONEY)
 
 
-def _scope(sums: DataFrame) -> list[str]:
-    return [c for c in SCOPE_COLS if c in sums.columns]
+# Folded keys and spellings that intermediate results of a batch carry.
+KEY_COLS = {n: f"_k_{n}" for n in SCOPE_COLS}
+SPELLING_COLS = {n: f"_s_{n}" for n in SCOPE_COLS}
 
 
-def line_sums(df: DataFrame, flt: UsageFilter | None = None, batch: bool = False, with_tags: bool = True,
-              period_mode: str = "date") -> DataFrame:
-    """Per invoice line: exact (lenient) sums of quantity, pricing and billing, the distinct
-    non-blank tags, and the first / last usage day.
+def _keys(sums: DataFrame) -> list[str]:
+    return [k for k in KEY_COLS.values() if k in sums.columns]
 
-    ``batch=True`` also keys by customer, domain and invoice number, compared ignoring
-    case like the single-invoice filter, and shows the smallest spelling of each.
 
-    Plan: one partial aggregate before one shuffle. With tags, ``collect_set`` dedups them
-    map-side in the same pass. Without tags every buffer is fixed-width, so Spark
-    hash-aggregates; a tag-less batch first sums by the exact spellings and then merges
-    spellings that differ only in case over that smaller output, so that the string
-    ``min`` of the shown spelling never forces a sort of the rows.
+def _scope(df: DataFrame) -> list[str]:
+    return [c for c in SCOPE_COLS if c in df.columns]
 
-    ``period_mode="date"`` takes the earliest / latest readable usage date (chronological
-    order, fixed-width buffers). ``"text"`` compares the date text as strings, like a
-    VARCHAR column; string buffers then need a sort- or object-based aggregate.
-    """
+
+def _measures(base: DataFrame, period_mode: str) -> list[Column]:
+    """Exact (lenient) sums and the first / last usage day of a group of rows."""
     if period_mode not in ("date", "text"):
         raise ValueError("period_mode is 'date' or 'text'")
-    base = apply_filter(df, flt)
-    first = F.coalesce(F.col("UsageDate"), F.col("ChargeStartDate"))
-    last = F.coalesce(F.col("UsageDate"), F.col("ChargeEndDate"))
+    days = [F.coalesce(F.col("UsageDate"), F.col(c)) for c in ("ChargeStartDate", "ChargeEndDate")]
     if period_mode == "date":
-        first, last = lenient_date(first), lenient_date(last)
-    measures = [
+        days = [stored_or_parsed(base, c) for c in ("ChargeStartDate", "ChargeEndDate")]
+    return [
         F.sum(amount(base, "Quantity", strict=False)).alias("_q"),
         F.sum(amount(base, "PricingPreTaxTotal", strict=False)).alias("_p"),
         F.sum(amount(base, "BillingPreTaxTotal", strict=False)).alias("_b"),
-        F.min(first).alias("_start"),
-        F.max(last).alias("_end"),
+        F.min(days[0]).alias("_start"),
+        F.max(days[1]).alias("_end"),
     ]
-    if with_tags:
-        tags = F.array_join(F.array_sort(F.collect_set(blank_to_null("Tags"))), ", ")
-        measures.append(F.nullif(tags, F.lit("")).alias("tags"))
+
+
+_MERGED = [F.sum, F.sum, F.sum, F.min, F.max]
+
+
+def _merged_measures() -> list[Column]:
+    return [f(c).alias(c) for f, c in zip(_MERGED, ("_q", "_p", "_b", "_start", "_end"))]
+
+
+def _exact_scope(batch: bool) -> list[Column]:
+    return [F.col(src).alias(SPELLING_COLS[n]) for src, n in SCOPE_NAMES.items()] if batch else []
+
+
+def _folded(rows: DataFrame, batch: bool, *more: str) -> tuple[DataFrame, list[str]]:
+    """``rows`` dealt out by the folded invoice keys and ``more``, and those column names. The
+    explicit exchange also keeps the first aggregate in the plan where a caller needs no sums
+    of it, so that no string is ever aggregated over the rows themselves."""
+    keys = list(KEY_COLS.values()) if batch else []
+    folded = rows.withColumns({KEY_COLS[n]: F.lower(SPELLING_COLS[n]) for n in SCOPE_COLS}) if batch else rows
+    by = [*keys, *more]
+    return folded.repartition(*by), by
+
+
+def _smallest_spelling(batch: bool) -> list[Column]:
+    return [F.min(SPELLING_COLS[n]).alias(SPELLING_COLS[n]) for n in SCOPE_COLS] if batch else []
+
+
+def line_sums(df: DataFrame, flt: UsageFilter | None = None, batch: bool = False, with_tags: bool = True,
+              period_mode: str = "date") -> DataFrame:
+    """Per invoice line: exact (lenient) sums of quantity, pricing and billing, the distinct
+    non-blank tags, and the first / last usage day; in a ``batch`` also the folded invoice
+    keys and the smallest spelling of each.
+
+    ``period_mode="date"`` takes the earliest / latest readable usage date (chronological
+    order, fixed-width buffers). ``"text"`` compares the date text as strings, like a
+    VARCHAR column; string buffers then need a sort- or object-based aggregate.
+    """
+    base = apply_filter(df, flt)
     line_keys = [F.col(src).alias(name) for src, name in LINE_NAMES.items()]
+    tag = [blank_to_null("Tags").alias("_tag")] if with_tags else []
+    rows = base.groupBy(*_exact_scope(batch), *line_keys, *tag).agg(*_measures(base, period_mode))
+    if not batch and not with_tags:
+        return rows
+    tags = F.nullif(F.array_join(F.array_sort(F.collect_set("_tag")), ", "), F.lit("")).alias("tags")
+    dealt, by = _folded(rows, batch, *LINE_COLS)
+    return dealt.groupBy(*by).agg(
+        *_smallest_spelling(batch), *_merged_measures(), *([tags] if with_tags else []))
+
+
+def scope_sums(df: DataFrame, flt: UsageFilter | None = None, batch: bool = False,
+               period_mode: str = "date") -> DataFrame:
+    """The measures of :func:`line_sums` for whole invoices, aggregated from the rows directly:
+    what totals and period need when no lines are shown."""
+    base = apply_filter(df, flt)
+    rows = base.groupBy(*_exact_scope(batch)).agg(*_measures(base, period_mode))
     if not batch:
-        return base.groupBy(*line_keys).agg(*measures)
-    lowered = [F.lower(F.col(src)).alias("_k_" + name) for src, name in SCOPE_NAMES.items()]
-    if with_tags:
-        sums = base.groupBy(*lowered, *line_keys).agg(*[F.min(src).alias(n) for src, n in SCOPE_NAMES.items()], *measures)
-    else:
-        exact = base.groupBy(*[F.col(src).alias(n) for src, n in SCOPE_NAMES.items()], *line_keys).agg(*measures)
-        sums = exact.groupBy(*[F.lower(n).alias("_k_" + n) for n in SCOPE_COLS], *LINE_COLS).agg(
-            *[F.min(n).alias(n) for n in SCOPE_COLS],
-            F.sum("_q").alias("_q"), F.sum("_p").alias("_p"), F.sum("_b").alias("_b"),
-            F.min("_start").alias("_start"), F.max("_end").alias("_end"),
-        )
-    return sums.drop(*[c for c in sums.columns if c.startswith("_k_")])
+        return rows
+    dealt, by = _folded(rows, batch)
+    return dealt.groupBy(*by).agg(*_smallest_spelling(batch), *_merged_measures())
+
+
+def _shown(parts: DataFrame, sums: DataFrame) -> DataFrame:
+    """``parts`` with the invoice's smallest spelling in place of its folded keys."""
+    keys = _keys(parts)
+    if not keys:
+        return parts
+    names = sums.groupBy(*[F.col(k).alias(f"{k}_n") for k in keys]).agg(
+        *[F.min(SPELLING_COLS[n]).alias(n) for n in SCOPE_COLS])
+    same = [F.col(k).eqNullSafe(F.col(f"{k}_n")) for k in keys]
+    joined = parts.join(names, functools.reduce(operator.and_, same))
+    return joined.select(*SCOPE_COLS, *[c for c in parts.columns if c not in keys and c not in SPELLING_COLS.values()])
 
 
 def _priced(sums: DataFrame, params: PricingParams) -> DataFrame:
@@ -110,7 +163,7 @@ def _priced(sums: DataFrame, params: PricingParams) -> DataFrame:
     p = F.coalesce(F.col("_p"), _zero())
     b = F.coalesce(F.col("_b"), _zero())
     return sums.select(
-        *[F.col(c) for c in sums.columns if not c.startswith("_")],
+        *[F.col(c) for c in sums.columns if not c.startswith("_") or c in KEY_COLS.values()],
         q.alias("_qd"),
         F.coalesce(weighted_price("_p", "_q"), _zero()).alias("_ud"),
         F.coalesce(weighted_price_double("_p", "_q"), F.lit(0.0)).alias("_u"),
@@ -142,7 +195,7 @@ def invoice_items(sums: DataFrame, params: PricingParams = PricingParams()) -> D
     Σpricing ÷ Σquantity (0 when Σquantity is 0 or missing)."""
     priced = _priced(sums, params)
     tags = ["tags"] if "tags" in sums.columns else []
-    return priced.select(*_scope(sums), *LINE_COLS, *tags, *_amounts())
+    return _shown(priced.select(*_keys(sums), *LINE_COLS, *tags, *_amounts()), sums)
 
 
 def invoice_subtotals(sums: DataFrame, params: PricingParams = PricingParams()) -> DataFrame:
@@ -150,10 +203,10 @@ def invoice_subtotals(sums: DataFrame, params: PricingParams = PricingParams())
     the priced lines: ``level`` is ``subtotal`` or ``total``; amounts are exact sums of the
     line amounts (so subtotals add up to the grand row)."""
     priced = _priced(sums, params)
-    scope = _scope(sums)
+    scope = _keys(sums)
     cat, sub = "meter_category", "meter_sub_category"
     g = priced.groupingSets([[*scope, cat, sub], list(scope)], *scope, cat, sub).agg(
-        F.grouping_id(cat, sub).alias("_gid"),
+        F.grouping(cat).alias("_gid"),
         F.sum("_vd").alias("_v"),
         F.sum("_qd").alias("_sq"),
     )
@@ -161,21 +214,27 @@ def invoice_subtotals(sums: DataFrame, params: PricingParams = PricingParams())
     label = F.when(
         F.col("_gid") == 0, F.concat(F.lit("Subtotal for "), label_or(sub, "Unspecified"))
     ).otherwise(F.lit("Total"))
-    return g.select(
+    parts = g.select(
         *scope, cat, sub, level.alias("level"), label.alias("label"),
         to_double("_v").alias("subtotal_vat_inc"),
         decimal_text("_v", 2).alias("subtotal_vat_inc_raw"),
         to_double("_sq").alias("subtotal_quantity"),
     )
+    return _shown(parts, sums)
+
+
+def _by_invoice(sums: DataFrame, *measures: Column) -> DataFrame:
+    """Measures of each invoice under its smallest spelling."""
+    keys = _keys(sums)
+    spelled = [F.min(SPELLING_COLS[n]).alias(n) for n in SCOPE_COLS] if keys else []
+    return sums.groupBy(*keys).agg(*spelled, *measures).drop(*keys)
 
 
 def invoice_totals(sums: DataFrame, params: PricingParams = PricingParams()) -> DataFrame:
     """Invoice totals (one row per invoice): quantity, weighted unit price, pre-tax pricing,
     billing and VAT-inclusive total, each as a double and as exact text."""
-    scope = _scope(sums)
-    rolled = sums.groupBy(*scope).agg(
-        F.sum("_q").alias("_q"), F.sum("_p").alias("_p"), F.sum("_b").alias("_b")
-    )
+    rolled = _by_invoice(sums, F.sum("_q").alias("_q"), F.sum("_p").alias("_p"), F.sum("_b").alias("_b"))
+    scope = _scope(rolled)
     priced = _priced(rolled, params)
     return priced.select(
         *scope,
@@ -194,45 +253,49 @@ def invoice_totals(sums: DataFrame, params: PricingParams = PricingParams()) ->
 
 def invoice_period(sums: DataFrame) -> DataFrame:
     """First and last usage day (``YYYY-MM-DD`` text) and the period label of each invoice."""
-    scope = _scope(sums)
-    bounds = sums.groupBy(*scope).agg(
-        F.min("_start").cast("string").alias("period_start"), F.max("_end").cast("string").alias("period_end"))
-    return bounds.select(*scope, "period_start", "period_end", period_label("period_start", "period_end").alias("period_label"))
+    bounds = _by_invoice(
+        sums, F.min("_start").cast("string").alias("period_start"), F.max("_end").cast("string").alias("period_end"))
+    return bounds.select(*_scope(bounds), "period_start", "period_end", period_label("period_start", "period_end").alias("period_label"))
 
 
-def invoice_export(sums: DataFrame, params: PricingParams = PricingParams()) -> DataFrame:
+_BLANKED = ("meter_category", "meter_sub_category", "meter_name", "meter_type", "unit")
+
+
+def invoice_export(sums: DataFrame, params: PricingParams = PricingParams(), order_keys: bool = False) -> DataFrame:
     """The rows of the invoice CSV: one per line (raw amounts), then a ``TOTAL`` row with the
-    total quantity and VAT-inclusive amount. ``row_kind`` is 0 for lines, 1 for the total."""
-    scope = _scope(sums)
-    items = invoice_items(sums, params).select(
-        *scope,
-        F.lit(0).alias("row_kind"),
-        *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("meter_category", "meter_sub_category", "meter_name", "meter_type", "unit")],
-        export_number("quantity_raw", "quantity").alias("quantity"),
-        export_number("unit_price_raw", "unit_price").alias("unit_price"),
-        export_number("total_vat_inc_raw", "total_vat_inc").alias("total_vat_inc"),
-        F.coalesce(F.col("tags"), F.lit("")).alias("tags"),
-        first_usable("entitlement_description", "entitlement_id").alias("entitlement"),
-    )
-    blank = F.lit("")
-    totals = invoice_totals(sums, params).select(
-        *scope,
-        F.lit(1).alias("row_kind"),
-        *[blank.alias(c) for c in ("meter_category", "meter_sub_category", "meter_name", "meter_type", "unit")],
-        export_number("quantity_raw", "total_quantity").alias("quantity"),
-        blank.alias("unit_price"),
-        export_number("total_vat_inc_raw", "total_vat_inc").alias("total_vat_inc"),
-        F.lit("TOTAL").alias("tags"),
-        blank.alias("entitlement"),
+    total quantity and VAT-inclusive amount. ``row_kind`` is 0 for lines, 1 for the total.
+
+    Lines and totals are two grouping sets of one aggregate over the line sums. With
+    ``order_keys`` the rows also carry the line keys as they were (``_o_*``), null where a
+    line has none, for the print order."""
+    keys = _keys(sums)
+    own = [*LINE_COLS, "tags"]
+    both = sums.groupingSets([[*keys, *own], list(keys)], *keys, *own).agg(
+        F.grouping("unit").cast("int").alias("row_kind"),
+        F.sum("_q").alias("_q"), F.sum("_p").alias("_p"), F.sum("_b").alias("_b"))
+    line = F.col("row_kind") == 0
+    priced = _priced(both, params)
+    rows = priced.select(
+        *keys,
+        "row_kind",
+        *[F.when(line, F.coalesce(F.col(c), F.lit(""))).otherwise(F.lit("")).alias(c) for c in _BLANKED],
+        export_number(decimal_text("_qd"), to_double("_qd")).alias("quantity"),
+        F.when(line, export_number(decimal_text("_ud", 2), F.col("_u"))).otherwise(F.lit("")).alias("unit_price"),
+        export_number(decimal_text("_vd", 2), to_double("_vd")).alias("total_vat_inc"),
+        F.when(line, F.coalesce(F.col("tags"), F.lit(""))).otherwise(F.lit("TOTAL")).alias("tags"),
+        F.when(line, first_usable("entitlement_description", "entitlement_id")).otherwise(F.lit("")).alias("entitlement"),
+        *[F.col(c).alias(f"_o_{c}") for c in LINE_COLS],
     )
-    return items.unionByName(totals)
+    shown = _shown(rows, sums)
+    return shown if order_keys else shown.drop(*[f"_o_{c}" for c in LINE_COLS])
 
 
-def line_order(scope: list[str] | tuple[str, ...] = ()) -> list[Column]:
-    """Invoice line order: category, subcategory, meter, entitlement, then the other keys."""
-    cols = [*scope, "meter_category", "meter_sub_category", "meter_name", "entitlement_description",
+def line_order(scope: list[str] | tuple[str, ...] = (), prefix: str = "") -> list[Column]:
+    """Invoice line order: category, subcategory, meter, entitlement, then the other keys,
+    missing ones last."""
+    cols = ["meter_category", "meter_sub_category", "meter_name", "entitlement_description",
             "meter_type", "unit", "entitlement_id"]
-    return [F.col(c).asc_nulls_last() for c in cols]
+    return [F.col(c).asc_nulls_last() for c in [*scope, *[prefix + c for c in cols]]]
 
 
 @dataclass
@@ -266,7 +329,7 @@ class Invoice:
 
     @property
     def export_rows(self) -> DataFrame:
-        return invoice_export(self.sums, self.params)
+        return invoice_export(self.sums, self.params, order_keys=True)
 
 
 def build_invoice(df: DataFrame, params: PricingParams = PricingParams(), flt: UsageFilter | None = None,

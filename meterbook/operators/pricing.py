@@ -45,9 +45,10 @@ def grid_pricing_columns(params: PricingParams, amount: str = "PricingPreTaxTota
     return list(grid_pricing(params, amount, on_bad_number).values())
 
 
-def with_grid_pricing(df: DataFrame, params: PricingParams, amount: str = "PricingPreTaxTotal") -> DataFrame:
+def with_grid_pricing(df: DataFrame, params: PricingParams, amount: str = "PricingPreTaxTotal",
+                      on_bad_number: str = "fail") -> DataFrame:
     """Append the six computed pricing columns to every column of ``df``."""
-    pricing = grid_pricing_columns(params, amount)
+    pricing = grid_pricing_columns(params, amount, on_bad_number)
     return drop_computed_names(df).select("*", *pricing)
 
 
@@ -58,7 +59,8 @@ def strategy_price(price, markup_percent, discount_percent):
     return price * (F.lit(1.0) + markup / F.lit(100.0)) * (F.lit(1.0) - discount / F.lit(100.0))
 
 
-def with_strategy_pricing(df: DataFrame, strategies: DataFrame, amount: str = "PricingPreTaxTotal") -> DataFrame:
+def with_strategy_pricing(df: DataFrame, strategies: DataFrame, amount: str = "PricingPreTaxTotal",
+                          on_bad_number: str = "fail") -> DataFrame:
     """Left-join per-customer strategies (``customer_name, name, markup_percent,
     discount_percent``) and add ``StrategyName`` and ``StrategyPrice``.
 
@@ -72,9 +74,10 @@ def with_strategy_pricing(df: DataFrame, strategies: DataFrame, amount: str = "P
         F.col("markup_percent").alias("_s_markup"),
         F.col("discount_percent").alias("_s_discount"),
     )
+    price = strict_double(amount) if is_strict(on_bad_number) else lenient_double(amount)
     joined = df.join(s, df["CustomerName"] == s["_s_customer"], "left")
     return joined.select(
         *[df[c] for c in df.columns],
         F.col("StrategyName"),
-        strategy_price(strict_double(amount), F.col("_s_markup"), F.col("_s_discount")).alias("StrategyPrice"),
+        strategy_price(price, F.col("_s_markup"), F.col("_s_discount")).alias("StrategyPrice"),
     )

@@ -2,7 +2,8 @@
 
 One row per line item, 25 string columns named like a usage export. It plants the dirty
 cases the reports must handle: null and blank invoice numbers, null usage dates, null
-subcategories, ``n/a`` quantities and null / blank / untrimmed tags.
+subcategories, ``n/a`` quantities, null / blank / untrimmed tags, and customers, domains and
+invoice numbers whose spelling differs in case from line to line of one invoice.
 
 The joins are written dimension-first (customer with nation, then orders with customers,
 then line items) and leave the physical choice to Spark: small sides are broadcast by the
@@ -65,12 +66,14 @@ def billing_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         _text("s_suppkey").alias("PartnerId"),
         F.col("s_name").alias("PartnerName"),
         _text("c_custkey").alias("CustomerId"),
-        F.col("c_name").alias("CustomerName"),
-        F.concat(F.lower("c_mktsegment"), F.lit(".example.com")).alias("CustomerDomainName"),
+        F.when(F.col("l_linenumber") == 4, F.upper("c_name")).otherwise(F.col("c_name")).alias("CustomerName"),
+        F.concat(F.when(F.col("l_linenumber") == 5, F.upper("c_mktsegment")).otherwise(F.lower("c_mktsegment")),
+                 F.lit(".example.com")).alias("CustomerDomainName"),
         F.col("n_name").alias("CustomerCountry"),
         F.when(F.col("o_orderkey") % 11 == 0, F.lit(None).cast(S))
         .when(F.col("o_orderkey") % 13 == 0, F.lit("  "))
-        .otherwise(F.concat(F.lit("INV-"), _text("o_orderkey"))).alias("InvoiceNumber"),
+        .otherwise(F.concat(F.when(F.col("l_linenumber") == 3, F.lit("inv-")).otherwise(F.lit("INV-")), _text("o_orderkey")))
+        .alias("InvoiceNumber"),
         F.col("p_name").alias("ProductName"),
         F.when(F.col("l_linestatus") == "O", F.lit("new")).otherwise(F.lit("renew")).alias("ChargeType"),
         _text(F.col("o_orderdate").cast(T.DateType())).alias("ChargeStartDate"),
@@ -98,9 +101,11 @@ def billing_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 BILLING_VIEW_SQL = """
 SELECT concat(CAST(l_orderkey AS {S}), '-', CAST(l_linenumber AS {S}), '-', CAST(l_partkey AS {S}), '-', CAST(l_suppkey AS {S})) AS _row_id,
   CAST(s_suppkey AS {S}) AS PartnerId, s_name AS PartnerName, CAST(c_custkey AS {S}) AS CustomerId,
-  c_name AS CustomerName, concat(lower(c_mktsegment), '.example.com') AS CustomerDomainName, n_name AS CustomerCountry,
+  CASE WHEN l_linenumber = 4 THEN upper(c_name) ELSE c_name END AS CustomerName,
+  concat(CASE WHEN l_linenumber = 5 THEN upper(c_mktsegment) ELSE lower(c_mktsegment) END, '.example.com') AS CustomerDomainName,
+  n_name AS CustomerCountry,
   CASE WHEN o_orderkey % 11 = 0 THEN NULL WHEN o_orderkey % 13 = 0 THEN '  '
-       ELSE concat('INV-', CAST(o_orderkey AS {S})) END AS InvoiceNumber,
+       ELSE concat(CASE WHEN l_linenumber = 3 THEN 'inv-' ELSE 'INV-' END, CAST(o_orderkey AS {S})) END AS InvoiceNumber,
   p_name AS ProductName, CASE WHEN l_linestatus = 'O' THEN 'new' ELSE 'renew' END AS ChargeType,
   CAST(CAST(o_orderdate AS DATE) AS {S}) AS ChargeStartDate, CAST(CAST(l_shipdate AS DATE) AS {S}) AS ChargeEndDate,
   CASE WHEN l_partkey % 17 = 0 THEN NULL ELSE CAST(CAST(l_shipdate AS DATE) AS {S}) END AS UsageDate,
