@@ -6,14 +6,18 @@ Every query runs over the whole usage table derived from the driver's tables in
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meterbook.functions.dates import display_date, usage_day
 from meterbook.operators import choices, dashboard, detail, display, invoice, pricing, ranking, summary
-from meterbook.operators.filters import UsageFilter
+from meterbook.operators.filters import UsageFilter, invoice_scope
 from meterbook.params import PricingParams
+from meterbook.session import shared_dir
+from meterbook.sources import exports, manifest, warehouse
 from meterbook.sources.fixture import billing_view
 
 # The request every query answers: a PHP invoice of USD usage with a 15% margin.
@@ -27,6 +31,12 @@ CONTAINS = {"MeterCategory": "eco", "EntitlementDescription": "PLAN 1"}
 COUNT_FILTER = UsageFilter(search="gear", equals={"ChargeType": "New"})
 TOP_K = 10
 INVOICE_LIST_LIMIT = 1000  # what the dashboard asks for
+FIRST_OPTIONS = 50
+REQUEST = UsageFilter(search="e%r", equals={"CustomerDomainName": "machinery.example.com", "ChargeType": "new", "InvoiceNumber": ""})
+INVOICE_CUSTOMER = ("customer#000000011", "MACHINERY.example.com")
+# Rates that an invoice and the grid replace by their defaults.
+UNUSABLE_RATES = PricingParams(forex="n/a", margin=0, vat=-1)
+MISSING_RATES = PricingParams(forex=None, margin=0.0, vat=None)
 
 
 def _view(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,12 +116,16 @@ def q_invoice_subtotals(spark, sf_dir):
     return invoice.invoice_subtotals(_sums(spark, sf_dir, with_tags=False), PARAMS)
 
 
+def _scopes(spark, sf_dir, batch=False):
+    return invoice.scope_sums(_view(spark, sf_dir), batch=batch)
+
+
 def q_invoice_totals(spark, sf_dir):
-    return invoice.invoice_totals(_sums(spark, sf_dir, with_tags=False), PARAMS)
+    return invoice.invoice_totals(_scopes(spark, sf_dir), PARAMS)
 
 
 def q_invoice_period(spark, sf_dir):
-    return invoice.invoice_period(_sums(spark, sf_dir, with_tags=False))
+    return invoice.invoice_period(_scopes(spark, sf_dir))
 
 
 def q_invoice_export(spark, sf_dir):
@@ -152,11 +166,105 @@ def q_invoice_batch(spark, sf_dir):
 
 
 def q_invoice_batch_totals(spark, sf_dir):
-    return invoice.invoice_totals(_sums(spark, sf_dir, batch=True, with_tags=False), PARAMS)
+    return invoice.invoice_totals(_scopes(spark, sf_dir, batch=True), PARAMS)
 
 
 def q_invoice_batch_period(spark, sf_dir):
-    return invoice.invoice_period(_sums(spark, sf_dir, batch=True, with_tags=False))
+    return invoice.invoice_period(_scopes(spark, sf_dir, batch=True))
+
+
+def q_invoice_batch_subtotals(spark, sf_dir):
+    return invoice.invoice_subtotals(_sums(spark, sf_dir, batch=True, with_tags=False), PARAMS)
+
+
+def q_invoice_csv_rows(spark, sf_dir):
+    rows = invoice.invoice_export(_sums(spark, sf_dir), PARAMS, order_keys=True)
+    return exports.invoice_csv_rows(rows, position="Position")
+
+
+def q_customer_invoice_lines(spark, sf_dir):
+    flt = invoice_scope(*INVOICE_CUSTOMER)
+    return invoice.invoice_items(invoice.line_sums(_view(spark, sf_dir), flt), PARAMS)
+
+
+def q_customer_invoice_totals(spark, sf_dir):
+    return invoice.invoice_totals(invoice.scope_sums(_view(spark, sf_dir), invoice_scope(*INVOICE_CUSTOMER)), PARAMS)
+
+
+def q_default_rates_totals(spark, sf_dir):
+    return invoice.invoice_totals(_scopes(spark, sf_dir), UNUSABLE_RATES)
+
+
+def q_default_rates_detail(spark, sf_dir):
+    return detail.priced_detail(_view(spark, sf_dir), MISSING_RATES, columns=DETAIL_COLUMNS)
+
+
+def q_filtered_summary(spark, sf_dir):
+    return summary.billing_summary(_view(spark, sf_dir), PARAMS, REQUEST)
+
+
+def q_filtered_top_customers(spark, sf_dir):
+    return ranking.top_customers(_view(spark, sf_dir), TOP_K, REQUEST)
+
+
+def q_filtered_invoice_list(spark, sf_dir):
+    return choices.invoice_list(_view(spark, sf_dir), REQUEST)
+
+
+def q_first_filter_options(spark, sf_dir):
+    return choices.filter_options(_view(spark, sf_dir), "CustomerName", FIRST_OPTIONS)
+
+
+def q_first_customer_domains(spark, sf_dir):
+    return choices.customer_domains(_view(spark, sf_dir), 1)
+
+
+def q_usage_days(spark, sf_dir):
+    view = _view(spark, sf_dir)
+    return view.select("_row_id", display_date(usage_day(view)).alias("day"))
+
+
+def q_spend_by_upload(spark, sf_dir):
+    """The supplier number stands for the upload, a dozen of them."""
+    return summary.spend_by_upload(_view(spark, sf_dir).withColumn("upload_id", F.col("PartnerId").cast("long") % 12))
+
+
+def _landed(spark, sf_dir):
+    """The usage table written as CSV files, landed as an upload and read back."""
+    view = _view(spark, sf_dir)
+    base = shared_dir(spark, f"landed-{uuid.uuid4().hex}")
+    exports.write_grid_csv(view.drop("_row_id"), f"{base}/csv")
+    warehouse.land_upload(spark, f"{base}/csv", f"{base}/warehouse", f"{base}/manifest", 7, header=view.drop("_row_id").columns)
+    return base, [c for c in view.columns if c != "_row_id"]
+
+
+def q_landed_detail(spark, sf_dir):
+    base, columns = _landed(spark, sf_dir)
+    return warehouse.read_uploads(spark, f"{base}/warehouse", 7, f"{base}/manifest").select(*columns)
+
+
+def q_landed_profile(spark, sf_dir):
+    base, _ = _landed(spark, sf_dir)
+    state = manifest.latest(manifest.read(spark, f"{base}/manifest"))
+    return manifest.completed(state).select("row_count", "reject_count", "pricing_pretax_total", "billing_pretax_total", "usage_start", "usage_end")
+
+
+def q_landed_invoice_lines(spark, sf_dir):
+    base, _ = _landed(spark, sf_dir)
+    return invoice.invoice_items(invoice.line_sums(warehouse.read_uploads(spark, f"{base}/warehouse", 7)), PARAMS)
+
+
+def q_manifest_state(spark, sf_dir):
+    """Each order stands for a state change of the upload with its customer's number."""
+    orders = spark.read.parquet(f"{sf_dir.rstrip('/')}/orders.parquet")
+    at = (F.col("o_orderdate").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("o_orderkey")))
+    status = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "P", "failed").otherwise("processing")
+    entries = orders.select(F.col("o_custkey").alias("upload_id"), status.alias("status"), F.col("o_orderkey").alias("row_count"),
+                            at.alias("created_at"), at.alias("recorded_at"))
+    root = shared_dir(spark, f"manifest-{uuid.uuid4().hex}")
+    for k in range(2):  # two writers
+        manifest.append(root, entries.where(F.col("row_count") % 2 == k))
+    return manifest.latest(manifest.read(spark, root)).select("upload_id", "status", "row_count")
 
 
 def q_money_format(spark, sf_dir):
@@ -201,6 +309,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "invoice_batch": q_invoice_batch,
     "invoice_batch_totals": q_invoice_batch_totals,
     "invoice_batch_period": q_invoice_batch_period,
+    "invoice_batch_subtotals": q_invoice_batch_subtotals,
+    "invoice_csv_rows": q_invoice_csv_rows,
+    "customer_invoice_lines": q_customer_invoice_lines,
+    "customer_invoice_totals": q_customer_invoice_totals,
+    "default_rates_totals": q_default_rates_totals,
+    "default_rates_detail": q_default_rates_detail,
+    "filtered_summary": q_filtered_summary,
+    "filtered_top_customers": q_filtered_top_customers,
+    "filtered_invoice_list": q_filtered_invoice_list,
+    "first_filter_options": q_first_filter_options,
+    "first_customer_domains": q_first_customer_domains,
+    "usage_days": q_usage_days,
+    "spend_by_upload": q_spend_by_upload,
+    "landed_detail": q_landed_detail,
+    "landed_profile": q_landed_profile,
+    "landed_invoice_lines": q_landed_invoice_lines,
+    "manifest_state": q_manifest_state,
     "money_format": q_money_format,
     "invoice_display": q_invoice_display,
     "dashboard_rollup": q_dashboard_rollup,

@@ -10,6 +10,7 @@ from __future__ import annotations
 from decimal import Decimal
 
 from meterbook.operators.filters import UsageFilter
+from meterbook.params import PricingParams
 from meterbook.plans import catalog as C
 from meterbook.schema import STANDARD_VIEW
 from meterbook.sources.fixture import billing_view_sql
@@ -61,9 +62,9 @@ def _int_scale(value: Decimal) -> tuple[int, int]:
     return int(Decimal(value).scaleb(scale)), scale
 
 
-def priced_dec(expr: str) -> str:
+def priced_dec(expr: str, rates: tuple[str, str, str] = ("56.25", "0.85", "1.12")) -> str:
     """round_half_up(expr * forex * vat / margin, 12) on exact integers."""
-    forex, margin, vat = C.PARAMS.for_invoice()
+    forex, margin, vat = map(Decimal, rates)
     rate_u, rate_s = _int_scale(forex * vat)
     m_u, m_s = _int_scale(margin)
     num = f"({unscaled(expr)} * CAST({rate_u} AS HUGEINT) * CAST({10 ** m_s} AS HUGEINT))"
@@ -106,8 +107,8 @@ def grid(params=C.PARAMS) -> dict[str, str]:
     }
 
 
-def grid_select() -> str:
-    return ", ".join(f"{e} AS {n}" for n, e in grid().items())
+def grid_select(params=C.PARAMS) -> str:
+    return ", ".join(f"{e} AS {n}" for n, e in grid(params).items())
 
 
 def priced_detail(flt: UsageFilter | None = None) -> str:
@@ -131,15 +132,23 @@ LINE_COLS = ", ".join(n for _, n in LINE_KEYS)
 SCOPE_COLS = ", ".join(n for _, n in SCOPE_KEYS)
 
 
-def sums_cte(batch: bool = False) -> str:
-    keys = [f"{s} AS {n}" for s, n in LINE_KEYS]
-    group = [s for s, _ in LINE_KEYS]
-    shown = []
+FOLDED = [f"lower({src})" for src, _ in SCOPE_KEYS]
+K_COLS = "k1, k2, k3"
+# Each invoice's smallest spellings, from the rows themselves.
+NAMES_CTE = ("names AS (SELECT " + ", ".join(f"{e} AS n{i}" for i, e in enumerate(FOLDED, 1)) + ", "
+             + ", ".join(f"MIN({src}) AS {n}" for src, n in SCOPE_KEYS) + " FROM billing GROUP BY " + ", ".join(FOLDED) + ")")
+NAMED = "JOIN names ON " + " AND ".join(f"k{i} IS NOT DISTINCT FROM n{i}" for i in (1, 2, 3))
+
+
+def sums_cte(batch: bool = False, flt: UsageFilter | None = None, lines: bool = True) -> str:
+    """Sums per invoice line (or per invoice): of all rows or, in a batch, per folded invoice."""
+    keys = [f"{s} AS {n}" for s, n in LINE_KEYS] if lines else []
+    group = [s for s, _ in LINE_KEYS] if lines else []
     if batch:
-        shown = [f"MIN({s}) AS {n}" for s, n in SCOPE_KEYS]
-        group = [f"lower({s})" for s, _ in SCOPE_KEYS] + group
+        keys = [f"{e} AS k{i}" for i, e in enumerate(FOLDED, 1)] + keys
+        group = FOLDED + group
     tag = "NULLIF(TRIM(Tags), '')"
-    cols = keys + shown + [
+    cols = keys + [
         f"NULLIF(string_agg(DISTINCT {tag}, ', ' ORDER BY {tag}), '') AS tags",
         "SUM(TRY_CAST(Quantity AS DECIMAL(38,12))) AS q",
         "SUM(TRY_CAST(PricingPreTaxTotal AS DECIMAL(38,12))) AS p",
@@ -147,16 +156,17 @@ def sums_cte(batch: bool = False) -> str:
         f"MIN({lenient_date('COALESCE(UsageDate, ChargeStartDate)')}) AS s",
         f"MAX({lenient_date('COALESCE(UsageDate, ChargeEndDate)')}) AS e",
     ]
-    return f"sums AS (SELECT {', '.join(cols)} FROM billing GROUP BY {', '.join(group)})"
+    by = f" GROUP BY {', '.join(group)}" if group else ""
+    return (f"{NAMES_CTE}, " if batch else "") + f"sums AS (SELECT {', '.join(cols)} FROM billing{where(flt)}{by})"
 
 
-def priced_cols() -> str:
+def priced_cols(rates: tuple[str, str, str] = ("56.25", "0.85", "1.12")) -> str:
     """Columns qd, pd, bd, ud, u, vd computed from q, p, b."""
     ud = (f"COALESCE(CASE WHEN q = 0 THEN {ZERO} WHEN p IS NULL OR q IS NULL THEN NULL "
           f"ELSE {from_unscaled(div_half_up(f'({unscaled('p')} * {TEN12})', unscaled('q')))} END, {ZERO})")
     u = f"COALESCE(CASE WHEN q = 0 THEN CAST(0 AS DOUBLE) ELSE {to_double('p')} / {to_double('q')} END, CAST(0 AS DOUBLE))"
     return (f"COALESCE(q, {ZERO}) AS qd, COALESCE(p, {ZERO}) AS pd, COALESCE(b, {ZERO}) AS bd, "
-            f"{ud} AS ud, {u} AS u, {priced_dec(f'COALESCE(p, {ZERO})')} AS vd")
+            f"{ud} AS ud, {u} AS u, {priced_dec(f'COALESCE(p, {ZERO})', rates)} AS vd")
 
 
 def amounts() -> str:
@@ -169,34 +179,26 @@ def amounts() -> str:
     ])
 
 
-def invoice_with(batch: bool = False) -> str:
-    return f"{WITH_BILLING}, {sums_cte(batch)}, priced AS (SELECT *, {priced_cols()} FROM sums)"
-
-
-def totals_with(batch: bool = False) -> str:
-    scope = SCOPE_COLS + ", " if batch else ""
-    group = f" GROUP BY {SCOPE_COLS}" if batch else ""
-    return (f"{WITH_BILLING}, {sums_cte(batch)}, rolled AS (SELECT {scope}SUM(q) AS q, SUM(p) AS p, SUM(b) AS b "
-            f"FROM sums{group}), tpriced AS (SELECT *, {priced_cols()} FROM rolled)")
+def invoice_with(batch: bool = False, flt: UsageFilter | None = None) -> str:
+    return f"{WITH_BILLING}, {sums_cte(batch, flt)}, priced AS (SELECT *, {priced_cols()} FROM sums)"
 
 
-def totals_select(batch: bool = False) -> str:
+def totals(batch: bool = False, flt: UsageFilter | None = None, rates: tuple[str, str, str] = ("56.25", "0.85", "1.12")) -> str:
     scope = SCOPE_COLS + ", " if batch else ""
-    return (f"SELECT {scope}{to_double('qd')} AS total_quantity, u AS total_unit_price, {to_double('pd')} AS total_pricing, "
+    return (f"{WITH_BILLING}, {sums_cte(batch, flt, lines=False)}, tpriced AS (SELECT *, {priced_cols(rates)} FROM sums) "
+            f"SELECT {scope}{to_double('qd')} AS total_quantity, u AS total_unit_price, {to_double('pd')} AS total_pricing, "
             f"{to_double('bd')} AS total_billing, {to_double('vd')} AS total_vat_inc, {dec_text('qd')} AS quantity_raw, "
             f"{dec_text('ud', 2)} AS unit_price_raw, {dec_text('pd', 2)} AS pricing_raw, {dec_text('bd', 2)} AS billing_raw, "
-            f"{dec_text('vd', 2)} AS total_vat_inc_raw FROM tpriced")
+            f"{dec_text('vd', 2)} AS total_vat_inc_raw FROM tpriced {NAMED if batch else ''}")
 
 
-def period_select(batch: bool = False) -> str:
+def period(batch: bool = False) -> str:
     scope = SCOPE_COLS + ", " if batch else ""
-    group = f" GROUP BY {SCOPE_COLS}" if batch else ""
-    s, e = lenient_date("period_start"), lenient_date("period_end")
-    label = (f"CASE WHEN {s} IS NULL OR {e} IS NULL THEN 'N/A' "
-             f"WHEN strftime({s}, '%Y-%m') = strftime({e}, '%Y-%m') THEN strftime({s}, '%B %Y') "
-             f"ELSE strftime({s}, '%b %d, %Y') || ' - ' || strftime({e}, '%b %d, %Y') END")
-    return (f"SELECT {scope}period_start, period_end, {label} AS period_label FROM "
-            f"(SELECT {scope}CAST(MIN(s) AS VARCHAR) AS period_start, CAST(MAX(e) AS VARCHAR) AS period_end FROM sums{group})")
+    label = (f"CASE WHEN s IS NULL OR e IS NULL THEN 'N/A' "
+             f"WHEN strftime(s, '%Y-%m') = strftime(e, '%Y-%m') THEN strftime(s, '%B %Y') "
+             f"ELSE strftime(s, '%b %d, %Y') || ' - ' || strftime(e, '%b %d, %Y') END")
+    return (f"{WITH_BILLING}, {sums_cte(batch, lines=False)} SELECT {scope}CAST(s AS VARCHAR) AS period_start, "
+            f"CAST(e AS VARCHAR) AS period_end, {label} AS period_label FROM sums {NAMED if batch else ''}")
 
 
 def _ingest_profile() -> str:
@@ -207,20 +209,20 @@ def _ingest_profile() -> str:
             f"MAX({lenient_date('COALESCE(UsageDate, ChargeEndDate)')}) AS usage_end FROM billing")
 
 
-def _billing_summary() -> str:
+def _billing_summary(flt: UsageFilter | None = None) -> str:
     p = C.PARAMS.for_grid()
     f, m, v = _dbl(p.forex), _dbl(p.margin), _dbl(p.vat)
     inner = (f"SELECT {to_double(f'COALESCE(SUM(CAST(PricingPreTaxTotal AS DECIMAL(38,12))), {ZERO})')} * {f} AS tp, "
              f"{to_double(f'COALESCE(SUM(CAST(BillingPreTaxTotal AS DECIMAL(38,12))), {ZERO})')} AS total_billing, "
-             f"COUNT(*) AS total_records FROM billing")
+             f"COUNT(*) AS total_records FROM billing{where(flt)}")
     return (f"{WITH_BILLING} SELECT tp AS total_pricing, total_billing, total_records, tp / {m} AS total_vat_ex, "
             f"(tp / {m}) * {v} AS total_vat_inc FROM ({inner})")
 
 
-def _top_customers() -> str:
+def _top_customers(flt: UsageFilter | None = None) -> str:
     return (f"{WITH_BILLING} SELECT COALESCE(NULLIF(CustomerName, ''), 'Unknown') AS label, {to_double('cost')} AS value "
             f"FROM (SELECT CustomerName, COALESCE(SUM(CAST(PricingPreTaxTotal AS DECIMAL(38,12))), {ZERO}) AS cost "
-            f"FROM billing GROUP BY CustomerName) ORDER BY cost DESC NULLS LAST, CustomerName ASC NULLS LAST LIMIT {C.TOP_K}")
+            f"FROM billing{where(flt)} GROUP BY CustomerName) ORDER BY cost DESC NULLS LAST, CustomerName ASC NULLS LAST LIMIT {C.TOP_K}")
 
 
 def _detail_page() -> str:
@@ -229,20 +231,23 @@ def _detail_page() -> str:
             f"ORDER BY UsageDate DESC NULLS LAST, _row_id ASC NULLS LAST LIMIT {C.PAGE_SIZE} OFFSET {off}")
 
 
-def _detail_columns() -> str:
+def _detail_columns(params=C.PARAMS) -> str:
     cols = [c for c in C.DETAIL_COLUMNS if c.lower() not in {n.lower() for n in grid()}]
-    return f"{WITH_BILLING} SELECT {', '.join(cols)}, {grid_select()} FROM billing"
+    return f"{WITH_BILLING} SELECT {', '.join(cols)}, {grid_select(params)} FROM billing"
 
 
-def _subtotals() -> str:
+def _subtotals(batch: bool = False) -> str:
     gid = "GROUPING(meter_category, meter_sub_category)"
     label = (f"CASE WHEN {gid} = 0 THEN 'Subtotal for ' || COALESCE(NULLIF(meter_sub_category, ''), 'Unspecified') "
              f"ELSE 'Total' END")
-    return (f"{invoice_with()} SELECT meter_category, meter_sub_category, "
-            f"CASE WHEN {gid} = 0 THEN 'subtotal' ELSE 'total' END AS level, {label} AS label, "
-            f"{to_double('SUM(vd)')} AS subtotal_vat_inc, {dec_text('SUM(vd)', 2)} AS subtotal_vat_inc_raw, "
-            f"{to_double('SUM(qd)')} AS subtotal_quantity FROM priced "
-            f"GROUP BY GROUPING SETS ((meter_category, meter_sub_category), ())")
+    keys = f"{K_COLS}, " if batch else ""
+    sets = f"(({keys}meter_category, meter_sub_category), ({K_COLS if batch else ''}))"
+    inner = (f"SELECT {keys}meter_category, meter_sub_category, "
+             f"CASE WHEN {gid} = 0 THEN 'subtotal' ELSE 'total' END AS level, {label} AS label, "
+             f"{to_double('SUM(vd)')} AS subtotal_vat_inc, {dec_text('SUM(vd)', 2)} AS subtotal_vat_inc_raw, "
+             f"{to_double('SUM(qd)')} AS subtotal_quantity FROM priced GROUP BY GROUPING SETS {sets}")
+    shown = "meter_category, meter_sub_category, level, label, subtotal_vat_inc, subtotal_vat_inc_raw, subtotal_quantity"
+    return f"{invoice_with(batch)} SELECT {SCOPE_COLS + ', ' if batch else ''}{shown} FROM ({inner}) {NAMED if batch else ''}"
 
 
 def _export() -> str:
@@ -258,11 +263,57 @@ def _export() -> str:
             f"tpriced AS (SELECT *, {priced_cols()} FROM rolled) {items} UNION ALL {total}")
 
 
-def _customer_domains() -> str:
+def _csv_rows() -> str:
+    headers = ("Meter Category", "Meter Subcategory", "Meter Name", "Meter Type", "Unit", "Quantity", "Unit Price",
+               "Total VAT Inc", "Tags", "Entitlement")
+    cells = ["COALESCE(meter_category, '')", "COALESCE(meter_sub_category, '')", "COALESCE(meter_name, '')", "COALESCE(meter_type, '')",
+             "COALESCE(unit, '')", dec_text("qd"), dec_text("ud", 2), dec_text("vd", 2), "COALESCE(tags, '')",
+             "COALESCE(NULLIF(entitlement_description, ''), NULLIF(entitlement_id, ''), '')"]
+    order = ", ".join(f"{c} ASC NULLS LAST" for c in ("meter_category", "meter_sub_category", "meter_name", "entitlement_description",
+                                                      "meter_type", "unit", "entitlement_id"))
+    named = ", ".join(f'{c} AS "{h}"' for c, h in zip(cells, headers))
+    total = ["''"] * 5 + [dec_text("qd"), "''", dec_text("vd", 2), "'TOTAL'", "''"]
+    total_named = ", ".join(f'{c} AS "{h}"' for c, h in zip(total, headers))
+    return (f"{invoice_with()}, tsums AS (SELECT SUM(q) AS q, SUM(p) AS p, SUM(b) AS b FROM sums), "
+            f"tpriced AS (SELECT *, {priced_cols()} FROM tsums) "
+            f'SELECT {named}, CAST(row_number() OVER (ORDER BY {order}) AS INTEGER) AS "Position" FROM priced '
+            f'UNION ALL SELECT {total_named}, CAST((SELECT COUNT(*) FROM priced) + 1 AS INTEGER) AS "Position" FROM tpriced')
+
+
+def _customer_domains(limit: int | None = None) -> str:
     return (f"{WITH_BILLING} SELECT CustomerName, CustomerDomainName, domain_rank FROM ("
             f"SELECT *, CAST(row_number() OVER (PARTITION BY CustomerName ORDER BY CustomerDomainName) AS INTEGER) AS domain_rank "
             f"FROM (SELECT DISTINCT CustomerName, CustomerDomainName FROM billing "
-            f"WHERE COALESCE(CustomerName, '') <> '' AND COALESCE(CustomerDomainName, '') <> '')) WHERE domain_rank <= 50")
+            f"WHERE COALESCE(CustomerName, '') <> '' AND COALESCE(CustomerDomainName, '') <> ''))" + (f" WHERE domain_rank <= {limit}" if limit else ""))
+
+
+def _filter_options(limit: int | None = None) -> str:
+    return (f"{WITH_BILLING} SELECT value, TRIM(value) AS label, TRIM(value) AS option FROM (SELECT DISTINCT CustomerName AS value "
+            f"FROM billing WHERE TRIM(COALESCE(CustomerName, '')) <> '') ORDER BY lower(label), label, value"
+            + (f" LIMIT {limit}" if limit else ""))
+
+
+def _invoice_list(flt: UsageFilter | None = None, limit: int | None = None) -> str:
+    clause = where(flt).replace(" WHERE ", " AND ", 1)
+    return (f"{WITH_BILLING} SELECT DISTINCT InvoiceNumber FROM billing WHERE TRIM(COALESCE(InvoiceNumber, '')) <> ''{clause} "
+            f"ORDER BY InvoiceNumber" + (f" LIMIT {limit}" if limit else ""))
+
+
+def _spend_by_upload() -> str:
+    pr, bi = (to_double(f"COALESCE(SUM(CAST({c} AS DECIMAL(38,12))), {ZERO})") for c in ("PricingPreTaxTotal", "BillingPreTaxTotal"))
+    return (f"{WITH_BILLING} SELECT CAST(PartnerId AS BIGINT) % 12 AS upload_id, {pr} AS total_pricing, {bi} AS total_billing, "
+            f"COUNT(*) AS total_records FROM billing GROUP BY 1")
+
+
+def _landed_profile() -> str:
+    return _ingest_profile().replace("COUNT(*) AS row_count", "COUNT(*) AS row_count, CAST(0 AS BIGINT) AS reject_count")
+
+
+MANIFEST_STATE = """
+SELECT o_custkey AS upload_id, arg_max(CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'P' THEN 'failed' ELSE 'processing' END, moment) AS status,
+  arg_max(o_orderkey, moment) AS row_count
+FROM (SELECT *, o_orderdate + to_seconds(o_orderkey) AS moment FROM orders) GROUP BY o_custkey
+"""
 
 
 def _daily_spend() -> str:
@@ -319,6 +370,10 @@ def _dashboard_rollup() -> str:
             f"GROUP BY GROUPING SETS ((), (CustomerName), (d))")
 
 
+# The customer's invoice as plain equality on folded text.
+SCOPED = UsageFilter(equals={"CustomerName": C.INVOICE_CUSTOMER[0], "CustomerDomainName": C.INVOICE_CUSTOMER[1]})
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "ingest_profile": _ingest_profile(),
@@ -333,25 +388,40 @@ def oracle_sql() -> dict[str, str]:
         "filter_meter_contains": standard_view(UsageFilter(contains=C.CONTAINS)),
         "billing_summary": _billing_summary(),
         "top_customers": _top_customers(),
-        "invoice_list": (f"{WITH_BILLING} SELECT DISTINCT InvoiceNumber FROM billing "
-                         f"WHERE TRIM(COALESCE(InvoiceNumber, '')) <> '' ORDER BY InvoiceNumber LIMIT {C.INVOICE_LIST_LIMIT}"),
+        "invoice_list": _invoice_list(limit=C.INVOICE_LIST_LIMIT),
         "invoice_lines": f"{invoice_with()} SELECT {LINE_COLS}, tags, {amounts()} FROM priced",
         "weighted_unit_price": (f"{invoice_with()} SELECT {LINE_COLS}, {dec_text('qd')} AS quantity_raw, "
                                 f"{dec_text('pd', 2)} AS pricing_pretax_total_raw, u AS unit_price, "
                                 f"{dec_text('ud', 2)} AS unit_price_raw FROM priced"),
         "invoice_tags": f"{WITH_BILLING}, {sums_cte()} SELECT {LINE_COLS}, tags FROM sums",
         "invoice_subtotals": _subtotals(),
-        "invoice_totals": f"{totals_with()} {totals_select()}",
-        "invoice_period": f"{WITH_BILLING}, {sums_cte()} {period_select()}",
+        "invoice_totals": totals(),
+        "invoice_period": period(),
         "invoice_export": _export(),
-        "filter_options": (f"{WITH_BILLING} SELECT value, value AS label FROM (SELECT DISTINCT CustomerName AS value "
-                           f"FROM billing WHERE TRIM(COALESCE(CustomerName, '')) <> '') ORDER BY lower(value), value LIMIT 50"),
+        "filter_options": _filter_options(),
         "customer_domains": _customer_domains(),
         "daily_spend": _daily_spend(),
         "strategy_pricing": _strategy_pricing(),
-        "invoice_batch": f"{invoice_with(True)} SELECT {SCOPE_COLS}, {LINE_COLS}, tags, {amounts()} FROM priced",
-        "invoice_batch_totals": f"{totals_with(True)} {totals_select(True)}",
-        "invoice_batch_period": f"{WITH_BILLING}, {sums_cte(True)} {period_select(True)}",
+        "invoice_batch": f"{invoice_with(True)} SELECT {SCOPE_COLS}, {LINE_COLS}, tags, {amounts()} FROM priced {NAMED}",
+        "invoice_batch_totals": totals(True),
+        "invoice_batch_period": period(True),
+        "invoice_batch_subtotals": _subtotals(True),
+        "invoice_csv_rows": _csv_rows(),
+        "customer_invoice_lines": f"{invoice_with(flt=SCOPED)} SELECT {LINE_COLS}, tags, {amounts()} FROM priced",
+        "customer_invoice_totals": totals(flt=SCOPED),
+        "default_rates_totals": totals(rates=("1", "1", "1.12")),
+        "default_rates_detail": _detail_columns(PricingParams(1.0, 1.0, 1.12)),
+        "filtered_summary": _billing_summary(C.REQUEST),
+        "filtered_top_customers": _top_customers(C.REQUEST),
+        "filtered_invoice_list": _invoice_list(C.REQUEST),
+        "first_filter_options": _filter_options(C.FIRST_OPTIONS),
+        "first_customer_domains": _customer_domains(1),
+        "usage_days": f"{WITH_BILLING} SELECT _row_id, strftime({lenient_date('COALESCE(UsageDate, ChargeStartDate)')}, '%Y-%m-%d') AS day FROM billing",
+        "spend_by_upload": _spend_by_upload(),
+        "landed_detail": f"{WITH_BILLING} SELECT * EXCLUDE (_row_id) FROM billing",
+        "landed_profile": _landed_profile(),
+        "landed_invoice_lines": f"{invoice_with()} SELECT {LINE_COLS}, tags, {amounts()} FROM priced",
+        "manifest_state": MANIFEST_STATE,
         "money_format": _money_format(),
         "invoice_display": _invoice_display(),
         "dashboard_rollup": _dashboard_rollup(),
