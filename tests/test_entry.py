@@ -1,0 +1,33 @@
+"""The entry module with and without the optional training-data operators."""
+
+import subprocess
+import sys
+from pathlib import Path
+
+ROOT = Path(__file__).resolve().parent.parent
+
+LISTED = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), any(n.startswith('op') for n in e.queries()))"
+
+
+def run(code: str) -> str:
+    out = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=120)
+    return out.stdout.strip() or out.stderr[-500:]
+
+
+def test_entry_imports_without_the_optional_part():
+    blocked = "import sys; sys.modules['corpus_pipeline'] = None; sys.modules['meterbook.llm'] = None; "
+    assert run(blocked + LISTED) == "47 47 False"
+
+
+def test_errors_within_the_optional_part_are_not_swallowed():
+    code = """
+import importlib.abc, sys
+
+class Finder(importlib.abc.MetaPathFinder):
+    def find_spec(self, name, path, target=None):
+        if name == 'corpus_pipeline':
+            raise ImportError('broken', name='some_library')
+sys.meta_path.insert(0, Finder())
+import __spark_entry__
+"""
+    assert "broken" in run(code)

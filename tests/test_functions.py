@@ -7,6 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from meterbook import PricingParams
 from meterbook.functions import dates, numbers, text
 
 
@@ -149,3 +150,23 @@ def test_export_number_prefers_usable_raw_text(spark):
     rows = [("12.50", 12.5), (" ", 3.25), (None, None), (None, 7.0)]
     got = _one(spark, numbers.export_number("raw", "num"), rows, "raw string, num double")
     assert got == ["12.50", "3.25", "0", "7"]
+
+
+def test_amounts_from_ten_to_the_fourteenth_on(spark):
+    """No sum is too large for its report: places are lost before digits are."""
+    df = spark.createDataFrame([("150000000000000", "3"), ("1000000000000000.5", "150000000000000"), ("7", "1000000000000000"), ("1", "3")], "p string, q string")
+    p, q = F.col("p").cast("decimal(38,12)"), F.col("q").cast("decimal(38,12)")
+    rows = df.select(numbers.weighted_price(p, q).alias("u"),
+                     numbers.priced_decimal(p, Decimal("56.25"), Decimal("0.85"), Decimal("1.12")).alias("v"),
+                     p.alias("p"), q.alias("q")).collect()
+    for r in rows:
+        assert abs(r.u - r.p / r.q) <= Decimal("1e-6")
+        want = r.p * Decimal("56.25") / Decimal("0.85") * Decimal("1.12")
+        assert abs(r.v - want) <= Decimal("1e-5")
+    assert rows[3].u == Decimal("0.333333333333")
+
+
+@pytest.mark.parametrize("value", [None, "", "n/a", "nan", "inf", 0, -3, "-1e3", True and "x"])
+def test_unusable_invoice_rates_take_their_fallbacks(value):
+    assert PricingParams(value, value, value).for_invoice() == (Decimal(1), Decimal(1), Decimal("1.12"))
+    assert PricingParams("2.5", 1e-3, " 7 ").for_invoice() == (Decimal("2.5"), Decimal("0.001"), Decimal(7))

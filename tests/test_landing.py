@@ -50,12 +50,14 @@ def test_edge_csv_matches_duckdb(spark, tmp_path):
     assert sorted(bad) == ["long,1,2,3", "short,1"]
 
 
-def test_quoted_newline_needs_multiline(spark, tmp_path):
+def test_quoted_newlines_are_accepted(spark, tmp_path):
     path = _write(tmp_path / "nl.csv", 'CustomerName,Tags,Quantity\ny,"line1\nline2",2\nw,t,4\n')
-    df = usage_csv.read_usage_csv(spark, str(path), multi_line=True)
+    df = usage_csv.read_usage_csv(spark, str(path))
     rows = sorted(tuple(r) for r in usage_csv.well_formed(df).select("CustomerName", "Tags", "Quantity").collect())
     assert rows == _duck_rows(path, ["CustomerName", "Tags", "Quantity"])
     assert ("y", "line1\nline2", "2") in rows
+    landing = wh.land_upload(spark, str(path), str(tmp_path / "wh"), str(tmp_path / "mf"), 1)
+    assert (landing.row_count, landing.reject_count) == (2, 0)
 
 
 def test_columns_matched_by_header_name(spark, tmp_path):
@@ -74,12 +76,69 @@ def test_file_checks(spark, tmp_path, monkeypatch):
     other = _write(tmp_path / "notes.txt", "hello\n")
     rows = {os.path.basename(r.path): (r.accepted, r.reason) for r in usage_csv.list_usage_files(spark, str(tmp_path)).collect()}
     assert rows["ok.CSV"] == (True, None) and rows["notes.txt"] == (False, "not a .csv file")
-    monkeypatch.setattr(usage_csv, "MAX_UPLOAD_MB", 0)
-    big = usage_csv.list_usage_files(spark, str(good)).first()
+    assert usage_csv.list_usage_files(spark, str(good)).first().accepted  # no limit unless asked
+    big = usage_csv.list_usage_files(spark, str(good), max_mb=0).first()
     assert not big.accepted and "larger than" in big.reason
     assert other
 
 
+@pytest.mark.parametrize("n", [1, 16, 17, 40])
+def test_one_header_rule_for_any_number_of_files(spark, tmp_path, n):
+    """Blank first lines, repeated and empty header names read alike in few and in many files."""
+    files = [str(_write(tmp_path / f"f{i:02d}.csv", f"\n\ncustomername,X,X,,QUANTITY\nC{i},1,2,3,{i}\n")) for i in range(n)]
+    df = usage_csv.read_usage_csv(spark, files)
+    assert sorted((r.CustomerName, r.Quantity) for r in df.collect()) == sorted((f"C{i}", str(i)) for i in range(n))
+    assert all(r._corrupt_record is None for r in df.collect())
+    extras = [c for c in df.columns if c not in USAGE_COLUMNS and not c.startswith("_corrupt") and c != "_source_file"]
+    assert len(extras) == 3
+
+
+def test_header_case_is_ignored_and_a_given_header_is_checked(spark, tmp_path):
+    path = str(_write(tmp_path / "c.csv", "customerNAME,quantity\nAcme,5\n"))
+    landing = wh.land_upload(spark, path, str(tmp_path / "wh"), str(tmp_path / "mf"), 1)
+    row = wh.read_uploads(spark, str(tmp_path / "wh"), 1).first()
+    assert landing.row_count == 1 and (row.CustomerName, row.Quantity, row.CustomerName_lc) == ("Acme", "5", "acme")
+    with pytest.raises(Exception):
+        usage_csv.read_usage_csv(spark, path, header=["Quantity", "CustomerName"]).collect()
+
+
+def test_empty_and_failed_relanding_replace(spark, tmp_path):
+    root, man = str(tmp_path / "wh"), str(tmp_path / "mf")
+    full = str(_write(tmp_path / "a.csv", "CustomerName,Quantity\nA,1\nB,2\n"))
+    empty = str(_write(tmp_path / "b.csv", "CustomerName,Quantity\n"))
+    wh.land_upload(spark, full, root, man, 1)
+    assert wh.land_upload(spark, empty, root, man, 1).row_count == 0
+    assert wh.read_uploads(spark, root, 1).count() == 0
+    wh.land_upload(spark, full, root, man, 1)
+    with pytest.raises(ValueError):
+        wh.land_upload(spark, str(_write(tmp_path / "a.txt", "x")), root, man, 1)
+    assert wh.read_uploads(spark, root, 1).count() == 0
+    assert mf.latest(mf.read(spark, man)).first().status == "failed"
+
+
+def test_reads_over_uploads_keep_columns_and_pages(spark, tmp_path):
+    root, man = str(tmp_path / "wh"), str(tmp_path / "mf")
+    for k in (1, 2):
+        rows = "".join(f"C{k}{i},2024-01-0{1 + i % 3},1,1,e{k}\n" for i in range(7))
+        path = str(_write(tmp_path / f"{k}.csv", f"CustomerName,UsageDate,PricingPreTaxTotal,Quantity,Extra{k}\n" + rows))
+        wh.land_upload(spark, path, root, man, k)
+    both = wh.read_uploads(spark, root, manifest_root=man)
+    assert {"Extra1", "Extra2"} <= set(both.columns)
+    assert both.agg(F.count("Extra1"), F.count("Extra2")).first()[:] == (7, 7)
+    for mode in ("text", "date"):
+        seen, last = [], None
+        while True:
+            page = (detail.detail_page(both, P, page_size=4, date_mode=mode) if last is None else
+                    detail.detail_after(both, last.UsageDate, last._row_id, P, page_size=4, last_upload_id=last.upload_id, date_mode=mode))
+            rows = page.collect()
+            if not rows:
+                break
+            seen += [r.CustomerName for r in rows]
+            last = rows[-1]
+        assert len(seen) == len(set(seen)) == 14
+    assert both.where(F.col("UsageDate_day").isNull()).count() == 0
+
+
 @pytest.fixture(scope="module")
 def usage_files(spark, view001, tmp_path_factory):
     """The sf0.001 usage table as CSV exports: one file, and the same rows in four files."""
@@ -116,7 +175,7 @@ def test_land_replace_and_delete(spark, usage_files, tmp_path, view001):
     assert shown[1].rows_text == "6,000" and shown[1].completed_text != "-" and shown[1].error_text == ""
     assert len(shown[1].created_text) == 16 and "," in shown[1].pricing_text
     picks = mf.upload_choices(mf.latest(mf.read(spark, man))).collect()
-    assert {p.upload_id for p in picks} == {1, 2} and picks[0].label.endswith("usage.csv")
+    assert {p.upload_id for p in picks} == {1, 2} and picks[0].label.endswith("usage-split.csv")
 
     wh.delete_upload(spark, root, man, 1)
     state = {r.upload_id: r.status for r in mf.latest(mf.read(spark, man)).collect()}
@@ -146,9 +205,9 @@ def test_rejects_are_kept_and_counted(spark, tmp_path):
 
 
 def test_invoice_csv_export(spark, view001, tmp_path):
-    rows = invoice.invoice_export(invoice.line_sums(view001), P)
+    rows = invoice.invoice_export(invoice.line_sums(view001), P, order_keys=True)
     out = str(tmp_path / "inv")
-    exports.write_invoice_csv(rows, out)
+    exports.write_invoice_csv(rows, out, single_file=True)
     files = glob.glob(out + "/*.csv")
     assert len(files) == 1
     raw = open(files[0], newline="").read()
@@ -158,6 +217,8 @@ def test_invoice_csv_export(spark, view001, tmp_path):
     assert body[-1].split(",")[8] == "TOTAL" and len(body) == rows.count()
     assert '"' in raw  # tags joined with ", " are quoted
     back = spark.read.options(header=True, escape='"', multiLine=True).csv(out)
+    shown = [r[0] for r in back.select("Meter Category").collect()][:-1]
+    assert shown == sorted((c for c in shown if c is not None)) + [c for c in shown if c is None]  # nulls last
     total = back.where(F.col("Tags") == "TOTAL").first()
     t = invoice.invoice_totals(invoice.line_sums(view001), P).first()
     assert total["Total VAT Inc"] == t.total_vat_inc_raw and total["Quantity"] == t.quantity_raw
@@ -246,13 +307,50 @@ def test_clustered_landing_keeps_rows_and_clusters_customers(spark, usage_files,
     assert lines(stored) == lines(view001)
 
 
-def test_streaming_rejects_a_file_with_another_header(spark, tmp_path):
+def test_streaming_matches_headers_by_name_and_records_failures(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
-    _write(src / "odd.csv", "Foo,Bar\n1,2\n")
-    q = start_landing(spark, str(src), str(tmp_path / "wh"), str(tmp_path / "mf"), str(tmp_path / "ck"))
-    with pytest.raises(Exception):
-        q.awaitTermination()
+    _write(src / "odd.csv", "quantity,Foo,customername\n1,2,Acme\n")
+    _write(src / "plain.CSV", "CustomerName,Quantity\nBeta,3\n")
+    _write(src / "large.csv", "CustomerName,Quantity\n" + "C,1\n" * 100_000)
+    root, man = str(tmp_path / "wh"), str(tmp_path / "mf")
+    start_landing(spark, str(src), root, man, str(tmp_path / "ck"), max_mb=0.1).awaitTermination()
+    state = {r.original_filename: r for r in mf.latest(mf.read(spark, man)).collect()}
+    assert {n: r.status for n, r in state.items()} == {"odd.csv": "completed", "plain.CSV": "completed", "large.csv": "failed"}
+    assert "larger than" in state["large.csv"].error_message
+    rows = wh.read_uploads(spark, root, manifest_root=man)
+    assert sorted((r.CustomerName, r.Quantity) for r in rows.collect()) == [("Acme", "1"), ("Beta", "3")]
+
+
+def test_two_streams_share_a_manifest(spark, tmp_path):
+    root, man = str(tmp_path / "wh"), str(tmp_path / "mf")
+    for k in (1, 2):
+        src = tmp_path / f"in{k}"
+        src.mkdir()
+        _write(src / "x.csv", f"CustomerName,Quantity\nC{k},1\n")
+        start_landing(spark, str(src), root, man, str(tmp_path / f"ck{k}")).awaitTermination()
+    state = mf.latest(mf.read(spark, man))
+    assert [r.status for r in state.collect()] == ["completed", "completed"]
+    assert wh.read_uploads(spark, root, manifest_root=man).count() == 2
+    start_landing(spark, str(tmp_path / "in1"), root, man, str(tmp_path / "ck3")).awaitTermination()  # again, from a new checkpoint
+    assert mf.latest(mf.read(spark, man)).count() == 2 and wh.read_uploads(spark, root).count() == 2
+    mf.compacted(spark, man, str(tmp_path / "mf2"))
+    assert mf.read(spark, str(tmp_path / "mf2")).count() == 2
+
+
+def test_batch_and_stream_landings_use_one_clock(spark, tmp_path):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        root, man, src = str(tmp_path / "wh"), str(tmp_path / "mf"), tmp_path / "in"
+        src.mkdir()
+        wh.land_upload(spark, str(_write(tmp_path / "a.csv", "CustomerName\nA\n")), root, man, 1)
+        _write(src / "b.csv", "CustomerName\nB\n")
+        start_landing(spark, str(src), root, man, str(tmp_path / "ck")).awaitTermination()
+        newest = mf.newest_completed(mf.latest(mf.read(spark, man))).first().upload_id
+        assert newest != 1
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
 
 
 def test_usage_view_serves_sql_and_hides_helpers(spark, tmp_path):
@@ -275,27 +373,8 @@ def test_streaming_landing_in_small_batches(spark, usage_files, tmp_path):
     start_landing(spark, str(src), root, man, ck, max_files_per_trigger=1).awaitTermination()
     state = mf.latest(mf.read(spark, man)).collect()
     assert len(state) == len(four) and sum(r.row_count for r in state) == 6000
-    assert mf.read(spark, man).select("entry_key").distinct().count() == len(four)  # one micro-batch per file
-
-
-def test_many_files_headers_in_one_job(spark, tmp_path):
-    from meterbook.sources.usage_csv import file_headers, read_header
-
-    folder = tmp_path / "many"
-    folder.mkdir()
-    files = []
-    for i in range(20):
-        if i % 2:
-            text = f'CustomerName,"Quantity",Extra\nC{i},{i},e\n'
-        else:
-            text = f"\ufeffQuantity,CustomerName\n{i},C{i}\n"
-        files.append(str(_write(folder / f"f{i:02d}.csv", text)))
-    found = file_headers(spark, files)
-    assert found[files[1]] == ("CustomerName", "Quantity", "Extra") and found[files[0]] == ("Quantity", "CustomerName")
-    assert found[files[1]] == tuple(read_header(spark, files[1]))
-    df = usage_csv.read_usage_csv(spark, files)  # more than 16 files: distributed discovery
-    rows = sorted((r.CustomerName, r.Quantity) for r in df.collect())
-    assert rows == sorted((f"C{i}", str(i)) for i in range(20))
+    batches = [f for f in os.listdir(tmp_path / "ck" / "commits") if f.isdigit()]
+    assert len(batches) == len(four)  # one micro-batch per file
 
 
 def test_catalog_table_tracks_landings_and_deletes(spark, tmp_path):

@@ -122,10 +122,8 @@ def test_unknown_customers_stay_separate_groups(spark):
 def test_top_customers_bounds(view001):
     with pytest.raises(ValueError):
         ranking.top_customers(view001, 0)
-    with pytest.raises(ValueError):
-        ranking.top_customers(view001, 51)
-    vals = [r.value for r in ranking.top_customers(view001, 50).collect()]
-    assert vals == sorted(vals, reverse=True) and len(vals) == 50
+    vals = [r.value for r in ranking.top_customers(view001, 120).collect()]
+    assert vals == sorted(vals, reverse=True) and len(vals) == 120  # as many as asked for
 
 
 def test_daily_spend_adds_up_to_summary(view001):
@@ -145,7 +143,8 @@ def test_spend_by_upload(spark, view001):
 def test_filter_options_cap_and_label_order(spark):
     names = [f"Cust{i:03d}" for i in range(80)] + ["alpha", "Beta", "  ", None, "beta"]
     df = usage(spark, [(n,) for n in names], ["CustomerName"])
-    got = [r.value for r in choices.filter_options(df).collect()]
+    assert choices.filter_options(df).count() == 83  # all unless asked
+    got = [r.value for r in choices.filter_options(df, max_options=50).collect()]
     assert len(got) == 50 and got[:3] == ["alpha", "Beta", "beta"]
     assert "  " not in got and None not in got
 
@@ -153,7 +152,8 @@ def test_filter_options_cap_and_label_order(spark):
 def test_customer_domains_cap_and_case(spark):
     rows = [("Acme", f"d{i:02d}.example.com") for i in range(60)] + [("ACME", "x.example.com"), ("Zed", ""), ("Zed", "z.io")]
     df = usage(spark, rows, ["CustomerName", "CustomerDomainName"])
-    out = choices.customer_domains(df)
+    assert choices.customer_domains(df).where("CustomerName = 'Acme'").count() > 50  # all unless asked
+    out = choices.customer_domains(df, 50)
     per = {r.CustomerName: r.n for r in out.groupBy("CustomerName").agg(F.count("*").alias("n")).collect()}
     assert per == {"Acme": 50, "ACME": 1, "Zed": 1}
     top = [r.CustomerDomainName for r in out.where("CustomerName = 'Acme'").orderBy("domain_rank").collect()]
@@ -161,7 +161,7 @@ def test_customer_domains_cap_and_case(spark):
 
 
 def test_customer_domains_plan_limits_before_shuffle(view001):
-    plan = choices.customer_domains(view001)._jdf.queryExecution().executedPlan().toString()
+    plan = choices.customer_domains(view001, 50)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
 
 
@@ -199,7 +199,7 @@ def test_single_invoice_equals_its_batch_slice(view001):
     flt = invoice_scope(one.CustomerName.upper(), one.CustomerDomainName, one.InvoiceNumber.lower())
     single = invoice.invoice_items(invoice.line_sums(view001, flt), P)
     batch = invoice.invoice_items(invoice.line_sums(view001, batch=True), P).where(
-        (F.lower("customer_name") == one.CustomerName.lower()) & (F.col("invoice_number") == one.InvoiceNumber)
+        (F.lower("customer_name") == one.CustomerName.lower()) & (F.lower("invoice_number") == one.InvoiceNumber.lower())
     ).drop("customer_name", "customer_domain_name", "invoice_number")
     assert sorted(map(tuple, single.collect())) == sorted(map(tuple, batch.collect()))
     with pytest.raises(ValueError):
@@ -214,6 +214,39 @@ def test_batch_groups_case_variants_together(spark):
     assert out[0].unit_price == 10.0 and out[0].unit_price_raw == "10.00"
 
 
+def test_one_invoice_with_spellings_on_different_lines(spark):
+    """Lines, subtotals, totals and period of a batch are those of the one invoice."""
+    rows = [("Acme", "a.io", "INV-1", "A", "S", "1", "10", "2024-01-03"), ("ACME", "A.io", "inv-1", "B", None, "2", "20", "2024-02-01"),
+            ("acme", "a.io", "INV-1", "A", "S", "1", "5", "2024-01-01"), (None, "a.io", None, "A", "S", "1", "5", "2024-01-01")]
+    df = usage(spark, rows, ["CustomerName", "CustomerDomainName", "InvoiceNumber", "MeterCategory", "MeterSubCategory", "Quantity",
+                             "PricingPreTaxTotal", "UsageDate"])
+    name = ("ACME", "A.io", "INV-1")
+    lines, scopes = invoice.line_sums(df, batch=True), invoice.scope_sums(df, batch=True)
+    items = invoice.invoice_items(lines, P).where("customer_name is not null").collect()
+    assert {tuple(r)[:3] for r in items} == {name} and len(items) == 2
+    for sums in (lines, scopes):
+        totals = invoice.invoice_totals(sums, P).where("customer_name is not null").collect()
+        assert [(tuple(t)[:3], t.pricing_raw) for t in totals] == [(name, "35.00")]
+        period = invoice.invoice_period(sums).where("customer_name is not null").collect()
+        assert [(tuple(p)[:3], p.period_start, p.period_end) for p in period] == [(name, "2024-01-01", "2024-02-01")]
+    one = invoice.line_sums(df, invoice_scope("aCME", "A.IO", "Inv-1"))
+    drop = ("customer_name", "customer_domain_name", "invoice_number")
+    for part in (invoice.invoice_items, invoice.invoice_subtotals, invoice.invoice_totals, invoice.invoice_export):
+        mine = part(lines, P).where("customer_name is not null").drop(*drop).collect()
+        assert sorted(map(str, mine)) == sorted(map(str, part(one, P).collect()))
+    assert invoice.invoice_totals(scopes, P).where("customer_name is null").count() == 1
+
+
+def test_export_prints_missing_keys_last(spark):
+    from meterbook.sources import exports
+
+    rows = [("A", "Z"), ("A", None), (None, "Q")]
+    df = usage(spark, [(*r, "1", "1") for r in rows], ["MeterCategory", "MeterSubCategory", "Quantity", "PricingPreTaxTotal"])
+    out = exports.invoice_csv_rows(invoice.invoice_export(invoice.line_sums(df), P, order_keys=True), position="n").collect()
+    assert [(r["Meter Category"], r["Meter Subcategory"], r["Tags"], r.n) for r in out] == [
+        ("A", "Z", "", 1), ("A", "", "", 2), ("", "Q", "", 3), ("", "", "TOTAL", 4)]
+
+
 def test_tags_are_distinct_trimmed_sorted(spark):
     rows = [("C", " b=2"), ("C", "a=1 "), ("C", "b=2"), ("C", "  "), ("C", None)]
     df = usage(spark, rows, ["MeterCategory", "Tags"])
@@ -313,7 +346,7 @@ def test_with_grid_pricing_appends_to_all_columns(view001):
 
 def test_all_domains_first_by_name(view001):
     got = [r.CustomerDomainName for r in choices.all_domains(view001).collect()]
-    assert got == sorted(got) and len(got) == 5
+    assert got == sorted(got) and len(got) == 10  # five segments in two spellings
 
 
 def test_line_order_sorts_items(view001):
