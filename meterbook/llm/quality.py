@@ -6,8 +6,8 @@ threshold condition with the best gain until it covers no good document there, p
 other third from its end, kept if it is precise enough on that third, and its documents are
 taken out before the next rule. The rules become one ordered Spark conditional expression.
 
-Learning sees at most ``SAMPLE_ROWS`` labelled documents (those with the least hash of
-doc_id); everything else covers all rows. A document that fails the fixed base rules is
+Learning sees at most ``SAMPLE_ROWS`` labelled documents (a share
+of them by a hash of doc_id); everything else covers all rows. A document that fails the fixed base rules is
 dropped whatever the list says and takes no part in learning.
 
 Null, empty and blank texts have no words and fail the base rules. Labels without a quality
@@ -188,7 +188,10 @@ def learn(stats: DataFrame, labels: DataFrame, doc_id: str = "doc_id", quality:
     marks = labels.select(F.col(doc_id).alias("doc_id"), F.col(quality).alias("quality")).filter("doc_id is not null and quality is not null")
     marks = marks.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     known = stats.filter(~base_failed()).select(F.col(doc_id).alias("doc_id"), *[c.alias(name) for name, c in features().items()]).join(marks, "doc_id")
-    sample = known.select("*", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(SAMPLE_ROWS).collect()
+    # a share of the rows by hash first, so that what all tasks send together is bounded too
+    share = min(1.0, 1.2 * SAMPLE_ROWS / max(1, known.count()))
+    drawn = known.select("*", F.xxhash64("doc_id").alias("h")).filter(F.pmod("h", F.lit(1 << 20)) < int(share * (1 << 20)))
+    sample = drawn.orderBy("h", "doc_id").limit(SAMPLE_ROWS).collect()
     rows = np.array([[r[name] for name in FEATURES] for r in sample], np.float64).reshape(-1, len(FEATURES))
     bad = np.array([r.quality == 0 for r in sample], bool)
     prune = np.array([r.h % 3 == 0 for r in sample], bool)
