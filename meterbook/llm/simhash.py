@@ -20,8 +20,9 @@ joins over the links of different fingerprints (large-star, small-star), written
 shared folder every round.
 
 Null, empty and blank texts have fingerprint zero and link like any other. Repeated rows
-give repeated rows of the result. A null doc_id is never a representative unless its whole
-group has none.
+give repeated rows of the groups. The representative of a group is one row: the one with the
+smallest doc_id, of several the one with the smallest fingerprint, then hash of the row. A null
+doc_id is never a representative unless its whole group has none.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -89,16 +90,18 @@ def fingerprint(text: bytes, shingle: int) -> int:
     return int(np.packbits(2 * bits > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and ``fp``, the fingerprint as a signed 64-bit integer. No shuffle."""
+def fingerprints(docs: DataFrame, shingle: int = 3, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
+    """doc_id and ``fp``, the fingerprint as a signed 64-bit integer, and as ``row`` the column
+    of that name, if one is given. No shuffle."""
+    extra = [] if row is None else [row]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(it):
             found = np.array([fingerprint(x, shingle) for x in utf8(batch.column(1))], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]], names=["doc_id", "fp", "row"][: 2 + len(extra)])
 
-    kind = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("fp", T.LongType(), False)])
-    return docs.select(F.col(doc_id), F.col(text)).mapInArrow(run, kind)
+    kind = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("fp", T.LongType(), False), *[T.StructField("row", docs.schema[c].dataType) for c in extra]])
+    return docs.select(F.col(doc_id), F.col(text), *[F.col(c) for c in extra]).mapInArrow(run, kind)
 
 
 def _retained(a: np.ndarray, b: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -265,15 +268,21 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.union(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 
 
+def _rooted(marked: DataFrame, low: Column, max_bits: int) -> DataFrame:
+    """One row per fingerprint of ``marked``: ``fp``, ``low`` of its rows and the ``root`` of its
+    group."""
+    tasks = int(marked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # dealt out by number: each fingerprint becomes many postings, however few bytes they are now
+    distinct = marked.groupBy("fp").agg(low.alias("low")).repartition(tasks, "fp")
+    groups = components(links(distinct, max_bits))
+    return distinct.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, ``fp`` and ``component_id``, the smallest doc_id of its
     group."""
     marked = written(fingerprints(docs, shingle, doc_id, text), "simhash")
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # dealt out by number: each fingerprint becomes many postings, however few bytes they are now
-    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("low")).repartition(tasks, "fp")
-    groups = components(links(distinct, max_bits))
-    rooted = distinct.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(marked, F.min("doc_id"), max_bits)
     smallest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     named = rooted.select("fp", "root").join(smallest, "root").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
@@ -285,7 +294,17 @@ def digests(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFrame:
 
 
 def representatives(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its group."""
-    found = near_duplicates(docs, shingle, max_bits)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """One row of ``docs`` for each group: see the module's text."""
+    row = "row"
+    while row in docs.columns:
+        row += "_"
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    # two hashes of all columns (which of them are null counts): equal for repeated rows only
+    values = [*[c.isNull() for c in columns], *columns]
+    keyed = docs.withColumn(row, F.struct(F.xxhash64(F.lit(1), *values).alias("a"), F.xxhash64(F.lit(2), *values).alias("b")))
+    marked = written(fingerprints(keyed, shingle, row=row), "simhash")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "row")
+    lows = _rooted(marked, F.min(key), max_bits).groupBy("root").agg(F.min("low").alias("low"))
+    kept = lows.select(F.col("low.row").alias(row))
+    # repeated rows are one before they are dealt out
+    return keyed.dropDuplicates([row]).join(kept, row, "left_semi").select(*columns)

@@ -58,3 +58,11 @@ def test_stages_return_documents(spark, folder):
         out = stage(spark, docs, folder)
         assert out.dtypes == docs.dtypes
         assert stage(spark, docs.limit(0), folder).count() == 0
+
+
+def test_null_and_repeated_doc_ids(spark, folder, tmp_path):
+    texts = [(None, prose(40)), (None, prose(41)), (3, prose(42)), (3, prose(42)), (3, prose(43)), (4, prose(42)), (None, prose(43))]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts], DOCUMENTS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{folder}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = [r[0] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=repr) == [3, 3, None, None]

@@ -96,3 +96,18 @@ def test_representatives_keep_one_of_each_group_and_all_columns(spark):
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == [0, 3, 4]
     assert simhash.representatives(documents(spark, [])).count() == 0
+
+
+def test_representatives_are_one_row_of_each_group(spark):
+    near, other = "one two three four", "something else entirely here"
+    rows = [(None, near), (None, "alone and without a number"), (None, None), (4, ""), (7, other), (7, other), (8, other), (9, "first of two with one number"), (9, "second text, another group"), (5, near), (None, "twice without number"), (None, "twice without number")]
+    kept = simhash.representatives(documents(spark, [t for _, t in rows], [i for i, _ in rows]).withColumnRenamed("lang", "row"))
+    want = [(4, ""), (5, near), (7, other), (9, "first of two with one number"), (9, "second text, another group"), (None, "alone and without a number"), (None, "twice without number")]
+    assert sorted([(r.doc_id, r.text) for r in kept.collect()], key=repr) == sorted(want, key=repr)
+    langs = documents(spark, [near] * 3, [3, 3, 3], ["en", None, "fr"])
+    assert simhash.representatives(langs).count() == 1
+
+
+def test_of_one_doc_id_with_near_texts_one_row_stays(spark):
+    copies = documents(spark, ["Same  words here", "same words HERE", None], [1, 1, 2])
+    assert sorted(r.doc_id for r in simhash.representatives(copies).collect()) == [1, 2]
