@@ -32,10 +32,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def partitions_for(docs: DataFrame, text: str, bytes_each: int) -> int:
-    """How many partitions keep each at about ``bytes_each`` bytes of text, never fewer than
-    the session's shuffle partitions."""
-    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+def text_bytes(docs: DataFrame, text: str) -> int:
+    return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+
+
+def partitions_for(docs: DataFrame, text: str, bytes_each: int, total: int | None = None) -> int:
+    """How many partitions keep each at about ``bytes_each`` bytes of text (``total`` in all, if
+    that is known), never fewer than the session's shuffle partitions."""
+    total = text_bytes(docs, text) if total is None else total
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(least, math.ceil(total / bytes_each))
 

@@ -16,6 +16,14 @@ phrases are its dictionary, in the order of first occurrence with the doc_id of
 made again when needed. Only the dictionaries travel, cut into buckets by trigger, so a
 passage in any number of documents costs a bucket one entry a part.
 
+Hot triggers. The triggers of all phrases are counted first, in cells by their hash. A phrase
+whose trigger's cell holds more than ``HOT`` phrases does not travel whole but in units: the
+windows with the trigger in their left half share the 29 bytes from it on, the others the 30
+bytes up to its end, and each half goes to the bucket of those bytes' hash. Halves are counted
+the same way, and a half over the limit travels as single windows, each to the bucket of its
+own hash. Equal windows always travel in the same way and meet; every window is in one unit. A
+part sends a unit once, with its smallest doc_id there. All other phrases are one unit.
+
 Corpus order. A bucket joins the dictionaries. A phrase whose smallest document overall comes
 before a part's is covered there entirely. Phrases that share 29 bytes around the trigger with
 a different phrase may also share windows: their suffixes are ranked to depth 50 by prefix
@@ -34,12 +42,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meterbook.llm.common import partitions_for, utf8
+from meterbook.llm.common import partitions_for, slices, text_bytes, utf8
 
 #: Bytes of a window.
 DEPTH = 50
@@ -53,6 +62,11 @@ PART_BYTES = 6_000_000
 PIECE_BYTES = 1 << 20
 #: Bytes on one side of the trigger which some side of every window has.
 SIDE = (DEPTH - GRAM) // 2
+#: Phrases with a trigger, or with a half, over this many travel in smaller units (from half of
+#: this on some do): half as many as an average bucket holds.
+HOT = PART_BYTES // 44
+#: Counting cells for each part.
+CELLS = 32
 LAST = (1 << 63) - 1
 _POSITION_BITS = np.uint64(22)
 
@@ -84,12 +98,33 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - span)], x[width - span :]) if span < width else x
 
 
+def _cores(hashes: np.ndarray, at: np.ndarray, left: bool) -> np.ndarray:
+    """A hash of the bytes that all windows of a half share: from triggers at ``at`` on, or (left)
+    up to their ends. ``hashes`` are those of all trigger-sized strings."""
+    out = np.full(len(at), left, np.uint64)
+    with np.errstate(over="ignore"):
+        for by in (-SIDE - 1, GRAM - SIDE - 1, 2 * GRAM - SIDE - 1, 0) if left else (0, GRAM, 2 * GRAM, SIDE):
+            out = (out ^ hashes[at + by]) * np.uint64(0x94D049BB133111EB)
+            out ^= out >> np.uint64(31)
+    return out
+
+
+def _halves(offset: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which phrases have windows with the trigger up to ``SIDE`` bytes from their start, and
+    which have others."""
+    return offset - count + 1 <= SIDE, offset > SIDE
+
+
 class Parse:
-    """The phrases of some documents: an iterator of pieces, and the dictionary they add up to."""
+    """The phrases of some documents: an iterator of pieces, and the dictionary they add up to.
+    ``hot`` has the counting cells over the limit, of triggers and, from ``cells`` on, halves."""
 
-    def __init__(self, docs: list[tuple[int, bytes]], buckets: int):
+    def __init__(self, docs: list[tuple[int, bytes]], buckets: int, hot: np.ndarray | None = None):
         self.docs = docs
         self.buckets = buckets
+        self.cells = buckets * CELLS
+        self.hot = np.zeros(0, np.int64) if hot is None else hot
+        self.hot_phrases: list[int] = []
         self.phrases: dict[bytes, int] = {}
         self.first: list[int] = []  # doc_id where the phrase occurs first
         self.offset: list[int] = []  # of the trigger in the phrase
@@ -110,9 +145,9 @@ class Parse:
         if some:
             yield some, b"".join(self.docs[i][1][x : y + DEPTH - 1] for i, x, y in some)
 
-    def __iter__(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """For each piece: document index, first window, number of windows and phrase of all
-        its phrase occurrences, in order."""
+    def _found(self) -> Iterator[tuple]:
+        """For each piece: its stretches, where they begin, its bytes, their hashes and of all
+        phrase occurrences the stretch, start, number of windows and trigger."""
         for stretches, data in self._pieces():
             raw = np.frombuffer(data, np.uint8)
             hashes = _gram_hashes(raw)
@@ -127,13 +162,28 @@ class Parse:
             new = np.append(True, (trigger[1:] != trigger[:-1]) | (windows[1:] != windows[:-1] + 1))
             at = np.flatnonzero(new)
             start, count = windows[at], np.diff(np.append(at, len(windows)))
+            yield stretches, begins, data, hashes, np.searchsorted(np.cumsum(sizes), at, side="right"), start, count, trigger[at]
+
+    def counted(self) -> np.ndarray:
+        """How many phrase occurrences fall into each cell, and how many halves."""
+        out = np.zeros(2 * self.cells, np.int64)
+        for _, _, _, hashes, _, start, count, trigger in self._found():
+            out[: self.cells] += np.bincount((hashes[trigger] % np.uint64(self.cells)).astype(np.int64), minlength=self.cells)
+            for left, some in enumerate(_halves(trigger - start, count)):
+                cores = _cores(hashes, trigger[some], bool(left))
+                out[self.cells :] += np.bincount((cores % np.uint64(self.cells)).astype(np.int64), minlength=self.cells)
+        return out
+
+    def __iter__(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each piece: document index, first window, number of windows and phrase of all
+        its phrase occurrences, in order."""
+        for stretches, begins, data, hashes, owner, start, count, trigger in self._found():
             end = start + count + DEPTH - 1
-            owner = np.searchsorted(np.cumsum(sizes), at, side="right")
-            phrase = self._named(data, start, end, trigger[at] - start, hashes[trigger[at]] % np.uint64(self.buckets), owner, stretches)
+            phrase = self._named(data, start, end, trigger - start, hashes[trigger], owner, stretches)
             first_window = start - begins[owner] + np.array([a for _, a, _ in stretches])[owner]
             yield np.array([k for k, _, _ in stretches])[owner], first_window, count, phrase
 
-    def _named(self, data: bytes, start: np.ndarray, end: np.ndarray, offset: np.ndarray, bucket: np.ndarray, owner: np.ndarray, stretches: list) -> np.ndarray:
+    def _named(self, data: bytes, start: np.ndarray, end: np.ndarray, offset: np.ndarray, hashes: np.ndarray, owner: np.ndarray, stretches: list) -> np.ndarray:
         known = self.phrases
         before = len(known)
         names = [known.setdefault(data[a:b], len(known)) for a, b in zip(start.tolist(), end.tolist(), strict=True)]
@@ -143,17 +193,81 @@ class Parse:
             where = where[fresh >= before]
             self.first += [self.docs[stretches[k][0]][0] for k in owner[where].tolist()]
             self.offset += offset[where].tolist()
-            self.bucket += bucket[where].tolist()
+            self.bucket += (hashes[where] % np.uint64(self.buckets)).tolist()
+            if len(self.hot):
+                self.hot_phrases += fresh[fresh >= before][np.isin((hashes[where] % np.uint64(self.cells)).astype(np.int64), self.hot)].tolist()
         return out
 
+
+
+class Units:
+    """What a parse sends: its phrases, and those with a hot trigger in pieces. Of each unit
+    the bytes, the offset of the trigger, the smallest doc_id and the bucket."""
+
+    def __init__(self, parse: Parse):
+        self.parse = parse
+        hot = np.array(parse.hot_phrases, np.int64)
+        listed = list(parse.phrases)
+        whole = np.ones(len(listed), bool)
+        whole[hot] = False
+        self.whole = np.flatnonzero(whole)
+        self.texts = [listed[k] for k in self.whole.tolist()]
+        offset, first = np.array(parse.offset, np.int64), np.array(parse.first, np.int64)
+        self.pieces: list[tuple[int, int, int, int]] = []  # phrase, its first window, windows, unit
+        pieces_of, offsets, firsts, buckets = {}, [], [], []
+        for k, start, count, bucket in self._cut([listed[k] for k in hot.tolist()], hot, offset[hot]):
+            text = listed[k][start : start + count + DEPTH - 1]
+            unit = pieces_of.setdefault(text, len(pieces_of))
+            if unit == len(offsets):
+                offsets.append(offset[k] - start)
+                firsts.append(first[k])
+                buckets.append(bucket)
+            firsts[unit] = min(firsts[unit], first[k])
+            self.pieces.append((k, start, count, len(self.whole) + unit))
+        self.texts += pieces_of
+        self.offset = np.concatenate([offset[self.whole], np.array(offsets, np.int64)])
+        self.first = np.concatenate([first[self.whole], np.array(firsts, np.int64)])
+        self.bucket = np.concatenate([np.array(parse.bucket, np.int64)[self.whole], np.array(buckets, np.int64)])
+
+    def _cut(self, texts: list[bytes], names: np.ndarray, offset: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(phrase, first window, number of windows, bucket) of the units of these phrases."""
+        if not texts:
+            return
+        lengths = np.array([len(x) for x in texts], np.int64)
+        count = lengths - DEPTH + 1
+        hashes = _gram_hashes(np.frombuffer(b"".join(texts), np.uint8))
+        trigger = np.cumsum(lengths) - lengths + offset
+        right, left = _halves(offset, count)
+        cells, buckets = np.uint64(self.parse.cells), self.parse.buckets
+        for is_left, some in ((True, np.flatnonzero(left)), (False, np.flatnonzero(right))):
+            cores = _cores(hashes, trigger[some], is_left)
+            single = np.isin((cores % cells).astype(np.int64) + int(cells), self.parse.hot)
+            for i, core, alone in zip(some.tolist(), cores.tolist(), single.tolist(), strict=True):
+                o, n = int(offset[i]), int(count[i])
+                a, b = (0, min(n, o - SIDE)) if is_left else (max(0, o - SIDE), n)
+                if alone:
+                    for w in range(a, b):
+                        yield int(names[i]), w, 1, xxhash.xxh64_intdigest(texts[i][w : w + DEPTH]) % buckets
+                else:
+                    yield int(names[i]), a, b - a, core % buckets
+
     def by_bucket(self) -> Iterator[tuple[int, np.ndarray]]:
-        """Each bucket with its phrases in order."""
-        bucket = np.array(self.bucket, np.int64)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+        """Each bucket with its units in order."""
+        order = np.argsort(self.bucket, kind="stable")
+        cuts = np.flatnonzero(np.diff(self.bucket[order])) + 1
         if len(order):
-            for phrases in np.split(order, cuts):
-                yield int(bucket[phrases[0]]), phrases
+            for units in np.split(order, cuts):
+                yield int(self.bucket[units[0]]), units
+
+    def phrase_masks(self, masks: np.ndarray) -> np.ndarray:
+        """The masks of the parse's phrases from those of the units."""
+        out = np.zeros(len(self.parse.phrases), np.int64)
+        out[self.whole] = masks[: len(self.whole)]
+        for k, start, count, unit in self.pieces:
+            every = (1 << count) - 1
+            mask = every if self.parse.first[k] > self.first[unit] else int(masks[unit]) & every
+            out[k] |= mask << start
+        return out
 
 
 def _sorted_docs(rows: pa.Table, doc_id: str, text: str) -> tuple[list[tuple[int, bytes]], list[int]]:
@@ -164,18 +278,19 @@ def _sorted_docs(rows: pa.Table, doc_id: str, text: str) -> tuple[list[tuple[int
     return [(ids[k], texts[k]) for k in order], order
 
 
-def _dictionary(rows: pa.Table, doc_id: str, text: str, part: str, buckets: int) -> pa.Table:
+def _dictionary(rows: pa.Table, doc_id: str, text: str, part: str, buckets: int, hot: np.ndarray) -> pa.Table:
     """A part's dictionary, one compressed row a bucket."""
     docs, _ = _sorted_docs(rows, doc_id, text)
-    parse = Parse(docs, buckets)
+    parse = Parse(docs, buckets, hot)
     for _ in parse:
         pass
-    listed = list(parse.phrases)
+    units = Units(parse)
+    listed = units.texts
     lengths = np.array([len(x) for x in listed], np.uint8)
-    offsets, first = np.array(parse.offset, np.uint8), np.array(parse.first, np.int64)
+    offsets, first = units.offset.astype(np.uint8), units.first
     pack = zstandard.ZstdCompressor(level=3).compress
     out = []
-    for bucket, phrases in parse.by_bucket():
+    for bucket, phrases in units.by_bucket():
         body = b"".join([lengths[phrases].tobytes(), offsets[phrases].tobytes(), first[phrases].tobytes(), *[listed[k] for k in phrases.tolist()]])
         out.append({"bucket": bucket, part: rows.column(part)[0].as_py(), "n": len(phrases), "body": pack(body)})
     return pa.Table.from_pylist(out, schema=pa.schema([("bucket", pa.int32()), (part, pa.int32()), ("n", pa.int32()), ("body", pa.binary())]))
@@ -263,10 +378,13 @@ def _covered(parse: Parse, answers: dict[int, bytes]) -> list[np.ndarray]:
     found = []
     for piece in parse:
         found.append(piece)
-    masks = np.zeros(len(parse.phrases), np.int64)
-    for bucket, phrases in parse.by_bucket():
+    units = Units(parse)
+    unit_masks = np.zeros(len(units.texts), np.int64)
+    for bucket, mine in units.by_bucket():
         if bucket in answers:
-            masks[phrases] = np.frombuffer(answers[bucket], np.int64)
+            unit_masks[mine] = np.frombuffer(answers[bucket], np.int64)
+    masks = units.phrase_masks(unit_masks)
+    del units
     first = np.array(parse.first, np.int64)
     ids = np.array([i for i, _ in parse.docs], np.int64)
     change: dict[int, np.ndarray] = {}
@@ -288,6 +406,24 @@ def _covered(parse: Parse, answers: dict[int, bytes]) -> list[np.ndarray]:
     return [np.cumsum(change[d])[:-1] > 0 if d in change else np.zeros(0, bool) for d in range(len(parse.docs))]
 
 
+def _hot(docs: DataFrame, text: str, buckets: int, n_bytes: int) -> np.ndarray:
+    """Counting cells, ascending, among them all with more than ``HOT`` phrases or halves in
+    all documents (of ``n_bytes``). A task names its cells with its share, by bytes, of half
+    that: what all tasks leave out of a cell is less than the other half."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, size = np.zeros(2 * buckets * CELLS, np.int64), 0
+        for batch in slices(it):
+            texts = utf8(batch.column(0))
+            size += sum(map(len, texts))
+            total += Parse([(0, x) for x in texts], buckets).counted()
+        some = np.flatnonzero((total > 0) & (total >= HOT * size / (2 * max(n_bytes, 1))))
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["cell", "n"])
+
+    counts = docs.select(F.col(f"`{text}`")).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    return np.array(sorted(r.cell for r in counts.filter(F.col("n") > HOT / 2).select("cell").collect()), np.int64)
+
+
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
@@ -304,12 +440,14 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     part = "part"
     while part in given:
         part += "_"
-    parts = partitions_for(docs, text, PART_BYTES)
+    n_bytes = text_bytes(docs, text)
+    parts = partitions_for(docs, text, PART_BYTES, n_bytes)
     dealt = docs.withColumn(part, F.pmod(F.xxhash64(doc_id), F.lit(parts)).cast("int"))
+    hot = _hot(docs, text, parts, n_bytes)
     out_schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL("n_bytes long, removed array<struct<start: long, end: long>>, kept " + ("string" if as_text else "binary")).fields])
 
     def dictionary(rows: pa.Table) -> pa.Table:
-        return _dictionary(rows, doc_id, text, part, parts)
+        return _dictionary(rows, doc_id, text, part, parts, hot)
 
     def resolve(rows: pa.Table) -> pa.Table:
         return _resolve(rows, part)
@@ -318,7 +456,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         unpack = zstandard.ZstdDecompressor().decompress
         sorted_docs, order = _sorted_docs(rows, doc_id, text)
         masks = {a["bucket"]: unpack(a["masks"]) for a in answers.to_pylist()}
-        covered = _covered(Parse(sorted_docs, parts), masks)
+        covered = _covered(Parse(sorted_docs, parts, hot), masks)
         spans, kept = [], []
         for (_, data), hit in zip(sorted_docs, covered, strict=True):
             edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))).tolist()

@@ -84,3 +84,42 @@ def test_digest_columns(spark):
     rows = {r.doc_id: r for r in suffix_dedup.digests(documents(spark, [PASSAGE, "Before. " + PASSAGE])).collect()}
     assert (rows[1].n_bytes, rows[1].n_removed, rows[1].n_spans) == (len(PASSAGE) + 8, len(PASSAGE) + 1 - 1, 1)
     assert rows[1].kept_sha256 == sha("Before. ")
+
+
+def hot_docs():
+    """Many different phrases of one trigger, some with one of its sides in common."""
+    rng = random.Random(11)
+    near = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    one, two = near(60), near(60)
+    return [(k, near(rng.randint(0, 40)) + rng.choice([one[-rng.randint(20, 60) :], near(40)]) + "qzjxvwkq" + rng.choice([two[: rng.randint(20, 60)], near(40)]) + near(rng.randint(0, 40))) for k in rng.sample(range(1000), 150)]
+
+
+def test_hot_triggers_and_halves_travel_in_units_without_loss(spark, monkeypatch):
+    for limit in (0, 3, 12, 40):
+        monkeypatch.setattr(suffix_dedup, "HOT", limit)
+        check(spark, hot_docs())
+        check(spark, list(enumerate(AWKWARD[:-2])))
+
+
+def test_phrases_of_a_hot_trigger_are_dealt_to_many_buckets():
+    docs = [(k, t.encode()) for k, t in hot_docs()]
+    counts = suffix_dedup.Parse(docs, 16).counted()
+    parse = suffix_dedup.Parse(docs, 16, np.flatnonzero(counts > 12))
+    for _ in parse:
+        pass
+    units = suffix_dedup.Units(parse)
+    assert max(np.bincount(parse.bucket)) > 3 * len(parse.phrases) / 16
+    assert max(len(x) for _, x in units.by_bucket()) < 2 * len(units.texts) / 16
+    windows = [(k, start + w) for k, start, n, _ in units.pieces for w in range(n)]
+    assert len(windows) == len(set(windows)) == sum(len(t) - 49 for k, t in enumerate(parse.phrases) if k in set(parse.hot_phrases))
+
+
+def test_hot_cells_are_found_over_all_tasks(spark, monkeypatch):
+    docs = hot_docs()
+    counts = suffix_dedup.Parse([(k, t.encode()) for k, t in docs], 8).counted()
+    frame = documents(spark, [t for _, t in docs]).repartition(7)
+    n_bytes = sum(len(t) for _, t in docs)
+    for limit in (0, 10, 30):
+        monkeypatch.setattr(suffix_dedup, "HOT", limit)
+        found = suffix_dedup._hot(frame, "text", 8, n_bytes)
+        assert set(np.flatnonzero(counts > limit)) <= set(found) <= set(np.flatnonzero(counts > limit / 2))
