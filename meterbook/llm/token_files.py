@@ -13,7 +13,8 @@ attempt that succeeded is kept, so lost executors and repeated tasks leave no wr
 behind, at most an unused one. Files go through ``pyarrow.fs``; on a local or mounted folder
 they are memory-mapped when read, elsewhere read by ranges.
 
-Null and empty texts have no ids (only the end id, if one is given). Rows with the same
+The strings of the tokenizer's added tokens (``<|endoftext|>``) in a text become their ids, as
+in the tokenizer's own call. Null and empty texts have no ids (only the end id, if one is given). Rows with the same
 doc_id stand in the order of a hash of their texts; null doc_ids come first and read back as null.
 """
 
@@ -61,7 +62,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        contents = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = [c.lower() for c in contents if c]
+        self.spaced = any(c.split() != [c] for c in contents if c)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.cache: dict[bytes, bytes] = {}
         self.folds = self._ids([b"A", b"a"])[0] == self._ids([b"a"])[0]  # a tokenizer of lower-cased text
@@ -73,9 +76,21 @@ class WordEncoder:
             out += [np.array(x.ids, f"<u{self.width}").tobytes() for x in found]
         return out
 
+    def _words(self, text: bytes) -> list[bytes]:
+        """The words of a text. The strings of added tokens have ids of their own and stay as
+        they are: a text with one, in any case, is not folded, and no text is split if white
+        space belongs to some."""
+        if self.spaced:
+            return [text]
+        if not self.folds:
+            return text.split()
+        folded = _folded(text)
+        low = folded if folded is not text else text.lower()
+        return (text if any(c in low for c in self.added) else folded).split()
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian unsigned integers."""
-        split = [_folded(t).split() if self.folds else t.split() for t in texts]
+        split = [self._words(t) for t in texts]
         get = self.cache.get
         found = [list(map(get, words)) for words in split]
         missing = list({w for words, ids in zip(split, found, strict=True) if None in ids for w, i in zip(words, ids, strict=True) if i is None})

@@ -94,3 +94,26 @@ def test_same_ids_and_empty_table(spark):
     rows.sort(key=lambda r: r.start)
     assert [r.start for r in rows] == [sum(x.n_tokens for x in rows[:k]) for k in range(4)]
     assert token_files.digests(documents(spark, []), PATH, 2).count() == 0
+
+
+SPECIAL = ["hello <|endoftext|> world foo<|startoftext|>bar", "<|endoftext|>", "A<|EndOfText|>B <|ENDOFTEXT|>", "Mixed CASE <|startoftext|><|endoftext|> and <|StartOfText|> Too", "<|end oftext|> <|endoftext", "e\u0301 <|endoftext|>\u0301 É", "cafe\u0301 <|EndOfText|>"]
+
+
+def test_strings_of_added_tokens_equal_the_call_of_the_contract(spark):
+    tokenizer = Tokenizer.from_file(PATH)
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in SPECIAL]
+    assert want[0] == [3306, 49407, 1002, 23435, 49406, 2411]
+    encoder = token_files._encoder(PATH)
+    assert [np.frombuffer(x, "<u2").tolist() for x in encoder.encode([t.encode() for t in SPECIAL])] == want
+    rows = {r.doc_id: r for r in token_files.digests(documents(spark, SPECIAL), PATH, 2).collect()}
+    assert [rows[k].n_tokens for k in range(len(SPECIAL))] == [len(x) + 1 for x in want]
+    assert [rows[k].ids_crc32 for k in range(len(SPECIAL))] == [zlib.crc32(np.array([*x, 2], "<u4").tobytes()) for x in want]
+
+
+def test_added_tokens_with_white_space_or_capitals(tmp_path):
+    tokenizer = Tokenizer.from_file(PATH)
+    tokenizer.add_tokens(["two words", "Big"])
+    tokenizer.save(str(tmp_path / "t.json"))
+    encoder = token_files.WordEncoder(str(tmp_path / "t.json"))
+    texts = ["some two words here", "a Big one", "a big one", "two  words BIG"]
+    assert [np.frombuffer(x, f"<u{encoder.width}").tolist() for x in encoder.encode([t.encode() for t in texts])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
