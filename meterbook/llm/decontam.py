@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meterbook.llm.common import utf8
+from meterbook.llm.common import utf8, written
 
 WINDOW = 13
 #: Text bytes of one shard.
@@ -245,13 +245,22 @@ def _windows(key: str, block: Broadcast, window: int) -> Windows:
 
 
 def _blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[object, bytes]]]:
-    """The benchmark in blocks of about ``BLOCK_BYTES``, one at a time."""
+    """The benchmark without repeated rows in blocks of at most ``BLOCK_BYTES``, one at a time.
+    Rows are dealt to cells of a sixteenth of a block on average; blocks are filled with cells
+    by their bytes, so only a cell that is larger by itself (a long text) makes a larger block."""
     rows = benchmark.select(F.col(item_id).alias("item"), F.col(text).cast("binary").alias("text")).filter("text is not null")
+    rows = written(rows.distinct(), "benchmark")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    count = math.ceil(total / BLOCK_BYTES)
-    for k in range(count):
-        mine = rows.filter(F.pmod(F.xxhash64("item", "text"), F.lit(count)) == k)
-        yield [(r.item, bytes(r.text)) for r in mine.collect()]
+    cell = F.pmod(F.xxhash64("item", "text"), F.lit(max(1, math.ceil(16 * total / BLOCK_BYTES))))
+    sizes = rows.groupBy(cell.alias("cell")).agg(F.sum(F.octet_length("text")).alias("n")).orderBy("cell").collect()
+    start, size = 0, 0
+    for k, r in enumerate(sizes):
+        size += r.n
+        if k + 1 == len(sizes) or size + sizes[k + 1].n > BLOCK_BYTES:
+            if size:
+                mine = rows.filter(cell.between(sizes[start].cell, r.cell))
+                yield [(x.item, bytes(x.text)) for x in mine.toLocalIterator()]
+            start, size = k + 1, 0
 
 
 _SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
@@ -293,11 +302,11 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, tex
         return run
 
     out, first = docs.select(*[F.col(f"`{c}`") for c in kept]), True
-    for items in [*_blocks(benchmark, item_id, item_text)] or [[]]:
-        block = docs.sparkSession.sparkContext.broadcast(items)
-        out = out.mapInArrow(search(block, first), schema)
+    context = docs.sparkSession.sparkContext
+    for items in _blocks(benchmark, item_id, item_text):
+        out = out.mapInArrow(search(context.broadcast(items), first), schema)
         first = False
-    return out
+    return out.mapInArrow(search(context.broadcast([]), first), schema) if first else out
 
 
 def judged(found: DataFrame) -> DataFrame:

@@ -113,3 +113,26 @@ def test_digest_and_clean(spark):
 def test_empty_tables(spark):
     assert decontam.digests(documents(spark, []), items(spark, ITEMS)).count() == 0
     assert [r.n_hit for r in decontam.digests(documents(spark, [LONG]), items(spark, [])).collect()] == [0]
+
+
+def test_blocks_are_bounded_whatever_repeats(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 1000)
+    rows = [(7, "one text that many rows repeat")] * 300 + [(k, f"item number {k} of the benchmark") for k in range(100)] + [(k, None) for k in range(5)]
+    blocks = list(decontam._blocks(items(spark, rows).repartition(5), "item_id", "text"))
+    assert sorted(x for b in blocks for x in b) == sorted({(i, t.encode()) for i, t in rows if t})
+    assert len(blocks) > 2 and all(sum(len(t) for _, t in b) <= 1000 for b in blocks)
+
+
+def test_each_block_is_sent_before_the_next_is_read(spark, monkeypatch):
+    events = []
+
+    def blocks(*args):
+        for k in range(3):
+            events.append("read")
+            yield [(k, "w1 w2".encode())]
+
+    monkeypatch.setattr(decontam, "_blocks", blocks)
+    context = type(spark.sparkContext)
+    monkeypatch.setattr(context, "broadcast", lambda self, value, f=context.broadcast: (events.append("sent"), f(self, value))[1])
+    decontam.occurrences(documents(spark, ["w1 w2"]), items(spark, ITEMS))
+    assert events == ["read", "sent"] * 3
