@@ -10,7 +10,8 @@ the same trigger make a phrase, and neighbouring phrases overlap by 49 bytes: ea
 lies whole in exactly one phrase, no phrase is longer than 92 bytes, and the order of the
 corpus's suffixes to depth 50 never has to look past a phrase.
 
-Dictionary and parse. Documents are dealt to parts by a hash of doc_id. A part's distinct
+Dictionary and parse. Documents are dealt to parts by a hash of doc_id
+and text. A part's distinct
 phrases are its dictionary, in the order of first occurrence with the doc_id of that first
 (smallest) document; where its phrases stand is its parse, which stays with the part and is
 made again when needed. Only the dictionaries travel, cut into buckets by trigger, so a
@@ -442,7 +443,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         part += "_"
     n_bytes = text_bytes(docs, text)
     parts = partitions_for(docs, text, PART_BYTES, n_bytes)
-    dealt = docs.withColumn(part, F.pmod(F.xxhash64(doc_id), F.lit(parts)).cast("int"))
+    # by the text too: rows without doc_id, or with one doc_id, don't cover each other and may part
+    dealt = docs.withColumn(part, F.pmod(F.xxhash64(doc_id, text), F.lit(parts)).cast("int"))
     hot = _hot(docs, text, parts, n_bytes)
     out_schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL("n_bytes long, removed array<struct<start: long, end: long>>, kept " + ("string" if as_text else "binary")).fields])
 

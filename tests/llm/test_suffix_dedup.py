@@ -123,3 +123,18 @@ def test_hot_cells_are_found_over_all_tasks(spark, monkeypatch):
         monkeypatch.setattr(suffix_dedup, "HOT", limit)
         found = suffix_dedup._hot(frame, "text", 8, n_bytes)
         assert set(np.flatnonzero(counts > limit)) <= set(found) <= set(np.flatnonzero(counts > limit / 2))
+
+
+def test_rows_of_one_doc_id_are_dealt_to_many_parts(spark, monkeypatch, tmp_path):
+    def dictionary(rows, *args, made=suffix_dedup._dictionary):
+        with open(f"{tmp_path}/sizes", "a") as f:
+            f.write(f"{rows.num_rows}\n")
+        return made(rows, *args)
+
+    monkeypatch.setattr(suffix_dedup, "_dictionary", dictionary)
+    frame = documents(spark, [f"{k} {PASSAGE} {k}" for k in range(80)], [None] * 40 + [3] * 40)
+    rows = suffix_dedup.remove_repeats(frame).collect()
+    with open(f"{tmp_path}/sizes") as f:
+        assert max(int(x) for x in f) < 30
+    # a null doc_id is the largest: its rows lose what those of doc_id 3 hold
+    assert all(bool(r.removed) == (r.doc_id is None) for r in rows)
