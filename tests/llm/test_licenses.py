@@ -75,3 +75,49 @@ def test_documents(spark):
     assert (rows[n + 1].best, rows[n + 2].best) == ("MIT", "MIT")
     assert licenses.digests(documents(spark, [])).count() == 0
     assert licenses.scan(docs, {}).first().licenses == []
+
+
+def brute_windows(text, templates, similarity):
+    """The best window of words for each template, without pruning."""
+    words = [(w, k) for k, x in enumerate(text.split("\n")) for w in licenses.words(x.encode())]
+    best = {}
+    for a in range(len(words)):
+        for b in range(a + 2, len(words) + 1):
+            part = [w for w, _ in words[a:b]]
+            bag = Counter(zip(part, part[1:], strict=False))
+            for name, other in templates.items():
+                theirs = licenses.words(other.encode())
+                their_bag = Counter(zip(theirs, theirs[1:], strict=False))
+                score = 2 * (bag & their_bag).total() / (bag.total() + their_bag.total())
+                ranked = (score, -a, -b)
+                if score >= similarity and ranked > best.get(name, (0.0,)):
+                    best[name] = ranked
+    return sorted((name, score, words[-a][1], words[-b - 1][1] + 1) for name, (score, a, b) in best.items())
+
+
+@pytest.mark.parametrize("similarity", [0.5, 0.8])
+def test_windows_of_words_equal_brute_force(similarity):
+    rng = random.Random(14)
+    templates = {"a": "x y z x y", "b": "y z", "c": "z z z y x y z", "one word": "x", "d": "x x x x y"}
+    scanner = licenses.Templates(templates, similarity)
+    for _ in range(300):
+        text = "\n".join(" ".join(rng.choice("xyzw") for _ in range(rng.randint(0, 7))) for _ in range(rng.randint(0, 4)))
+        assert scanner.find(text.encode()) == brute_windows(text, templates, similarity), text
+
+
+def test_windows_are_at_least_as_near_as_runs_of_lines():
+    scanner = licenses.Templates(licenses.TEMPLATES, 0.8)
+    for text in cases():
+        runs, windows = ({x[0]: x[1] for x in f(text.encode())} for f in (scanner.scan, scanner.find))
+        assert all(windows[name] >= score for name, score in runs.items())
+
+
+def test_nearest_licence_wins_within_lines_and_among_versions(spark):
+    full = {name: text for name, text in licenses.all_templates().items() if name != "Apache-2.0 (notice)"}  # holds the line, a tie
+    prose = "Ordinary words before it on the same line, and more of them so that the line is mostly prose. "
+    texts = {name: prose + " ".join(text.split()) + " " + prose for name, text in full.items()}
+    rows = licenses.digests(documents(spark, list(texts.values()))).collect()
+    assert {name: (r.best, r.score) for name, r in zip(texts, sorted(rows, key=lambda r: r.doc_id), strict=True)} == {name: (name, 1.0) for name in texts}
+    some = ["This work is licensed under the GNU General Public License, version 2.", "Licensed under CC BY-SA 4.0.", "Licensed under the MIT License.", full["BSD-3-Clause"]]
+    rows = sorted(licenses.digests(documents(spark, some)).collect(), key=lambda r: r.doc_id)
+    assert [r.best for r in rows] == ["GPL-2.0 (line)", "CC-BY-SA-4.0 (line)", "MIT (line)", "BSD-3-Clause"]
