@@ -20,7 +20,11 @@ doc_id stand in the order of a hash of their texts; null doc_ids come first and
 
 from __future__ import annotations
 
+import itertools
+import json
 import os
+import re
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -28,6 +32,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,79 +42,275 @@ from meterbook.llm.common import partitions_for, scratch
 
 #: Text bytes of one partition, hence of one file.
 PART_BYTES = 24_000_000
-#: Cached words of one Python worker; a full cache is emptied, which costs time only.
-CACHE_WORDS = 400_000
+#: Cached words of one Python worker; beyond it the half that was used last stays.
+CACHE_WORDS = 600_000
 #: Longer words are encoded each time they occur.
 CACHE_WORD_BYTES = 64
-#: Bytes of text whose unknown words are encoded together.
+#: Bytes of text that are split and looked up together.
 BLOCK_BYTES = 4_000_000
+#: Words or pieces that go through the tokenizer together.
+ENCODE_WORDS = 10_000
 
 MANIFEST = "part int, bin string, idx string, doc string, width int, n_docs long, n_ids long"
 
-
-def _folded(text: bytes) -> bytes:
-    """The text with A-Z lower-cased, for more words in common, unless it has combining marks
-    (they may compose with a small letter and not with the capital one)."""
-    return text if b"\xcc" in text or b"\xcd" in text else text.lower()
+# The normalizer and the pre-tokenizer for which words of plain letters are cut here.
+PLAIN_NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+PLAIN_SPLIT = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+#: Small letters of Latin-1 and Latin Extended-A that no normalization changes.
+_LETTERS = [c for c in map(chr, range(0xDF, 0x180)) if unicodedata.category(c) == "Ll" and c.lower() == c and unicodedata.normalize("NFC", c) == c]
+_SPACES = b"\t\n\x0b\x0c\r "
+# kinds of bytes: white space, small letters, digits, ASCII signs but the apostrophe, all else
+_SPACE, _LETTER, _DIGIT, _SIGN, _OTHER = range(5)
+
+
+def _kinds() -> tuple[np.ndarray, np.ndarray]:
+    """The kind of each byte that is a character, and of each two-byte one from C3 80 to C5 BF."""
+    one, two = np.full(256, _OTHER, np.uint8), np.full((3, 64), _OTHER, np.uint8)
+    one[0x21:0x7F] = _SIGN
+    one[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ'")] = _OTHER
+    one[0x61:0x7B], one[0x30:0x3A], one[list(_SPACES)] = _LETTER, _DIGIT, _SPACE
+    for c in _LETTERS:
+        lead, rest = c.encode()
+        two[lead - 0xC3, rest - 0x80] = _LETTER
+    return one, two
+
+
+_ONE, _TWO = _kinds()
+_ONE_TABLE, _FOLD_TABLE = _ONE.tobytes(), bytes(range(256)).lower()
+_PLAIN = re.compile(f"[a-z{''.join(_LETTERS)}]+|[0-9]|[!-&(-/:-@[-`{{-~]+")
+
+
+def _mapped(data: np.ndarray, table: bytes) -> np.ndarray:
+    return np.frombuffer(bytearray(data.tobytes().translate(table)), np.uint8)
+
+
+def _folded(raw: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z and the capitals of Latin-1 lower-cased."""
+    out = _mapped(raw, _FOLD_TABLE)
+    after = np.flatnonzero(raw[:-1] == 0xC3) + 1
+    after = after[(raw[after] >= 0x80) & (raw[after] <= 0x9E) & (raw[after] != 0x97)]
+    out[after] += 32
+    return out
+
+
+def _starts(counts: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(1, np.int64), np.cumsum(counts)])
+
+
+def _gather(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The runs ``flat[start : start + count]`` one after another."""
+    ends = np.cumsum(counts)
+    return flat[np.repeat(starts - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+class WordCache:
+    """Ids of the words seen last: the words as one Arrow array, their ids as one flat array."""
+
+    def __init__(self, kind: str):
+        self.words = pa.array([], pa.large_binary())
+        self.flat, self.starts, self.counts = np.zeros(0, kind), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.used, self.clock = np.zeros(0, np.int64), 0
+
+    def find(self, words: pa.Array) -> np.ndarray:
+        """The place of each word, -1 if it is not here."""
+        self.clock += 1
+        found = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.used[found[found >= 0]] = self.clock
+        return found
+
+    def add(self, words: pa.Array, flat: np.ndarray, counts: np.ndarray) -> None:
+        """Keep these words too, after making room for them."""
+        if len(self.words) + len(words) > CACHE_WORDS and len(self.words):
+            keep = np.sort(np.argsort(-self.used, kind="stable")[: max(0, min(CACHE_WORDS // 2, CACHE_WORDS - len(words)))])
+            self.words = self.words.take(pa.array(keep))
+            self.flat, self.counts, self.used = _gather(self.flat, self.starts[keep], self.counts[keep]), self.counts[keep], self.used[keep]
+        self.words = pa.concat_arrays([self.words, words])
+        self.flat, self.counts = np.concatenate([self.flat, flat]), np.concatenate([self.counts, counts])
+        self.used = np.concatenate([self.used, np.full(len(words), self.clock)])
+        self.starts = _starts(self.counts)[:-1]
 
 
 class WordEncoder:
-    """Encodes texts with a tokenizer whose pre-tokens never cross white space, word by word
-    through a bounded cache. The tokenizer itself encodes every word."""
+    """Encodes texts with a tokenizer whose pre-tokens never cross white space: a block's bytes are
+    cut into words, made distinct and looked up as arrays, and only what the bounded cache does not
+    hold is encoded, by the tokenizer itself.
+
+    For a tokenizer with the normalizer and the pre-tokenizer named above, words of plain letters,
+    digits and ASCII signs without an apostrophe are cut into its pre-tokens, and its model alone
+    encodes those."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on every core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        contents = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        contents = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = [c.lower() for c in contents if c]
         self.spaced = any(c.split() != [c] for c in contents if c)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.cache: dict[bytes, bytes] = {}
-        self.folds = self._ids([b"A", b"a"])[0] == self._ids([b"a"])[0]  # a tokenizer of lower-cased text
-
-    def _ids(self, words: list[bytes]) -> list[bytes]:
-        out = []
-        for at in range(0, len(words), 10_000):
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in words[at : at + 10_000]], add_special_tokens=False)
-            out += [np.array(x.ids, f"<u{self.width}").tobytes() for x in found]
-        return out
-
-    def _words(self, text: bytes) -> list[bytes]:
-        """The words of a text. The strings of added tokens have ids of their own and stay as
-        they are: a text with one, in any case, is not folded, and no text is split if white
-        space belongs to some."""
-        if self.spaced:
-            return [text]
-        if not self.folds:
-            return text.split()
-        folded = _folded(text)
-        low = folded if folded is not text else text.lower()
-        return (text if any(c in low for c in self.added) else folded).split()
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned integers."""
-        split = [self._words(t) for t in texts]
-        get = self.cache.get
-        found = [list(map(get, words)) for words in split]
-        missing = list({w for words, ids in zip(split, found, strict=True) if None in ids for w, i in zip(words, ids, strict=True) if i is None})
-        if missing:
-            new = dict(zip(missing, self._ids(missing), strict=True))
-            for words, ids in zip(split, found, strict=True):
-                if None in ids:
-                    ids[:] = [new[w] if i is None else i for w, i in zip(words, ids, strict=True)]
-            if len(self.cache) + len(new) > CACHE_WORDS:
-                self.cache.clear()
-            self.cache.update((w, i) for w, i in new.items() if len(w) <= CACHE_WORD_BYTES)
-        return [b"".join(ids) for ids in found]
+        self.kind = f"<u{self.width}"
+        self.cache = WordCache(self.kind)
+        self.folds = self.tokenizer.encode("A", add_special_tokens=False).ids == self.tokenizer.encode("a", add_special_tokens=False).ids
+        form = json.loads(self.tokenizer.to_str())
+        self.model = None
+        if form["normalizer"] == PLAIN_NORMALIZER and form["pre_tokenizer"] == PLAIN_SPLIT:
+            self.model = Tokenizer.from_str(self.tokenizer.to_str())
+            self.model.normalizer = None
+            self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+
+    def _by_model(self, pieces: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """The ids of pre-tokens by the tokenizer's model, and how many each has."""
+        flat, counts = [], []
+        for at in range(0, len(pieces), 1000):
+            mine = pieces[at : at + 1000]
+            found = self.model.encode(" ".join(mine), add_special_tokens=False)
+            flat.append(np.array(found.ids, self.kind))
+            counts.append(np.bincount(found.word_ids, minlength=len(mine)))
+        return flat, counts
+
+    def _ids(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces, flat, and how many each has."""
+        texts = [p.strip(_SPACES).decode() if not self.spaced else p.decode() for p in pieces]
+        of = dict.fromkeys(texts, 0)
+        plain = [t for t in of if t and self.model is not None and _PLAIN.fullmatch(t)]
+        flat, counts = self._by_model(plain)
+        seen = set(plain)
+        rest = [t for t in of if t and t not in seen]
+        for at in range(0, len(rest), ENCODE_WORDS):
+            found = [x.ids for x in self.tokenizer.encode_batch_fast(rest[at : at + ENCODE_WORDS], add_special_tokens=False)]
+            flat.append(np.fromiter(itertools.chain.from_iterable(found), self.kind))
+            counts.append(np.fromiter(map(len, found), np.int64, len(found)))
+        of.update(zip([*plain, *rest], itertools.count(1), strict=False))  # place 0: no ids
+        flat, counts = np.concatenate([np.zeros(0, self.kind), *flat]), np.concatenate([np.zeros(1, np.int64), *counts]).astype(np.int64)
+        place = np.fromiter((of[t] for t in texts), np.int64, len(texts))
+        return _gather(flat, _starts(counts)[place], counts[place]), counts[place]
+
+    def _cuts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The (folded) bytes of texts, where each piece starts, and the text of each piece.
+
+        A piece is a word with the white space after it, or a pre-token of a plain one. The strings
+        of added tokens have ids of their own: words of a text with one, in any case, are neither
+        folded nor cut, and no text is split if white space belongs to some."""
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        first = np.unique(offsets[:-1][np.diff(offsets) > 0])
+        if self.spaced or not len(raw):
+            return raw, first, np.searchsorted(offsets, first, "right") - 1
+        own = pa.array(np.zeros(len(texts), bool))
+        for c in self.added:
+            own = pc.or_(own, pc.match_substring(texts, c, ignore_case=True))
+        own = own.to_numpy(zero_copy_only=False)
+        data = raw
+        if self.folds:
+            data = _folded(raw)
+            # combining marks may compose with a small letter and not with the capital one
+            marked = pc.match_substring_regex(texts, "[\u0300-\u036f]").to_numpy(zero_copy_only=False)
+            for k in np.flatnonzero(own | marked):
+                data[offsets[k] : offsets[k + 1]] = raw[offsets[k] : offsets[k + 1]]
+        kind = _mapped(data, _ONE_TABLE)
+        lead = np.flatnonzero((data[:-1] >= 0xC3) & (data[:-1] <= 0xC5))
+        kind[lead] = kind[lead + 1] = _TWO[data[lead] - 0xC3, data[lead + 1] & 0x3F]
+        for k in np.flatnonzero(own):
+            mine = kind[offsets[k] : offsets[k + 1]]
+            mine[mine != _SPACE] = _OTHER
+        # runs of one kind, digits apart, that no text's start lies within
+        begins = kind == _DIGIT
+        begins[1:] |= kind[1:] != kind[:-1]
+        begins[first] = True
+        runs = np.flatnonzero(begins)
+        of = kind[runs]
+        opens = np.zeros(len(runs), bool)
+        opens[np.searchsorted(runs, first)] = True
+        solid = of != _SPACE
+        word = opens.copy()
+        word[1:] |= solid[1:] & ~solid[:-1]
+        number = np.cumsum(word)
+        whole = np.zeros(number[-1] + 1, bool)
+        whole[number[of == _OTHER] if self.model is not None else number] = True
+        starts = runs[word | (solid & ~whole[number])]
+        return data, starts, np.searchsorted(offsets, starts, "right") - 1
+
+    def block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a block of texts (large strings without nulls), flat, and how many each has."""
+        data, at, text = self._cuts(texts)
+        offsets = np.append(at, len(data))
+        places = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        pieces, size = places.dictionary, pc.binary_length(places.dictionary).to_numpy()
+        found = self.cache.find(pieces)
+        starts, counts = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        known = found >= 0
+        starts[known], counts[known] = self.cache.starts[found[known]], self.cache.counts[found[known]]
+        missing = np.flatnonzero(~known)
+        flat, n = self._ids(pieces.take(pa.array(missing)).to_pylist())
+        starts[missing], counts[missing] = len(self.cache.flat) + _starts(n)[:-1], n
+        place = places.indices.to_numpy()
+        out = _gather(np.concatenate([self.cache.flat, flat]), starts[place], counts[place])
+        short = np.flatnonzero(size[missing] <= CACHE_WORD_BYTES)[:CACHE_WORDS]
+        self.cache.add(pieces.take(pa.array(missing[short])), _gather(flat, _starts(n)[short], n[short]), n[short])
+        return out, np.bincount(text, counts[place], len(texts)).astype(np.int64)
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str) -> WordEncoder:
+def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+def _cut(text: str) -> list[str]:
+    """A very long text in runs of whole words."""
+    out, at = [], 0
+    while len(text) - at > BLOCK_BYTES:
+        space = _BREAK.search(text, at + BLOCK_BYTES)
+        end = space.start() if space else len(text)
+        out.append(text[at:end])
+        at = end
+    return [*out, text[at:]]
+
+
+_BREAK = re.compile("[\t-\r ]")
+
+
+def encoded(it: Iterator[pa.RecordBatch], tokenizer: str, end_id: int | None = None) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """The batches in blocks of about ``BLOCK_BYTES`` of text (column 1, null: empty), each with
+    the ids of its rows, flat, and how many each row has; ``end_id`` is appended to every row."""
+    encoder = word_encoder(tokenizer)
+
+    def block(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
+        texts = pc.fill_null(batch.column(1).cast(pa.large_string()), "")
+        if batch.num_rows == 1 and texts.nbytes > BLOCK_BYTES and not encoder.spaced:
+            runs = [encoder.block(pa.array([x], pa.large_string()))[0] for x in _cut(texts[0].as_py())]
+            flat, counts = np.concatenate(runs), np.array([sum(map(len, runs))])
+        else:
+            flat, counts = encoder.block(texts)
+        if end_id is not None:
+            ends, own = _starts(counts + 1)[1:] - 1, np.zeros(len(flat) + len(counts), encoder.kind)
+            inner = np.ones(len(own), bool)
+            inner[ends] = False
+            own[inner], own[ends] = flat, end_id
+            flat, counts = own, counts + 1
+        return batch, flat, counts
+
+    for batch in it:
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = size[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(size, before + BLOCK_BYTES, "right")))
+            yield block(batch.slice(at, to - at))
+            at = to
+        pa.default_memory_pool().release_unused()
+
+
 def _store(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if ":" in path else (pafs.LocalFileSystem(), path)
 
@@ -122,8 +323,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = Non
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, part = _encoder(tokenizer), TaskContext.get().partitionId()
-        end = b"" if end_id is None else np.array([end_id], f"<u{encoder.width}").tobytes()
+        encoder, part = word_encoder(tokenizer), TaskContext.get().partitionId()
         fs, root = _store(folder)
         fs.create_dir(f"{root}/data", recursive=True)
         names = [f"data/{part:06d}-{uuid.uuid4().hex}.{kind}" for kind in ("bin", "idx", "doc")]
@@ -131,27 +331,12 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = Non
         streams = [fs.open_output_stream(f"{root}/{name}") for name in names]
         streams[1].write(np.zeros(1, "<i8").tobytes())
 
-        def flush(ids: list[int | None], texts: list[bytes]) -> None:
-            nonlocal total, n_docs
-            parts = encoder.encode(texts)
-            lengths = np.array([(len(p) + len(end)) // encoder.width for p in parts], "<i8")
-            streams[0].write(b"".join(x for p in parts for x in (p, end)))
+        for batch, ids, lengths in encoded(it, tokenizer, end_id):
+            streams[0].write(ids.tobytes())
             streams[1].write((total + np.cumsum(lengths)).astype("<i8").tobytes())
-            streams[2].write(np.array([NULL_ID if i is None else i for i in ids], "<i8").tobytes())
+            streams[2].write(pc.fill_null(batch.column(0), NULL_ID).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
             total += int(lengths.sum())
-            n_docs += len(ids)
-
-        for batch in it:
-            ids, texts, size = [], [], 0
-            for i, x in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
-                ids.append(i)
-                texts.append(x.as_py() or b"")
-                size += len(texts[-1])
-                if size >= BLOCK_BYTES:
-                    flush(ids, texts)
-                    ids, texts, size = [], [], 0
-            if ids:
-                flush(ids, texts)
+            n_docs += batch.num_rows
         for stream in streams:
             stream.close()
         if n_docs:

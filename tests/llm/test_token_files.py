@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from brute import AWKWARD, documents
 from hypothesis import given, settings
@@ -15,24 +16,48 @@ from meterbook.llm import token_files
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
-def plain():
-    tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
-
-
-TOKENIZER = plain()
+TOKENIZER = Tokenizer.from_file(PATH)
 
 
 def ids_of(text):
     return TOKENIZER.encode(text or "", add_special_tokens=False).ids
 
 
+def encoded(texts, end=None):
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    out = []
+    for _, ids, counts in token_files.encoded(iter([batch]), PATH, end):
+        out += [x.tolist() for x in np.split(ids, np.cumsum(counts))[:-1]]
+    return out
+
+
+MIXED = st.lists(st.sampled_from([*"aeÉéß ŉſİ1٣'.,%<|>\t\n\x85\x1c\u00a0\u0301Σσ", "'s", "'LL", "<|endoftext|>", "<|StartOfText|>", "日本"]), max_size=25).map("".join)
+
+
 @settings(max_examples=300, deadline=None)
-@given(st.text(max_size=60))
-def test_word_by_word_equals_whole_text(text):
-    encoder = token_files._encoder(PATH)
-    assert np.frombuffer(encoder.encode([text.encode()])[0], "<u2").tolist() == ids_of(text)
+@given(st.lists(st.one_of(st.none(), st.text(max_size=40), MIXED), max_size=6))
+def test_blocks_equal_the_tokenizer_on_whole_texts(texts):
+    assert encoded(texts, 2) == [[*ids_of(t), 2] for t in texts]
+
+
+def test_small_cache_small_blocks_and_long_texts(monkeypatch):
+    monkeypatch.setattr(token_files, "CACHE_WORDS", 7)
+    monkeypatch.setattr(token_files, "BLOCK_BYTES", 40)
+    texts = ["one two three four " * 9, None, "", "x" * 100, "five six seven, eight: nine " * 4, "one", " one\n"] * 2
+    assert encoded(texts) == [ids_of(t) for t in texts]
+
+
+def test_other_tokenizers_take_whole_words(monkeypatch, tmp_path):
+    from tokenizers import normalizers
+
+    other = Tokenizer.from_file(PATH)
+    other.normalizer = normalizers.NFC()
+    other.save(str(tmp_path / "t.json"))
+    encoder = token_files.WordEncoder(str(tmp_path / "t.json"))
+    assert encoder.model is None and not encoder.folds
+    texts = ["One one, 12 É<|endoftext|>", "", "two"]
+    ids, counts = encoder.block(pa.array(texts, pa.large_string()))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts))[:-1]] == [other.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def want(ids, texts, end):
@@ -103,8 +128,7 @@ def test_strings_of_added_tokens_equal_the_call_of_the_contract(spark):
     tokenizer = Tokenizer.from_file(PATH)
     want = [tokenizer.encode(t, add_special_tokens=False).ids for t in SPECIAL]
     assert want[0] == [3306, 49407, 1002, 23435, 49406, 2411]
-    encoder = token_files._encoder(PATH)
-    assert [np.frombuffer(x, "<u2").tolist() for x in encoder.encode([t.encode() for t in SPECIAL])] == want
+    assert encoded(SPECIAL) == want
     rows = {r.doc_id: r for r in token_files.digests(documents(spark, SPECIAL), PATH, 2).collect()}
     assert [rows[k].n_tokens for k in range(len(SPECIAL))] == [len(x) + 1 for x in want]
     assert [rows[k].ids_crc32 for k in range(len(SPECIAL))] == [zlib.crc32(np.array([*x, 2], "<u4").tobytes()) for x in want]
@@ -116,4 +140,5 @@ def test_added_tokens_with_white_space_or_capitals(tmp_path):
     tokenizer.save(str(tmp_path / "t.json"))
     encoder = token_files.WordEncoder(str(tmp_path / "t.json"))
     texts = ["some two words here", "a Big one", "a big one", "two  words BIG"]
-    assert [np.frombuffer(x, f"<u{encoder.width}").tolist() for x in encoder.encode([t.encode() for t in texts])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    ids, counts = encoder.block(pa.array(texts, pa.large_string()))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts))[:-1]] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
