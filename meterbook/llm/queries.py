@@ -5,10 +5,11 @@ Each ``opN_<name>`` reads its whole table, calls its operator and shapes the col
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import permutations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meterbook.llm import bpe, decontam, langid, licenses, quality, simhash, suffix_dedup, token_files, url_filter, warc
+from meterbook.llm import bpe, decontam, filter_audit, langid, licenses, packing, quality, simhash, suffix_dedup, token_files, url_filter, vector_codes, warc
 from meterbook.llm.common import table
 
 
@@ -56,6 +57,20 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.digests(table(spark, sf_dir, "pages"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.digests(table(spark, sf_dir, "embeddings"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_licenses": op2_licenses,
@@ -67,6 +82,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_language": op9_language,
     "op10_url_filter": op10_url_filter,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_packing": op13_packing,
 }
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -140,9 +158,70 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'al
 FROM v
 """
 
+_STEPS = ", ".join(
+    f"('{''.join(order)}', {k + 1}, {1 << 'ABCDE'.index(name)}, {sum(1 << 'ABCDE'.index(x) for x in order[:k])})" for order in permutations("ABCDE") for k, name in enumerate(order)
+)
+
+_OP11 = f"""
+WITH w AS (SELECT coalesce(doc_id, 9223372036854775807) AS id, doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    CASE WHEN len(ws) < 100 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(ws)) < 80 * len(ws) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN id > min(id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS m
+  FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+g AS (SELECT part, m, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, m),
+s AS (SELECT * FROM (VALUES {_STEPS}) AS v(filter_order, step, bit, before)),
+c AS (
+  SELECT part, filter_order, step, bit,
+    sum(CASE WHEN m & (before | bit) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN m & bit <> 0 AND m & before = 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN m & bit <> 0 AND m & before <> 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN m = bit THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN m & bit <> 0 AND m & before = 0 THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN m & bit <> 0 AND m & before = 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM g, s GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM c
+"""
+
+
+def _rounds(count: int) -> str:
+    """The rounds of the codebooks: a{k} has each part's nearest entry as distance * 16 + entry."""
+    out = []
+    for k in range(count + 1):
+        out.append(
+            f"a{k} AS MATERIALIZED (SELECT r, p.part AS part, min(CAST(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) * 16 + entry) AS m"
+            f" FROM p JOIN c{k} ON p.part = c{k}.part GROUP BY r, p.part)"
+        )
+        if k < count:
+            out.append(
+                f"s{k} AS MATERIALIZED (SELECT part, entry, j, CAST((s - ((s % n + n) % n)) // n AS BIGINT) AS v FROM (SELECT part, entry, j, sum(x) AS s, count(*) AS n FROM"
+                f" (SELECT p.part AS part, m % 16 AS entry, unnest(x) AS x, unnest(range(len(x))) AS j FROM a{k} JOIN p ON a{k}.r = p.r AND a{k}.part = p.part) GROUP BY part, entry, j)),"
+                f" c{k + 1} AS MATERIALIZED (SELECT c{k}.part AS part, c{k}.entry AS entry, coalesce(n.c, c{k}.c) AS c FROM c{k} LEFT JOIN"
+                f" (SELECT part, entry, list(v ORDER BY j) AS c FROM s{k} GROUP BY part, entry) AS n ON c{k}.part = n.part AND c{k}.entry = n.entry)"
+            )
+    return ",\n".join(out)
+
+
+_OP12 = f"""
+WITH n AS MATERIALIZED (
+  SELECT vec_id, label, v, row_number() OVER (ORDER BY vec_id NULLS LAST, v) AS r
+  FROM (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)),
+p AS MATERIALIZED (SELECT r, part, list_slice(v, part * (len(v) // 8) + 1, (part + 1) * (len(v) // 8)) AS x FROM n, range(8) AS t(part)),
+c0 AS MATERIALIZED (SELECT part, r - 1 AS entry, x AS c FROM p WHERE r <= 16),
+{_rounds(6)},
+h AS (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY part, entry, j)) AS codebooks_sha256 FROM (SELECT part, entry, unnest(c) AS v, unnest(range(len(c))) AS j FROM c6)),
+e AS (SELECT r, string_agg(format('{{:02x}}', m % 16), '' ORDER BY part) AS code, CAST(sum(m // 16) AS BIGINT) AS error FROM a6 GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM n JOIN e ON n.r = e.r, h
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op5_decontamination": _OP5,
     "op7_warc": _OP7,
     "op8_suffix_dedup": _OP8,
     "op10_url_filter": _OP10,
+    "op11_filter_audit": _OP11,
+    "op12_vector_codes": _OP12,
 }

@@ -1,0 +1,97 @@
+from collections import Counter
+from itertools import permutations
+
+import pytest
+from brute import AWKWARD
+from pyspark.sql import functions as F
+
+from meterbook.llm import filter_audit
+
+SCHEMA = "doc_id long, text string, lang string, Part string, ROW_ID long, done int, failed_id string"
+LABELS = "doc_id long, quality int, toxic int, Good string, part int"
+
+
+def words_of(text):
+    return [w for w in "".join(" " if c in " \t\n\x0b\x0c\r" else c for c in text).split(" ") if w]
+
+
+def fails(docs):
+    last = 1 << 63
+    first = {}
+    for i, t, *_ in docs:
+        first[t or ""] = min(first.get(t or "", last), last if i is None else i)
+    out = []
+    for i, t, *_ in docs:
+        t = t or ""
+        ws = words_of(t)
+        bad = ""
+        bad += "A" * (len(ws) < 100)
+        bad += "B" * (100 * len(set(ws)) < 80 * len(ws))
+        bad += "C" * (100 * sum("A" <= c <= "Z" for c in t) > 10 * len(t))
+        bad += "D" * any(c in "#$%&*|" for c in t)
+        bad += "E" * ((last if i is None else i) > first[t])
+        out.append(bad)
+    return out
+
+
+def brute(docs, labels):
+    good = {i for i, q, t, *_ in labels if q == 1 and i is not None}
+    toxic = {i for i, q, t, *_ in labels if t == 1 and i is not None}
+    bad, want, shapley = fails(docs), {}, Counter()
+    parts = {d[2] or "" for d in docs}
+    for p in parts:
+        rows = [(i, b) for (i, _, lang, *_), b in zip(docs, bad, strict=True) if (lang or "") == p]
+        for order in map("".join, permutations("ABCDE")):
+            left = list(range(len(rows)))
+            for k, f in enumerate(order):
+                gone = [r for r in left if f in rows[r][1]]
+                earlier = [r for r in range(len(rows)) if f in rows[r][1] and r not in left]
+                left = [r for r in left if f not in rows[r][1]]
+                lost = [rows[r][0] for r in gone]
+                shapley[p, f] += len(gone)
+                want[p, order, k + 1] = [len(left), len(gone), len(earlier), sum(b == f for _, b in rows), sum(i in good for i in lost), sum(i in toxic for i in lost)]
+    return {key: (*row, shapley[key[0], key[1][key[2] - 1]]) for key, row in want.items()}
+
+
+def documents(spark, rows):
+    return spark.createDataFrame([(i, t, lang, "x", 1, 2, "y") for i, t, lang in rows], SCHEMA)
+
+
+def made():
+    plain = " ".join(f"word{k}" for k in range(120))
+    texts = [plain, plain, plain + " #", "few words", "few words", "ABC DEF", " ".join(["same"] * 150), plain.upper(), None, "", "$", plain + " B"] + AWKWARD
+    return [(None if k % 11 == 10 else k % 17, t, [None, "en", "de"][k % 3]) for k, t in enumerate(texts * 2)]
+
+
+LABEL_ROWS = [(0, 1, 0, "", 1), (0, 0, 1, "", 1), (3, 1, 1, "", 1), (4, None, 1, "", 1), (5, 1, None, "", 1), (None, 1, 1, "", 1), (7, 0, 0, "", 1), (99, 1, 1, "", 1)]
+
+
+def test_audit_against_brute_force(spark):
+    rows = made()
+    out = filter_audit.audit_documents(documents(spark, rows), spark.createDataFrame(LABEL_ROWS, LABELS)).collect()
+    got = {tuple(r[:3]): tuple(r[3:]) for r in out}
+    assert len(out) == len(got) == 3 * 600
+    assert got == brute(rows, LABEL_ROWS)
+
+
+def test_every_step_adds_up(spark):
+    rows = made()
+    out = filter_audit.audit_documents(documents(spark, rows), spark.createDataFrame(LABEL_ROWS, LABELS))
+    sums = out.groupBy("part", "filter_order").agg(F.sum("removed").alias("gone"), F.min("kept").alias("left")).select("part", (F.col("gone") + F.col("left")).alias("n")).distinct()
+    assert dict(map(tuple, sums.collect())) == Counter(lang or "" for _, _, lang in rows)
+
+
+@pytest.mark.parametrize("rows", [[], [(1, "a lone text", None)]])
+def test_empty_and_single_tables(spark, rows):
+    out = filter_audit.audit_documents(documents(spark, rows), spark.createDataFrame([], LABELS)).collect()
+    assert {tuple(r[:3]): tuple(r[3:]) for r in out} == brute(rows, [])
+
+
+def test_other_filters_and_joins_on_row_ids_only(spark):
+    rows = spark.createDataFrame([(k, "p" if k % 2 else "", k == 1, k == 2) for k in range(8)], "row_id long, part string, good boolean, toxic boolean")
+    failing = {"X": spark.createDataFrame([(1,), (2,), (3,)], "row_id long"), "Y": spark.createDataFrame([(2,), (4,)], "row_id long")}
+    got = {tuple(r[:3]): tuple(r[3:]) for r in filter_audit.audit(rows, failing).collect()}
+    assert got["", "XY", 1] == (3, 1, 0, 0, 0, 1, 1)
+    assert got["", "XY", 2] == (2, 1, 1, 1, 0, 0, 3)
+    assert got["p", "YX", 2] == (2, 2, 0, 2, 1, 0, 4)
+    assert len(got) == 2 * 2 * 2
