@@ -179,7 +179,7 @@ def q_invoice_batch_subtotals(spark, sf_dir):
 
 def q_invoice_csv_rows(spark, sf_dir):
     rows = invoice.invoice_export(_sums(spark, sf_dir), PARAMS, order_keys=True)
-    return exports.invoice_csv_rows(rows, position="Position")
+    return exports.invoice_csv_rows(rows, position="Position").withColumn("Position", F.col("Position").cast("int"))
 
 
 def q_customer_invoice_lines(spark, sf_dir):
