@@ -7,7 +7,8 @@ Every query runs over the whole usage table derived from the driver's tables in
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from meterbook.operators import choices, dashboard, detail, display, invoice, pr
 from meterbook.operators.filters import UsageFilter, invoice_scope
 from meterbook.params import PricingParams
 from meterbook.session import shared_dir
-from meterbook.sources import exports, manifest, warehouse
+from meterbook.sources import exports, manifest, page_index, usage_csv, warehouse
 from meterbook.sources.fixture import billing_view
 
 # The request every query answers: a PHP invoice of USD usage with a 15% margin.
@@ -29,7 +30,9 @@ EQUALS = {"CustomerDomainName": "Machinery.Example.COM", "ChargeType": "NEW"}
 COMBINED = UsageFilter(search="gizmo", equals={"CustomerDomainName": "household.example.com", "ChargeType": "renew"})
 CONTAINS = {"MeterCategory": "eco", "EntitlementDescription": "PLAN 1"}
 COUNT_FILTER = UsageFilter(search="gear", equals={"ChargeType": "New"})
+DEEP_ROWS_PER_FILE = 20_000
 TOP_K = 10
+RECENT_UPLOADS = 25
 INVOICE_LIST_LIMIT = 1000  # what the dashboard asks for
 FIRST_OPTIONS = 50
 REQUEST = UsageFilter(search="e%r", equals={"CustomerDomainName": "machinery.example.com", "ChargeType": "new", "InvoiceNumber": ""})
@@ -254,8 +257,59 @@ def q_landed_invoice_lines(spark, sf_dir):
     return invoice.invoice_items(invoice.line_sums(warehouse.read_uploads(spark, f"{base}/warehouse", 7)), PARAMS)
 
 
-def q_manifest_state(spark, sf_dir):
-    """Each order stands for a state change of the upload with its customer's number."""
+@contextmanager
+def _split_bytes(spark: SparkSession, size: str) -> Iterator[None]:
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def q_landed_newlines(spark, sf_dir):
+    """The usage table with quotes, commas and line ends inside its tags, in files of many ranges each."""
+    view = _view(spark, sf_dir).drop("_row_id")
+    tags = F.concat("MeterName", F.lit('\n"'), "Unit", F.lit('",\n\n,'), "ChargeEndDate")
+    base = shared_dir(spark, f"landed-{uuid.uuid4().hex}")
+    exports.write_grid_csv(view.withColumn("Tags", tags), f"{base}/csv")
+    with _split_bytes(spark, "512k"):
+        warehouse.land_upload(spark, f"{base}/csv", f"{base}/warehouse", f"{base}/manifest", 7)
+    return warehouse.read_uploads(spark, f"{base}/warehouse", 7).select(*view.columns)
+
+
+def q_landed_mixed_headers(spark, sf_dir):
+    """Two folders of files in one upload: the second has its columns in reverse order, in capitals,
+    and a column of its own. Headers are found, not given."""
+    view = _view(spark, sf_dir).drop("_row_id")
+    hourly = F.col("Unit") == "1 Hour"
+    base = shared_dir(spark, f"landed-{uuid.uuid4().hex}")
+    exports.write_grid_csv(view.where(hourly), f"{base}/hours")
+    exports.write_grid_csv(view.where(~hourly).select(*[F.col(c).alias(c.upper()) for c in reversed(view.columns)], F.lower("Unit").alias("Note")), f"{base}/units")
+    warehouse.land_upload(spark, [f"{base}/hours", f"{base}/units"], f"{base}/warehouse", f"{base}/manifest", 7)
+    return warehouse.read_uploads(spark, f"{base}/warehouse", 7).select(*view.columns, "Note")
+
+
+def q_deep_page(spark, sf_dir):
+    """The page in the middle of the ordered detail, by the page index."""
+    root = shared_dir(spark, f"pages-{uuid.uuid4().hex}")
+    page_index.build(_view(spark, sf_dir), root, DEEP_ROWS_PER_FILE)
+    middle = 1 + page_index.pages(spark, root, PAGE_SIZE).first().pages // 2  # one row
+    return page_index.page(spark, root, middle, PAGE_SIZE)
+
+
+def q_file_checks(spark, sf_dir):
+    """Each page stands for an uploaded file: its URL is the name, its text the content."""
+    pages = spark.read.parquet(f"{sf_dir.rstrip('/')}/pages.parquet")
+    suffix = F.when(F.col("page_id") % 3 == 0, ".csv").when(F.col("page_id") % 3 == 1, ".CSV").otherwise(".csv.gz")
+    files = pages.select("page_id", F.concat(F.coalesce("url", F.lit("")), suffix).alias("path"),
+                         F.coalesce(F.octet_length("html"), F.lit(0)).cast("long").alias("size"))
+    return files.select("page_id", "size", *usage_csv.file_checks(max_mb=0.001))
+
+
+def _order_states(spark, sf_dir):
+    """The orders as state changes, read back from a manifest that two writers append to."""
     orders = spark.read.parquet(f"{sf_dir.rstrip('/')}/orders.parquet")
     at = (F.col("o_orderdate").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("o_orderkey")))
     status = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "P", "failed").otherwise("processing")
@@ -264,7 +318,22 @@ def q_manifest_state(spark, sf_dir):
     root = shared_dir(spark, f"manifest-{uuid.uuid4().hex}")
     for k in range(2):  # two writers
         manifest.append(root, entries.where(F.col("row_count") % 2 == k))
-    return manifest.latest(manifest.read(spark, root)).select("upload_id", "status", "row_count")
+    return manifest.latest(manifest.read(spark, root))
+
+
+def q_manifest_state(spark, sf_dir):
+    """Each order stands for a state change of the upload with its customer's number."""
+    return _order_states(spark, sf_dir).select("upload_id", "status", "row_count")
+
+
+def q_recent_uploads(spark, sf_dir):
+    """The newest uploads of the manifest as the upload list shows them."""
+    listed = manifest.listing(manifest.recent(_order_states(spark, sf_dir), RECENT_UPLOADS))
+    return listed.select("upload_id", "status", "rows_text", "created_text", "completed_text", "error_text")
+
+
+def q_newest_upload(spark, sf_dir):
+    return manifest.newest_completed(_order_states(spark, sf_dir))
 
 
 def q_money_format(spark, sf_dir):
@@ -325,7 +394,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "landed_detail": q_landed_detail,
     "landed_profile": q_landed_profile,
     "landed_invoice_lines": q_landed_invoice_lines,
+    "landed_newlines": q_landed_newlines,
+    "landed_mixed_headers": q_landed_mixed_headers,
+    "deep_page": q_deep_page,
+    "file_checks": q_file_checks,
     "manifest_state": q_manifest_state,
+    "recent_uploads": q_recent_uploads,
+    "newest_upload": q_newest_upload,
     "money_format": q_money_format,
     "invoice_display": q_invoice_display,
     "dashboard_rollup": q_dashboard_rollup,

@@ -316,6 +316,33 @@ FROM (SELECT *, o_orderdate + to_seconds(o_orderkey) AS moment FROM orders) GROU
 """
 
 
+# Each upload's current state and the time of its first entry.
+UPLOADS = """
+WITH uploads AS (
+  SELECT o_custkey AS upload_id, arg_max(CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'P' THEN 'failed' ELSE 'processing' END, moment) AS status,
+    arg_max(o_orderkey, moment) AS row_count, min(moment) AS created_at
+  FROM (SELECT *, o_orderdate + to_seconds(o_orderkey) AS moment FROM orders) GROUP BY o_custkey)
+"""
+
+
+def _recent_uploads() -> str:
+    return (f"{UPLOADS} SELECT upload_id, status, format('{{:,}}', row_count) AS rows_text, strftime(created_at, '%Y-%m-%d %H:%M') AS created_text, "
+            f"'-' AS completed_text, '' AS error_text FROM uploads ORDER BY created_at DESC, upload_id DESC LIMIT {C.RECENT_UPLOADS}")
+
+
+FILE_CHECKS = """
+SELECT page_id, size, page_id % 3 <> 2 AND size <= 1048.576 AS accepted,
+  CASE WHEN page_id % 3 = 2 THEN 'not a .csv file' WHEN size > 1048.576 THEN 'larger than 0.001 MB' END AS reason
+FROM (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS size FROM pages)
+"""
+
+
+def _deep_page() -> str:
+    first = f"((SELECT COUNT(*) FROM billing) + {C.PAGE_SIZE} - 1) // {C.PAGE_SIZE} // 2 * {C.PAGE_SIZE}"
+    return (f"{WITH_BILLING} SELECT * FROM (SELECT *, row_number() OVER (ORDER BY UsageDate DESC NULLS LAST, _row_id ASC NULLS LAST) AS position FROM billing) "
+            f"WHERE position > {first} AND position <= {first} + {C.PAGE_SIZE}")
+
+
 def _daily_spend() -> str:
     day = lenient_date("COALESCE(UsageDate, ChargeStartDate)")
     return (f"{WITH_BILLING} SELECT d AS \"date\", {to_double(f'COALESCE(SUM(CAST(PricingPreTaxTotal AS DECIMAL(38,12))), {ZERO})')} AS value, "
@@ -421,7 +448,13 @@ def oracle_sql() -> dict[str, str]:
         "landed_detail": f"{WITH_BILLING} SELECT * EXCLUDE (_row_id) FROM billing",
         "landed_profile": _landed_profile(),
         "landed_invoice_lines": f"{invoice_with()} SELECT {LINE_COLS}, tags, {amounts()} FROM priced",
+        "landed_newlines": f"{WITH_BILLING} SELECT * EXCLUDE (_row_id) REPLACE (MeterName || chr(10) || '\"' || Unit || '\",' || chr(10) || chr(10) || ',' || ChargeEndDate AS Tags) FROM billing",
+        "landed_mixed_headers": f"{WITH_BILLING} SELECT * EXCLUDE (_row_id), CASE WHEN Unit <> '1 Hour' THEN lower(Unit) END AS Note FROM billing",
+        "deep_page": _deep_page(),
+        "file_checks": FILE_CHECKS,
         "manifest_state": MANIFEST_STATE,
+        "recent_uploads": _recent_uploads(),
+        "newest_upload": f"{UPLOADS} SELECT arg_max(upload_id, (created_at, upload_id)) AS upload_id FROM uploads WHERE status = 'completed'",
         "money_format": _money_format(),
         "invoice_display": _invoice_display(),
         "dashboard_rollup": _dashboard_rollup(),

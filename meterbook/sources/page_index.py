@@ -23,9 +23,13 @@ ROWS_PER_FILE = 1_000_000
 def build(df: DataFrame, root: str, rows_per_file: int = ROWS_PER_FILE, date_mode: str = "text") -> None:
     """Write the sorted copy of ``df`` and its index under the new folder ``root``. One shuffle."""
     spark = df.sparkSession
-    files = max(1, math.ceil(df.count() / rows_per_file))
-    placed(df, detail_order(df, date_mode=date_mode), files).write.option("compression", "zstd").partitionBy(PART).parquet(f"{root}/rows")
-    starts = part_starts(spark.read.parquet(f"{root}/rows")) if files > 1 or not df.isEmpty() else []
+    files = math.ceil(df.count() / rows_per_file)
+    rows = placed(df, detail_order(df, date_mode=date_mode), max(1, files))
+    if files:
+        rows.write.option("compression", "zstd").partitionBy(PART).parquet(f"{root}/rows")
+    else:  # a partitioned write of no rows leaves no file, and so no schema
+        rows.drop(PART).write.parquet(f"{root}/rows/{PART}=0")
+    starts = part_starts(spark.read.parquet(f"{root}/rows"))
     schema = f"{PART} int, start long, size long"
     spark.createDataFrame(starts, schema).coalesce(1).write.parquet(f"{root}/index")  # written last: a folder without it is not an index
 

@@ -1,0 +1,161 @@
+"""Large CSV files read by many tasks, row positions without one task, and deep pages."""
+
+import random
+from contextlib import contextmanager
+
+import pytest
+from pyspark.sql import functions as F
+
+from meterbook.operators import detail
+from meterbook.operators.positions import numbered
+from meterbook.schema import CORRUPT_RECORD
+from meterbook.sources import page_index, usage_csv
+from meterbook.sources import warehouse as wh
+
+COLUMNS = ["CustomerName", "Tags", "Quantity"]
+
+
+@contextmanager
+def split_size(spark, size):
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _rows(df):
+    return sorted((tuple(r) for r in df.select(*COLUMNS, CORRUPT_RECORD).collect()), key=str)
+
+
+def _random_csv(seed, end):
+    """Records of plain and quoted fields; quotes, commas and line ends inside fields, short, long
+    and empty records."""
+    rng = random.Random(seed)
+
+    def field():
+        kind = rng.random()
+        if kind < 0.4:
+            return rng.choice(["", "a", "xyz", " b ", 'in"side', "é"])
+        inner = "".join(rng.choice(["a", ",", '""', end, "é", " ", end + end]) for _ in range(rng.randint(0, 8)))
+        return f'"{inner}"'
+
+    out = ["CustomerName,Tags,Quantity"]
+    for _ in range(rng.randint(1, 60)):
+        n = rng.choice([3, 3, 3, 3, 2, 4, 0])
+        out.append(",".join(field() for _ in range(n)))
+    return end.join(out) + (end if rng.random() < 0.7 else "")
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_split_files_read_as_the_reader_does(spark, tmp_path, end):
+    for seed in range(6):
+        path = str(tmp_path / f"u{seed}.csv")
+        with open(path, "w", newline="", encoding="utf-8") as f:
+            f.write(_random_csv(seed, end))
+        whole = _rows(usage_csv.read_usage_csv(spark, path))
+        with split_size(spark, "97b"):
+            cut = usage_csv.read_usage_csv(spark, path)
+            assert cut.rdd.getNumPartitions() > 2 or len(whole) < 5
+            assert _rows(cut) == whole, (end, seed)
+
+
+def test_a_quote_that_nothing_closes(spark, tmp_path):
+    path = str(tmp_path / "open.csv")
+    with open(path, "w") as f:
+        f.write('CustomerName,Tags,Quantity\na,b,1\nc,"' + "line\n" * 60)
+    whole = _rows(usage_csv.read_usage_csv(spark, path))
+    with split_size(spark, "50b"):
+        assert _rows(usage_csv.read_usage_csv(spark, path)) == whole
+
+
+def test_one_field_longer_than_many_ranges(spark, tmp_path):
+    path = str(tmp_path / "long.csv")
+    text = "x,\n" * 400
+    with open(path, "w") as f:
+        f.write(f'CustomerName,Tags,Quantity\na,"{text}",1\nb,t,2\n')
+    with split_size(spark, "100b"):
+        rows = _rows(usage_csv.read_usage_csv(spark, path))
+    assert rows == [("a", text, "1", None), ("b", "t", "2", None)]
+
+
+def test_a_large_file_lands_in_many_tasks(spark, tmp_path):
+    path = str(tmp_path / "big.csv")
+    with open(path, "w") as f:
+        f.write("CustomerName,Tags,Quantity\n" + "".join(f'c{k},"one\ntwo, ""{k}""",{k}\n' for k in range(2000)))
+    root = str(tmp_path / "wh")
+    with split_size(spark, "8k"):
+        landing = wh.land_upload(spark, path, root, str(tmp_path / "mf"), 3)
+    assert (landing.row_count, landing.reject_count) == (2000, 0)
+    rows = wh.read_uploads(spark, root, 3)
+    assert {(r.CustomerName, r.Tags) for r in rows.select("CustomerName", "Tags").collect()} == {(f"c{k}", f'one\ntwo, "{k}"') for k in range(2000)}
+    assert rows.select(F.input_file_name()).distinct().count() > 4
+
+
+def test_file_names_with_glob_characters(spark, tmp_path):
+    for name, who in (("usage[1].csv", "a"), ("usage1.csv", "b"), ("{x,y}*.csv", "c")):
+        with open(tmp_path / name, "w") as f:
+            f.write(f"CustomerName,Tags,Quantity\n{who},t,1\n")
+    for name, who in (("usage[1].csv", "a"), ("{x,y}*.csv", "c")):
+        rows = usage_csv.read_usage_csv(spark, str(tmp_path / name)).select("CustomerName").collect()
+        assert [r[0] for r in rows] == [who]
+    landing = wh.land_upload(spark, str(tmp_path / "usage[1].csv"), str(tmp_path / "wh"), str(tmp_path / "mf"), 1)
+    assert landing.row_count == 1
+    many = usage_csv.list_usage_files(spark, str(tmp_path / "usage*.csv"), pattern=True)
+    assert many.count() == 2
+
+
+def test_headers_of_many_files_by_one_job(spark, tmp_path):
+    files = []
+    for k in range(20):
+        names = ["CustomerName", "Tags", "Quantity"] if k % 2 else ["quantity", "Extra,1", "CUSTOMERNAME"]
+        path = tmp_path / f"f{k:02d}.csv"
+        with open(path, "w") as f:
+            f.write("\n" * (k % 3) + ",".join(f'"{n}"' if "," in n else n for n in names) + f"\n{k},x,{k}\n")
+        files.append(str(path))
+    assert usage_csv.read_headers(spark, files)[:2] == [("quantity", "Extra,1", "CUSTOMERNAME"), ("CustomerName", "Tags", "Quantity")]
+    rows = usage_csv.read_usage_csv(spark, files).select("CustomerName", "Quantity").collect()
+    assert sorted(int(r[0]) for r in rows) == list(range(20)) and all(r[0] == r[1] for r in rows)
+
+
+def test_numbers_follow_the_order(spark):
+    rows = spark.range(5000).select(F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.col("id") % 7).alias("g"), F.col("id").alias("k"), (F.col("id") * 7919 % 5000).alias("v"))
+    order = [F.col("g").asc_nulls_last(), F.col("v").desc()]
+    got = numbered(rows, order, "n", partitions=9)
+    assert "SinglePartition" not in got._jdf.queryExecution().toString()
+    expected = sorted(rows.collect(), key=lambda r: (r.g is None, r.g or 0, -r.v))
+    assert [(r.g, r.k) for r in sorted(got.collect(), key=lambda r: r.n)] == [(r.g, r.k) for r in expected]
+    inside = numbered(rows, order, "n", within=["g"], partitions=9).collect()
+    for g in (None, 1, 6):
+        mine = sorted((r for r in inside if r.g == g), key=lambda r: r.n)
+        assert [r.n for r in mine] == list(range(1, len(mine) + 1))
+        assert [r.v for r in mine] == sorted((r.v for r in mine), reverse=True)
+    assert numbered(rows.limit(0), order, "n").count() == 0
+
+
+def test_deep_pages_open_few_files(spark, view001, tmp_path):
+    root = str(tmp_path / "pages")
+    page_index.build(view001, root, rows_per_file=500)
+    assert page_index.index(spark, root).count() > 5
+    total, pages = page_index.pages(spark, root, 90).first()
+    assert total == view001.count() and pages == -(-total // 90)
+    ordered = [r._row_id for r in view001.orderBy(*detail.detail_order(view001)).select("_row_id").collect()]
+    for number in (1, 2, pages // 2, pages - 1, pages):
+        page = page_index.page(spark, root, number, 90)
+        rows = page.collect()
+        assert [r._row_id for r in rows] == ordered[(number - 1) * 90 : number * 90]
+        assert [r.position for r in rows] == list(range((number - 1) * 90 + 1, (number - 1) * 90 + 1 + len(rows)))
+        assert len(page.inputFiles()) <= 2
+        assert set(view001.columns) <= set(page.columns)
+    assert page_index.page(spark, root, pages + 1, 90).count() == 0
+    with pytest.raises(ValueError):
+        page_index.page(spark, root, 0, 90)
+
+
+def test_pages_of_an_empty_table(spark, view001, tmp_path):
+    root = str(tmp_path / "none")
+    page_index.build(view001.limit(0), root)
+    assert page_index.pages(spark, root, 10).first()[:] == (0, 0)
+    assert page_index.page(spark, root, 1, 10).count() == 0
