@@ -7,17 +7,21 @@ with the least out-of-place distance: the sum, over the document's n-grams, of h
 rank differs, or the greatest possible difference where the language's profile lacks the
 n-gram. Ties go to the language that sorts first.
 
-Learning counts n-grams in each task and adds the counts up by (language, n-gram); the
-profiles, at most ``PROFILE`` rows a language, are all that reaches the driver and the tasks.
+Learning counts n-grams in each task and adds the counts up by (language, n-gram). The
+profiles, at most ``PROFILE`` rows a language, are a written table; they reach the driver and
+the tasks in blocks of ``LANGUAGES`` languages. Of any number of blocks the nearest language
+wins: each block is a pass of its own over the rows, written before the next one.
 
-Null texts and texts without letters are ``und`` with score 0, as is everything when no
+Columns of the table whose names differ from the new ones in case only count as the same name
+in :func:`predict` (replaced) and are kept by :func:`identified`. Null texts and texts without letters are ``und`` with score 0, as is everything when no
 training row has a language. Repeated rows count and are judged each time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,14 +30,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from meterbook.llm.common import slices
+from meterbook.llm.common import free_name, slices, written
 
 #: N-grams of a profile.
 PROFILE = 300
 #: Characters counted at once.
 PIECE = 1 << 18
-#: More different labels than this are taken for a mistake in the table; it bounds what is broadcast.
-MAX_LANGUAGES = 2000
+#: Different n-grams, summed over languages, that a task counts before it passes them on.
+HELD = 1 << 21
+#: Languages whose profiles are broadcast at once.
+LANGUAGES = 2000
 UNKNOWN = "und"
 _BLANK = 0x20
 
@@ -78,8 +84,12 @@ def _top(grams: np.ndarray, counts: np.ndarray, profile: int) -> np.ndarray:
     return grams[np.argsort(-counts, kind="stable")[:profile]]
 
 
-def learn(docs: DataFrame, profile: int = PROFILE, text: str = "text", lang: str = "lang") -> list[tuple[str, list[int]]]:
-    """The profile of each language of ``docs``, in order of language."""
+def learned(docs: DataFrame, profile: int = PROFILE, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The profile of each language of ``docs``: lang, place (from 1) and gram, as a written table."""
+
+    def emit(held: dict[str, tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for language, (grams, counts) in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([language] * len(grams), pa.string()), pa.array(grams), pa.array(counts)], names=["lang", "gram", "n"])
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
@@ -100,8 +110,10 @@ def learn(docs: DataFrame, profile: int = PROFILE, text: str = "text", lang: str
                     flush()
                     size = 0
             flush()
-        for language, (grams, counts) in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([language] * len(grams), pa.string()), pa.array(grams), pa.array(counts)], names=["lang", "gram", "n"])
+            if sum(len(grams) for grams, _ in held.values()) > HELD:
+                yield from emit(held)
+                held.clear()
+        yield from emit(held)
 
     rows = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).filter("lang is not null and text is not null")
     counted = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -109,12 +121,20 @@ def learn(docs: DataFrame, profile: int = PROFILE, text: str = "text", lang: str
     lettered = counted.filter(F.col("gram") != (_BLANK << 21 | _BLANK))
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = lettered.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= profile)
-    found: dict[str, list[int]] = {}
-    for row in top.orderBy("lang", "place").limit(MAX_LANGUAGES * profile + 1).collect():
-        found.setdefault(row.lang, []).append(row.gram)
-    if len(found) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    return sorted(found.items())
+    return written(top.select("lang", "place", "gram"), "langid-profiles")
+
+
+def learn(docs: DataFrame, profile: int = PROFILE, text: str = "text", lang: str = "lang") -> Iterator[tuple[str, list[int]]]:
+    """The profile of each language of ``docs``, in order of language; ``LANGUAGES`` are read at once."""
+    top = learned(docs, profile, text, lang)
+    names = top.filter("place = 1").select("lang")
+    more = names
+    while block := [r.lang for r in more.orderBy("lang").limit(LANGUAGES).collect()]:
+        found: dict[str, list[int]] = {name: [] for name in block}
+        for row in top.filter(F.col("lang").between(block[0], block[-1])).orderBy("lang", "place").collect():  # a block of profiles
+            found[row.lang].append(row.gram)
+        yield from found.items()
+        more = names.filter(F.col("lang") > block[-1])
 
 
 class Profiles:
@@ -141,22 +161,38 @@ class Profiles:
 
 
 
+def predict(docs: DataFrame, profiles: Iterable[tuple[str, list[int]]], profile: int = PROFILE, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with the language and the score in columns of these ``names`` (columns so named,
+    in whatever case, are replaced). ``profiles`` come in order of language. No shuffle."""
+    language, score = names
+    kept = [c for c in docs.columns if c.lower() not in (language.lower(), score.lower())]
+    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField(language, T.StringType()), T.StructField(score, T.DoubleType())])
+    profiles = iter(profiles)
+    block = list(islice(profiles, LANGUAGES))
+    out = docs.select(*[F.col(f"`{c}`") for c in kept], F.lit(UNKNOWN).alias(language), F.lit(0.0).alias(score))
+    while True:
+        out = out.mapInArrow(_nearer(docs, block, profile, text, kept, names), schema)
+        if not (block := list(islice(profiles, LANGUAGES))):
+            return out
+        out = written(out, "langid-block")
 
 
-def predict(docs: DataFrame, profiles: list[tuple[str, list[int]]], profile: int = PROFILE, text: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``; columns of these names are replaced. No shuffle."""
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    schema = T.StructType([*(docs.schema[c] for c in kept), *T.StructType.fromDDL("lang_pred string, score double").fields])
-    shared = docs.sparkSession.sparkContext.broadcast(profiles)
+def _nearer(docs: DataFrame, block: list[tuple[str, list[int]]], profile: int, text: str, kept: list[str], names: tuple[str, str]):
+    """Replaces the language of a row found so far where one of ``block`` is nearer."""
+    shared = docs.sparkSession.sparkContext.broadcast(block)  # LANGUAGES profiles at most
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Profiles(shared.value, profile)
         for batch in slices(it):
-            found = [model.predict(x.as_py()) for x in batch.column(text)]
+            found = []
+            before = zip(batch.column(names[0]).to_pylist(), batch.column(names[1]).to_pylist(), strict=True)
+            for x, (language, score) in zip(batch.column(text), before, strict=True):
+                new, near = model.predict(x.as_py())
+                found.append((new, near) if language == UNKNOWN or near > score else (language, score))
             columns = [pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *columns], names=[*kept, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *columns], names=[*kept, *names])
 
-    return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
+    return run
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -172,5 +208,6 @@ def digests(docs: DataFrame) -> DataFrame:
 
 def identified(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose text has a language."""
-    marked = predict(docs, learn(docs.filter(~held_out())))
-    return marked.filter(F.col("lang_pred") != UNKNOWN).select(*[F.col(f"`{c}`") for c in docs.columns])
+    names = free_name(docs, "lang_pred"), free_name(docs, "score")
+    marked = predict(docs, learn(docs.filter(~held_out())), names=names)
+    return marked.filter(F.col(names[0]) != UNKNOWN).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -92,3 +92,30 @@ def test_nothing_to_learn_from(spark):
     assert langid.digests(documents(spark, [])).count() == 0
     rows = langid.digests(documents(spark, [EN, None], [None, 3], [None, None])).collect()
     assert {(r.lang_pred, r.score, r.held_out) for r in rows} == {("und", 0.0, False)} or all(r.lang_pred == "und" for r in rows)
+
+
+def test_more_languages_than_a_block(spark, monkeypatch):
+    texts, langs = corpus(60)
+    docs = documents(spark, [*texts, *AWKWARD], langs=[*[f"{g}-{k % 7}" for k, g in enumerate(langs)], *[None] * len(AWKWARD)])
+    whole = {r.doc_id: (r.lang_pred, r.score) for r in langid.digests(docs).collect()}
+    assert len({name for name, _ in whole.values()}) > 4
+    profiles = list(langid.learn(docs.filter(~langid.held_out())))
+    monkeypatch.setattr(langid, "LANGUAGES", 4)
+    monkeypatch.setattr(langid, "HELD", 100)
+    assert list(langid.learn(docs.filter(~langid.held_out()))) == profiles and len(profiles) > 15
+    assert {r.doc_id: (r.lang_pred, r.score) for r in langid.digests(docs).collect()} == whole
+
+
+def test_five_thousand_labels(spark):
+    names = [f"l{k:04d}" for k in range(5000)]
+    docs = documents(spark, [f"{EN[k % 50 : k % 50 + 12]} {chr(0x4E00 + k) * 3}" for k in range(5000)], langs=names)
+    rows = langid.digests(docs).collect()
+    assert all(r.lang_pred == names[r.doc_id] and r.score == 1.0 for r in rows if not r.held_out)
+
+
+def test_columns_that_differ_in_case_only(spark):
+    texts, langs = corpus(30)
+    docs = documents(spark, [*texts, None], langs=[*langs, None]).withColumnRenamed("source", "Lang_Pred").withColumnRenamed("n_chars", "SCORE")
+    kept = langid.identified(docs)
+    assert kept.columns == docs.columns and kept.count() == 30 and kept.first().Lang_Pred == "src0"
+    assert langid.predict(docs, langid.learn(docs)).columns == ["doc_id", "text", "lang", "lang_pred", "score"]
