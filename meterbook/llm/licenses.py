@@ -16,6 +16,10 @@ The templates: notices, single lines and short licences (``TEMPLATES``), and the
 ``license_texts`` (Apache-2.0, CC0-1.0, GPL-2.0, GPL-3.0, LGPL-2.1, LGPL-3.0, MPL-2.0). The full
 texts of AGPL-3.0 and EPL-2.0 are not among them, their notices are.
 
+Where windows of several templates overlap, the nearest one takes its words (the higher
+coefficient, then the longer window) and the words around it are searched anew, so two templates
+are both found on disjoint windows only.
+
 Null and empty texts and texts of one word have no licence. Of several parts that match a
 template the best counts, then the earliest, then the shortest; templates tie by name.
 Repeated documents are scanned each on its own.
@@ -127,31 +131,57 @@ class Templates:
         common = Counter(p for p in part if p >= 0) & self.bags[name]
         return 2 * common.total() / (len(part) + self.sizes[name])
 
-    def find(self, text: bytes) -> list[tuple[str, float, int, int]]:
-        """(template, coefficient, first line, past the last) of the best window of words for
-        each template that some window matches."""
+    def _read(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The places of the templates' bigrams, which they are, and how many words end each line."""
         lines = [x.split() for x in text.translate(_WORD_BYTES).split(b"\n")]
         flat = [w for x in lines for w in x]
         known = self.known.get
         pairs = np.array([known(p, -1) for p in zip(flat, flat[1:], strict=False)], np.int64)
         at = np.flatnonzero(pairs >= 0)
-        if not len(at):
-            return []
-        pairs = pairs[at]
+        return at, pairs[at], np.cumsum([len(x) for x in lines])
+
+    def find(self, text: bytes) -> list[tuple[str, float, int, int]]:
+        """(template, coefficient, first line, past the last) of the best window of words for
+        each template that some window matches."""
+        at, pairs, ends = self._read(text)
+        return _in_lines(self._windows(at, pairs), ends)
+
+    def nearest(self, text: bytes) -> list[tuple[str, float, int, int]]:
+        """As :meth:`find`, but every word counts for one template only: the best window goes first
+        (by coefficient, then length, place and name), the words before and after it are then
+        searched anew. Of several windows of a template the best is returned."""
+        at, pairs, ends = self._read(text)
+        best: dict[str, tuple[float, int, int]] = {}
+        parts = [(0, len(at))]
+        while parts:
+            a, b = parts.pop()
+            windows = self._windows(at[a:b], pairs[a:b])
+            if not windows:
+                continue
+            name, score, first, last = min(windows, key=lambda x: (-x[1], x[2] - x[3], x[2], x[0]))
+            best[name] = min(best.get(name, (0.0, 0, 0)), (-score, first, last))
+            parts.append((a, a + int(np.searchsorted(at[a:b], first - 1))))
+            parts.append((a + int(np.searchsorted(at[a:b], last + 1)), b))
+        return _in_lines([(name, -score, first, last) for name, (score, first, last) in sorted(best.items())], ends)
+
+    def _windows(self, at: np.ndarray, pairs: np.ndarray) -> list[tuple[str, float, int, int]]:
+        """(template, coefficient, first word, last word) of the best window for each template."""
         distinct, counts = np.unique(pairs, return_counts=True)
         shared = np.minimum(counts[:, None], self.caps[distinct]).sum(axis=0).tolist()
-        ends = np.cumsum([len(x) for x in lines])
         out = []
         for k, name in enumerate(self.bags):
             if shared[k] and shared[k] >= self.low[name]:
                 score, first, last = self._best(at, pairs, k, name)
                 if score >= self.similarity:
-                    rows = np.searchsorted(ends, [first, last], side="right").tolist()
-                    out.append((name, score, rows[0], rows[1] + 1))
+                    out.append((name, score, first, last))
         return out
 
     def _best(self, at: np.ndarray, pairs: np.ndarray, k: int, name: str) -> tuple[float, int, int]:
-        """The best coefficient of a window, its first and its last word."""
+        """The best coefficient of a window, its first and its last word.
+
+        A window that starts d words later than another, and ends where it does, has no more bigrams
+        in common, so its coefficient is at most 1 + d / (template + part) times as high: starts
+        that cannot pass what is found, or the similarity, are stepped over."""
         s, n = self.similarity, self.sizes[name]
         mine = self.caps[pairs, k] > 0
         at, caps = at[mine], self.caps[pairs[mine], k]
@@ -161,19 +191,27 @@ class Templates:
         nth = np.empty(len(codes), np.int64)  # how often a bigram has occurred before
         nth[order] = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         far = np.searchsorted(at, at + self.high[name] - 1, side="right")
+        step = n // 8  # words stepped over at most; windows are looked at so much farther
+        farther = np.searchsorted(at, at + self.high[name] - 1 + step, side="right")
         here = np.arange(len(at))
         # with all of its bigrams in common, no window from here on would reach the coefficient
         most = np.maximum.accumulate((2 * (here + 1) - s * (at + 1))[::-1])[::-1]
         some = np.flatnonzero((far - here >= self.low[name]) & (most - (2 * here - s * at) >= s * n - 1e-6))
-        best, passed, before = (0.0, 0, 0), 0, np.zeros(len(sizes), np.int64)
+        best, passed, before, go_on = (0.0, 0, 0), 0, np.zeros(len(sizes), np.int64), 0.0
         for a in some.tolist():
+            if at[a] < go_on:
+                continue
             before += np.bincount(codes[passed:a], minlength=len(sizes))
-            passed, b = a, int(far[a])
+            passed, b = a, int(farther[a])
             common = np.cumsum(nth[a:b] - before[codes[a:b]] < caps[a:b])
             score = 2 * common / (at[a:b] - at[a] + 1 + n)
-            top = int(np.argmax(score))
+            top = int(np.argmax(score[: far[a] - a]))
             if score[top] > best[0]:
                 best = (float(score[top]), int(at[a]), int(at[a + top]) + 1)
+                if best[0] == 1.0:
+                    break
+            rise = max(best[0], s) / float(score.max()) - 1 - 1e-9
+            go_on = at[a] + min(step, rise * (n + self.low[name]))
         return best
 
     def scan(self, text: bytes) -> list[tuple[str, float, int, int]]:
@@ -216,13 +254,22 @@ class Templates:
                     best[name] = ranked
 
 
+def _in_lines(windows: list[tuple[str, float, int, int]], ends: np.ndarray) -> list[tuple[str, float, int, int]]:
+    out = []
+    for name, score, first, last in windows:
+        rows = np.searchsorted(ends, [first, last], side="right").tolist()
+        out.append((name, score, rows[0], rows[1] + 1))
+    return out
+
+
 _FOUND = T.StructType([T.StructField("license", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("first_line", T.LongType()), T.StructField("end_line", T.LongType())])
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, similarity: float = SIMILARITY, text: str = "text", found: str = "licenses") -> DataFrame:
-    """``docs`` without its text and with ``found``: for each template that matches, its name,
-    the coefficient and the lines of the best part, by name. No shuffle."""
-    kept = [c for c in docs.columns if c not in (text, found)]
+    """``docs`` without its text and with ``found``: for each template that is the nearest to some
+    part, its name, the coefficient and the lines of the best such part, by name. A column named
+    ``found``, in whatever case, is replaced. No shuffle."""
+    kept = [c for c in docs.columns if c.lower() not in (text.lower(), found.lower())]
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(found, T.ArrayType(_FOUND))])
     kind = pa.list_(pa.struct([("license", pa.string()), ("score", pa.float64()), ("first_line", pa.int64()), ("end_line", pa.int64())]))
     chosen = all_templates() if templates is None else templates
@@ -230,7 +277,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, similarity: f
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Templates(chosen, similarity)
         for batch in slices(it):
-            rows = [[dict(zip(_FOUND.names, x, strict=True)) for x in scanner.find(t)] for t in utf8(batch.column(text))]
+            rows = [[dict(zip(_FOUND.names, x, strict=True)) for x in scanner.nearest(t)] for t in utf8(batch.column(text))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(rows, kind)], names=[*kept, found])
 
     return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`")).mapInArrow(run, schema)

@@ -121,3 +121,66 @@ def test_nearest_licence_wins_within_lines_and_among_versions(spark):
     some = ["This work is licensed under the GNU General Public License, version 2.", "Licensed under CC BY-SA 4.0.", "Licensed under the MIT License.", full["BSD-3-Clause"]]
     rows = sorted(licenses.digests(documents(spark, some)).collect(), key=lambda r: r.doc_id)
     assert [r.best for r in rows] == ["GPL-2.0 (line)", "CC-BY-SA-4.0 (line)", "MIT (line)", "BSD-3-Clause"]
+
+
+def test_starts_stepped_over_lose_nothing():
+    rng = random.Random(15)
+    template = " ".join(rng.choice("abcdef") for _ in range(41))
+    scanner = licenses.Templates({"t": template}, 0.6)
+    found = 0
+    for _ in range(40):
+        part = [w if rng.random() > 0.15 else "z" for w in template.split()]
+        noise = [rng.choice("abcdefz") for _ in range(rng.randint(0, 25))]
+        text = " ".join(noise + part + noise[::-1] + part[: rng.randint(0, 41)])
+        got = scanner.find(text.encode())
+        assert got == brute_windows(text, {"t": template}, 0.6), text
+        found += bool(got)
+    assert found > 10
+
+
+def best_windows(words, templates, similarity):
+    """(-coefficient, -length, first word, name, last word) of each template's best window."""
+    for name, other in templates.items():
+        theirs = licenses.words(other.encode())
+        their_bag = Counter(zip(theirs, theirs[1:], strict=False))
+        ranked = []
+        for a in range(len(words)):
+            for b in range(a + 2, len(words) + 1):
+                bag = Counter(zip(words[a:b], words[a + 1 : b], strict=False))
+                score = 2 * (bag & their_bag).total() / (bag.total() + their_bag.total())
+                if score >= similarity:
+                    ranked.append((-score, a, b - 1))
+        if ranked:
+            score, a, b = min(ranked)
+            yield score, a - b, a, name, b
+
+
+def brute_nearest(words, templates, similarity, at=0):
+    found = sorted(best_windows(words, templates, similarity))
+    if not found:
+        return []
+    score, _, a, name, b = found[0]
+    before, after = brute_nearest(words[:a], templates, similarity, at), brute_nearest(words[b + 1 :], templates, similarity, at + b + 1)
+    return [(name, -score, at + a, at + b), *before, *after]
+
+
+def test_nearest_assignment_equals_brute_force():
+    rng = random.Random(16)
+    templates = {"a": "x y z x y", "b": "y z", "c": "z z z y x y z", "d": "x x x x y"}
+    scanner = licenses.Templates(templates, 0.6)
+    for _ in range(150):
+        words = [rng.choice("xyzw") for _ in range(rng.randint(0, 18))]
+        best = {}
+        for name, score, first, last in brute_nearest([w.encode() for w in words], templates, 0.6):
+            best[name] = min(best.get(name, (0.0,)), (-score, first, last))
+        # a word a line: lines are words
+        assert scanner.nearest("\n".join(words).encode()) == [(name, -s, a, b + 1) for name, (s, a, b) in sorted(best.items())], words
+
+
+def test_one_licence_for_a_line_and_for_a_full_text(spark):
+    templates = licenses.all_templates()
+    texts = ["This work is licensed under the GNU General Public License, version 3.", templates["GPL-3.0"], "Licensed under the MIT License.\nprose between them\nLicensed under CC BY-SA 4.0."]
+    docs = documents(spark, texts).withColumnRenamed("source", "Licenses")
+    rows = sorted(licenses.digests(docs).collect(), key=lambda r: r.doc_id)
+    assert [r.licenses for r in rows] == ["GPL-3.0 (line)", "GPL-3.0", "CC-BY-SA-4.0 (line),MIT (line)"]
+    assert licenses.scan(docs).columns == ["doc_id", "lang", "n_chars", "licenses"]
