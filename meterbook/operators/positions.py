@@ -48,7 +48,7 @@ def numbered(df: DataFrame, order: Sequence[Column], name: str, within: Sequence
     rows.write.parquet(path)
     rows = spark.read.schema(rows.schema).parquet(path)
     starts = spark.createDataFrame(part_starts(rows), f"{PART} int, _start long, _size long").drop("_size")
-    rows = rows.join(F.broadcast(starts), PART).withColumn(name, F.col("_start") + F.col(PLACE) + 1).drop(PART, PLACE, "_start")
+    rows = rows.join(starts, PART).withColumn(name, F.col("_start") + F.col(PLACE) + 1).drop(PART, PLACE, "_start")
     if within:
         first = rows.groupBy(*[F.col(c).alias(f"_of_{c}") for c in within]).agg(F.min(name).alias("_first"))
         same = F.lit(True)
