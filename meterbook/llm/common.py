@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +40,26 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def without(df: DataFrame, names: Iterable[str]) -> list[str]:
+    """The columns of ``df`` that have none of these ``names`` in whatever case."""
+    lowered = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in lowered]
+
+
+def set_aside(df: DataFrame, names: Iterable[str]) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with new names for its columns that have one of these ``names`` in whatever case,
+    and every column's name by its old one."""
+    kept, taken = set(without(df, names)), {c.lower() for c in [*df.columns, *names]}
+    new = {}
+    for c in df.columns:
+        name = c
+        while c not in kept and name.lower() in taken:
+            name += "_"
+        new[c] = name
+        taken.add(name.lower())
+    return df.toDF(*new.values()), new
+
+
 def text_bytes(docs: DataFrame, text: str) -> int:
     return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
 

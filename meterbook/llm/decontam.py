@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meterbook.llm.common import utf8, written
+from meterbook.llm.common import set_aside, utf8, without, written
 
 WINDOW = 13
 #: Text bytes of one shard.
@@ -269,8 +269,8 @@ FOUND = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("spa
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` with ``n_words``, the merged ``spans`` of hit words and the ``items`` that occur,
-    as strings in ascending order; columns of these names are replaced."""
-    kept = [c for c in docs.columns if c not in FOUND.names]
+    as strings in ascending order; columns of these names, in whatever case, are replaced."""
+    kept = without(docs, FOUND.names)
     schema = T.StructType([docs.schema[c] for c in kept] + FOUND.fields)
     found_type = pa.schema([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
 
@@ -321,5 +321,7 @@ def digests(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated."""
-    return judged(occurrences(docs, benchmark)).filter(~F.col("contaminated")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` that are not contaminated, with all their columns as they were."""
+    renamed, names = set_aside(docs, [*FOUND.names, "n_hit", "contaminated"])
+    kept = judged(occurrences(renamed, benchmark)).filter(~F.col("contaminated"))
+    return kept.select(*[F.col(f"`{name}`").alias(c) for c, name in names.items()])

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meterbook.llm.common import slices, utf8, written
+from meterbook.llm.common import slices, utf8, without, written
 
 #: Labelled documents that learning looks at, at most.
 SAMPLE_ROWS = 20_000
@@ -82,9 +82,9 @@ def counts(text: bytes) -> tuple[int, ...]:
 
 
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without its text and with the ``COUNTS``; columns of these names are replaced.
-    No shuffle."""
-    kept = [c for c in docs.columns if c not in (text, *COUNTS)]
+    """``docs`` without its text and with the ``COUNTS``; columns of these names, in whatever
+    case, are replaced. No shuffle."""
+    kept = without(docs, [text, *COUNTS])
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(c, T.LongType(), False) for c in COUNTS])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

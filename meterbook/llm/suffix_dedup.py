@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meterbook.llm.common import partitions_for, slices, text_bytes, utf8
+from meterbook.llm.common import free_name, partitions_for, set_aside, slices, text_bytes, utf8, without
 
 #: Bytes of a window.
 DEPTH = 50
@@ -425,22 +425,21 @@ def _hot(docs: DataFrame, text: str, buckets: int, n_bytes: int) -> np.ndarray:
     return np.array(sorted(r.cell for r in counts.filter(F.col("n") > HOT / 2).select("cell").collect()), np.int64)
 
 
+ADDED = ("n_bytes", "removed", "kept")
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", as_text: bool = False) -> DataFrame:
     """``docs`` with ``n_bytes``, ``removed`` (the maximal removed runs, as byte offsets) and
     ``kept`` (the bytes that remain, or as text without characters that lost some of their
-    bytes); columns of these names are replaced.
+    bytes); columns of these names, in whatever case, are replaced.
 
     The documents are shuffled once and that shuffle is read twice; the dictionaries are the
     only other data of the corpus's size."""
     spark = docs.sparkSession
-    given = [c for c in docs.columns if c not in ("n_bytes", "removed", "kept")]
+    given = without(docs, ADDED)
     docs = docs.select(*[F.col(f"`{c}`") for c in given])
-    part = "part"
-    while part in given:
-        part += "_"
+    part = free_name(docs, "part")
     n_bytes = text_bytes(docs, text)
     parts = partitions_for(docs, text, PART_BYTES, n_bytes)
     # by the text too: rows without doc_id, or with one doc_id, don't cover each other and may part
@@ -467,7 +466,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             kept.append(b"".join(data[a:b] for a, b in zip([0, *edges[1::2]], [*edges[::2], len(data)], strict=True)))
         taken = rows.select(given).take(pa.array(order, pa.int64()))
         columns = [pa.array([len(data) for _, data in sorted_docs], pa.int64()), pa.array(spans, _SPANS), pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())]
-        return pa.table([*taken.columns, *columns], names=[*given, "n_bytes", "removed", "kept"])
+        return pa.table([*taken.columns, *columns], names=[*given, *ADDED])
 
     bodies = dealt.groupBy(part).applyInArrow(dictionary, f"bucket int, `{part}` int, n int, body binary")
     answers = bodies.groupBy("bucket").applyInArrow(resolve, f"bucket int, `{part}` int, masks binary")
@@ -477,13 +476,15 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
     """``docs`` with the removed bytes cut out of ``text``, and ``n_chars``, where it is a column,
     set to the new length. A character that lost some of its bytes goes entirely; documents
-    of which nothing is left go too, but empty ones stay."""
-    found = remove_repeats(docs, doc_id, text, as_text=True)
+    of which nothing is left go too, but empty ones stay. All other columns are as they were."""
+    renamed, names = set_aside(docs, ADDED)
+    found = remove_repeats(renamed, names[doc_id], names[text], as_text=True)
     whole = F.size("removed") == 0
-    columns = {text: F.when(whole, F.col(text)).otherwise(F.col("kept"))}
-    if n_chars in docs.columns:
-        columns[n_chars] = F.when(whole, F.col(n_chars)).otherwise(F.length("kept").cast(docs.schema[n_chars].dataType))
-    return found.filter(whole | (F.col("kept") != "")).select(*[columns[c].alias(c) if c in columns else F.col(f"`{c}`") for c in docs.columns])
+    columns = {c: F.col(f"`{name}`") for c, name in names.items()}
+    columns[text] = F.when(whole, columns[text]).otherwise(F.col("kept"))
+    if n_chars in columns:
+        columns[n_chars] = F.when(whole, columns[n_chars]).otherwise(F.length("kept").cast(docs.schema[n_chars].dataType))
+    return found.filter(whole | (F.col("kept") != "")).select(*[column.alias(c) for c, column in columns.items()])
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -29,6 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from meterbook.llm.common import free_name, without
+
 #: Bits set for a URL, nine bits of hash each.
 BITS = 7
 #: Filter bits for each listed URL, as far as the bound allows.
@@ -84,25 +86,26 @@ def bloom_filter(listed: DataFrame, key: str = "canonical") -> np.ndarray:
     return out
 
 
-def _probed(urls: DataFrame, bloom: np.ndarray, maybe: str) -> DataFrame:
-    """``urls`` with a boolean ``maybe``: all bits of its ``canonical_`` are in the filter."""
+def _probed(urls: DataFrame, bloom: np.ndarray, key: str, maybe: str) -> DataFrame:
+    """``urls`` with a boolean ``maybe``: all bits of its column ``key`` are in the filter."""
     shared = urls.sparkSession.sparkContext.broadcast(bloom)
-    block, bits = _hashes(F.col("canonical_"), len(bloom))
+    block, bits = _hashes(F.col(key), len(bloom))
     names = urls.columns
+    block_at, bits_at = free_name(urls, "block_"), free_name(urls, "bits_")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shared.value
         for batch in it:
-            at = batch.column("block_").to_numpy(zero_copy_only=False)
-            hashed = batch.column("bits_").to_numpy(zero_copy_only=False).view(np.uint64)
-            found = batch.column("canonical_").is_valid().to_numpy(zero_copy_only=False).copy()
+            at = batch.column(block_at).to_numpy(zero_copy_only=False)
+            hashed = batch.column(bits_at).to_numpy(zero_copy_only=False).view(np.uint64)
+            found = batch.column(key).is_valid().to_numpy(zero_copy_only=False).copy()
             for b in range(BITS):
                 place = (hashed >> np.uint64(9 * b)) & np.uint64(511)
                 found &= (words[at, place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(found)], names=[*names, maybe])
 
     schema = T.StructType([*urls.schema.fields, T.StructField(maybe, T.BooleanType(), False)])
-    return urls.withColumn("block_", block).withColumn("bits_", bits).mapInArrow(run, schema)
+    return urls.withColumn(block_at, block).withColumn(bits_at, bits).mapInArrow(run, schema)
 
 
 def by_rules(rules: list[tuple[str, str, str]], host_: Column, path_: Column) -> tuple[Column, Column]:
@@ -117,18 +120,18 @@ def by_rules(rules: list[tuple[str, str, str]], host_: Column, path_: Column) ->
 
 
 def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]], url: str = "url", key: str = "canonical") -> DataFrame:
-    """``pages`` with ``host``, ``path``, ``rule`` and ``verdict``; columns of these names are
-    replaced. ``listed`` has the canonical URLs to block in its column ``key``."""
-    new = ("host", "path", "rule", "verdict", "canonical_", "block_", "bits_", "maybe_", "listed_")
-    kept = [c for c in pages.columns if c not in new]
-    keyed = pages.select(*[F.col(f"`{c}`") for c in kept], canonical(F.col(url)).alias("canonical_"))
-    probed = _probed(keyed, bloom_filter(listed, key), "maybe_")
-    exact = listed.select(F.col(key).alias("canonical_")).filter("canonical_ is not null").distinct().withColumn("listed_", F.lit(True))
-    hits = probed.filter("maybe_").join(exact, "canonical_", "left").withColumn("listed_", F.coalesce("listed_", F.lit(False)))
-    both = hits.unionByName(probed.filter("not maybe_").withColumn("listed_", F.lit(False)))
+    """``pages`` with ``host``, ``path``, ``rule`` and ``verdict``; columns of these names, in
+    whatever case, are replaced. ``listed`` has the canonical URLs to block in its column ``key``."""
+    kept = without(pages, ["host", "path", "rule", "verdict"])
+    name, maybe, hit = (free_name(pages, c) for c in ("canonical_", "maybe_", "listed_"))
+    keyed = pages.select(*[F.col(f"`{c}`") for c in kept], canonical(F.col(url)).alias(name))
+    probed = _probed(keyed, bloom_filter(listed, key), name, maybe)
+    exact = listed.select(F.col(key).alias(name)).filter(F.col(name).isNotNull()).distinct().withColumn(hit, F.lit(True))
+    hits = probed.filter(F.col(maybe)).join(exact, name, "left").withColumn(hit, F.coalesce(hit, F.lit(False)))
+    both = hits.unionByName(probed.filter(~F.col(maybe)).withColumn(hit, F.lit(False)))
     placed = both.withColumn("host", host(F.col(url))).withColumn("path", path(F.col(url)))
     rule, verdict = by_rules(rules, F.col("host"), F.col("path"))
-    otherwise = F.when(F.col("listed_"), "block").otherwise("allow")
+    otherwise = F.when(F.col(hit), "block").otherwise("allow")
     return placed.select(*[F.col(f"`{c}`") for c in kept], "host", "path", rule.alias("rule"), F.coalesce(verdict, otherwise).alias("verdict"))
 
 

@@ -136,3 +136,13 @@ def test_each_block_is_sent_before_the_next_is_read(spark, monkeypatch):
     monkeypatch.setattr(context, "broadcast", lambda self, value, f=context.broadcast: (events.append("sent"), f(self, value))[1])
     decontam.occurrences(documents(spark, ["w1 w2"]), items(spark, ITEMS))
     assert events == ["read", "sent"] * 3
+
+
+def test_columns_that_differ_in_case(spark):
+    docs = documents(spark, [PASSAGE, None, "some words of its own"])
+    docs = docs.selectExpr("doc_id", "text", "lang AS N_Words", "source AS Items", "n_chars AS `n_hit`", "lang AS CONTAMINATED")
+    kept = decontam.clean(docs, items(spark, [(1, PASSAGE)]))
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect())) == [(1, None, "en", "src0", None, "en"), (2, "some words of its own", "en", "src0", 21, "en")]
+    found = decontam.judged(decontam.occurrences(docs, items(spark, [(1, PASSAGE)])))
+    assert sorted(found.columns) == ["contaminated", "doc_id", "items", "n_hit", "n_words", "spans", "text"] and found.filter("contaminated").count() == 1

@@ -86,3 +86,11 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert quality.digests(documents(spark, []), none).count() == 0
     assert [r.kept for r in quality.digests(documents(spark, ["one two three four five six seven eight nine ten"]), none).collect()] == [True]
+
+
+def test_columns_that_differ_in_case(spark):
+    docs = documents(spark, ["a few words " * 9, None]).withColumnsRenamed({"lang": "N_WORDS", "source": "Kept", "n_chars": "h"})
+    labels = spark.createDataFrame([(0, 1)], "doc_id long, quality int")
+    found = quality.judge(docs, labels)
+    assert sorted(c for c in found.columns if c.lower() in ("n_words", "kept")) == ["kept", "n_words"] and "h" in found.columns
+    assert sorted((r.doc_id, r.n_words) for r in found.collect()) == [(0, 27), (1, 0)]

@@ -138,3 +138,13 @@ def test_rows_of_one_doc_id_are_dealt_to_many_parts(spark, monkeypatch, tmp_path
         assert max(int(x) for x in f) < 30
     # a null doc_id is the largest: its rows lose what those of doc_id 3 hold
     assert all(bool(r.removed) == (r.doc_id is None) for r in rows)
+
+
+def test_columns_that_differ_in_case(spark):
+    frame = documents(spark, [PASSAGE, PASSAGE, "its own text", None]).selectExpr("doc_id", "text", "lang AS Removed", "source AS KEPT", "n_chars AS n_bytes", "lang AS Part", "n_chars")
+    out = suffix_dedup.without_repeats(frame)
+    assert out.columns == frame.columns
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, frame.filter("doc_id <> 1").collect()))
+    found = suffix_dedup.remove_repeats(frame)
+    assert found.columns == ["doc_id", "text", "Part", "n_chars", "n_bytes", "removed", "kept"]
+    assert {r.doc_id: bytes(r.kept) for r in found.collect()} == {0: PASSAGE.encode(), 1: b"", 2: b"its own text", 3: b""}

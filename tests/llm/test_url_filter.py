@@ -68,3 +68,14 @@ def test_repeated_pages_clashing_columns_and_empty_tables(spark):
     assert rows.columns == ["page_id", "url", "host", "path", "rule", "verdict"]
     assert sorted((r.page_id, r.verdict) for r in rows.collect()) == [(1, "block"), (1, "block"), (2, "allow")]
     assert url_filter.digests(pages.limit(0)).count() == 0
+
+
+def test_columns_that_clash_are_kept_or_replaced(spark):
+    rows = [(1, "http://a.net/x", "c", "b", 5, True, "l", "H", "R"), (2, "http://b.net/x", "c", "b", 5, True, "l", "H", "R")]
+    pages = spark.createDataFrame(rows, PAGES + ", Canonical_ string, block_ string, BITS_ long, maybe_ boolean, listed_ string, Host string, RULE string")
+    found = url_filter.judge(pages, spark.createDataFrame([("a.net/x",)], "canonical string"), [])
+    assert found.columns == ["page_id", "url", "Canonical_", "block_", "BITS_", "maybe_", "listed_", "host", "path", "rule", "verdict"]
+    assert sorted(map(tuple, found.collect())) == [
+        (1, "http://a.net/x", "c", "b", 5, True, "l", "a.net", "/x", None, "block"),
+        (2, "http://b.net/x", "c", "b", 5, True, "l", "b.net", "/x", None, "allow"),
+    ]
