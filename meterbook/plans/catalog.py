@@ -18,7 +18,7 @@ from meterbook.operators import choices, dashboard, detail, display, invoice, pr
 from meterbook.operators.filters import UsageFilter, invoice_scope
 from meterbook.params import PricingParams
 from meterbook.session import shared_dir
-from meterbook.sources import exports, manifest, page_index, usage_csv, warehouse
+from meterbook.sources import exports, manifest, page_index, snapshots, usage_csv, warehouse
 from meterbook.sources.fixture import billing_view
 
 # The request every query answers: a PHP invoice of USD usage with a 15% margin.
@@ -291,6 +291,46 @@ def q_landed_mixed_headers(spark, sf_dir):
     return warehouse.read_uploads(spark, f"{base}/warehouse", 7).select(*view.columns, "Note")
 
 
+def _two_uploads(spark, sf_dir):
+    """The usage table as uploads 1 (hours) and 2 (other units), as versions."""
+    view = _view(spark, sf_dir).drop("_row_id")
+    hourly = F.col("Unit") == "1 Hour"
+    base = shared_dir(spark, f"landed-{uuid.uuid4().hex}")
+    exports.write_grid_csv(view.where(hourly), f"{base}/hours")
+    exports.write_grid_csv(view.where(~hourly).withColumn("Note", F.lower("Unit")), f"{base}/units")
+    roots = f"{base}/warehouse", f"{base}/manifest"
+    snapshots.land(spark, f"{base}/hours", *roots, 1)
+    snapshots.land(spark, f"{base}/units", *roots, 2)
+    return base, roots
+
+
+def q_landed_uploads(spark, sf_dir):
+    """The spend of each upload, read across uploads whose columns differ."""
+    _, roots = _two_uploads(spark, sf_dir)
+    rows = snapshots.read(spark, *roots)
+    return summary.spend_by_upload(rows).join(rows.groupBy("upload_id").agg(F.count("Note").alias("notes")), "upload_id")
+
+
+def q_landed_replacement(spark, sf_dir):
+    """A reader that began before upload 1 was replaced and upload 2 deleted, and one that began after."""
+    base, roots = _two_uploads(spark, sf_dir)
+    before = snapshots.read(spark, *roots)
+    snapshots.land(spark, f"{base}/units", *roots, 1)
+    snapshots.delete(spark, roots[1], 2)
+    after = snapshots.read(spark, *roots)
+    spend = [summary.spend_by_upload(rows).withColumn("reader", F.lit(name)) for name, rows in (("before", before), ("after", after))]
+    return spend[0].unionByName(spend[1])
+
+
+def q_manifest_history(spark, sf_dir):
+    """Every published state of two uploads: landed, replaced by one file more, deleted."""
+    base, roots = _two_uploads(spark, sf_dir)
+    snapshots.land(spark, [f"{base}/hours", f"{base}/units"], *roots, 1)
+    snapshots.delete(spark, roots[1], 2)
+    past = snapshots.history(manifest.read(spark, roots[1]))
+    return past.select("upload_id", "sequence", "status", "row_count", "reject_count", "pricing_pretax_total", "superseded")
+
+
 def q_deep_page(spark, sf_dir):
     """The page in the middle of the ordered detail, by the page index."""
     root = shared_dir(spark, f"pages-{uuid.uuid4().hex}")
@@ -396,6 +436,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "landed_invoice_lines": q_landed_invoice_lines,
     "landed_newlines": q_landed_newlines,
     "landed_mixed_headers": q_landed_mixed_headers,
+    "landed_uploads": q_landed_uploads,
+    "landed_replacement": q_landed_replacement,
+    "manifest_history": q_manifest_history,
     "deep_page": q_deep_page,
     "file_checks": q_file_checks,
     "manifest_state": q_manifest_state,

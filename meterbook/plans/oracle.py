@@ -305,6 +305,35 @@ def _spend_by_upload() -> str:
             f"COUNT(*) AS total_records FROM billing GROUP BY 1")
 
 
+TWO_UPLOADS = f"{WITH_BILLING}, landed AS (SELECT *, CASE WHEN Unit = '1 Hour' THEN 1 ELSE 2 END AS part FROM billing)"
+
+
+def _spend(upload: str, extra: str, where: str = "") -> str:
+    pr, bi = (to_double(f"COALESCE(SUM(CAST({c} AS DECIMAL(38,12))), {ZERO})") for c in ("PricingPreTaxTotal", "BillingPreTaxTotal"))
+    return (f"SELECT CAST({upload} AS BIGINT) AS upload_id, {pr} AS total_pricing, {bi} AS total_billing, COUNT(*) AS total_records, {extra} "
+            f"FROM landed {where} GROUP BY 1")
+
+
+def _landed_uploads() -> str:
+    return f"{TWO_UPLOADS} {_spend('part', 'COUNT(*) FILTER (part = 2 AND Unit IS NOT NULL) AS notes')}"
+
+
+def _landed_replacement() -> str:
+    before, after = _spend("part", "'before' AS reader"), _spend("1", "'after' AS reader", "WHERE part = 2")
+    return f"{TWO_UPLOADS} {before} UNION ALL {after}"
+
+
+def _manifest_history() -> str:
+    total = to_double(f"COALESCE(SUM(CAST(PricingPreTaxTotal AS DECIMAL(38,12))), {ZERO})")
+
+    def state(upload: int, sequence: int, superseded: str, where: str = "") -> str:
+        return (f"SELECT CAST({upload} AS BIGINT) AS upload_id, CAST({sequence} AS BIGINT) AS sequence, 'completed' AS status, COUNT(*) AS row_count, "
+                f"CAST(0 AS BIGINT) AS reject_count, {total} AS pricing_pretax_total, {superseded} AS superseded FROM landed {where}")
+
+    landed = [state(1, 1, "true", "WHERE part = 1"), state(1, 2, "false"), state(2, 1, "true", "WHERE part = 2")]
+    return f"{TWO_UPLOADS} {' UNION ALL '.join(landed)} UNION ALL SELECT 2, 2, 'deleted', NULL, NULL, NULL, false"
+
+
 def _landed_profile() -> str:
     return _ingest_profile().replace("COUNT(*) AS row_count", "COUNT(*) AS row_count, CAST(0 AS BIGINT) AS reject_count")
 
@@ -450,6 +479,9 @@ def oracle_sql() -> dict[str, str]:
         "landed_invoice_lines": f"{invoice_with()} SELECT {LINE_COLS}, tags, {amounts()} FROM priced",
         "landed_newlines": f"{WITH_BILLING} SELECT * EXCLUDE (_row_id) REPLACE (MeterName || chr(10) || '\"' || Unit || '\",' || chr(10) || chr(10) || ',' || ChargeEndDate AS Tags) FROM billing",
         "landed_mixed_headers": f"{WITH_BILLING} SELECT * EXCLUDE (_row_id), CASE WHEN Unit <> '1 Hour' THEN lower(Unit) END AS Note FROM billing",
+        "landed_uploads": _landed_uploads(),
+        "landed_replacement": _landed_replacement(),
+        "manifest_history": _manifest_history(),
         "deep_page": _deep_page(),
         "file_checks": FILE_CHECKS,
         "manifest_state": MANIFEST_STATE,

@@ -16,7 +16,7 @@ def run(code: str) -> str:
 
 def test_entry_imports_without_the_optional_part():
     blocked = "import sys; sys.modules['corpus_pipeline'] = None; sys.modules['meterbook.llm'] = None; "
-    assert run(blocked + LISTED) == "53 53 False"
+    assert run(blocked + LISTED) == "56 56 False"
 
 
 def test_errors_within_the_optional_part_are_not_swallowed():
