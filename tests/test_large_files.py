@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from meterbook.operators import detail
 from meterbook.operators.positions import numbered
 from meterbook.schema import CORRUPT_RECORD
-from meterbook.sources import page_index, usage_csv
+from meterbook.sources import csv_records, page_index, usage_csv
 from meterbook.sources import warehouse as wh
 
 COLUMNS = ["CustomerName", "Tags", "Quantity"]
@@ -159,3 +159,38 @@ def test_pages_of_an_empty_table(spark, view001, tmp_path):
     page_index.build(view001.limit(0), root)
     assert page_index.pages(spark, root, 10).first()[:] == (0, 0)
     assert page_index.page(spark, root, 1, 10).count() == 0
+
+
+def test_small_ranges_are_packed_into_few_tasks(spark, tmp_path):
+    """The number of tasks follows the bytes, not the number of ranges."""
+    path = str(tmp_path / "u.csv")
+    with open(path, "w", encoding="utf-8") as f:
+        f.write("CustomerName,Tags,Quantity\n" + "".join(f'c{k},"a\n""b"",\n",{k}\n' for k in range(4000)))
+    with split_size(spark, "97b"):
+        rows = usage_csv.read_usage_csv(spark, path)
+        assert csv_records.text_lines(spark, [path], 60_000).rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+        assert rows.rdd.getNumPartitions() < 200
+        assert _rows(rows) == sorted(((f"c{k}", 'a\n"b",\n', str(k), None) for k in range(4000)), key=str)
+
+
+def test_files_of_one_line_records_are_read_by_lines(spark, tmp_path):
+    """Large files without line ends in their fields go to Spark's reader by lines, which splits them; others do not."""
+    texts = {
+        "plain": 'CustomerName,Tags,Quantity\n\n"a,""x""",b,1\nshort\né,"",2,long\n in"side,b\\,3',
+        "newline": 'CustomerName,Tags,Quantity\na,"b\nc",1\n',
+        "unclosed": 'CustomerName,Tags,Quantity\na,b,1\na,"b,1\n',
+        "blanks": "CustomerName,Tags,Quantity\n  \na,b,1\n",
+        "crlf": "CustomerName,Tags,Quantity\r\na,b,1\r\n",
+        "return": "CustomerName,Tags,Quantity\na,b\rc,1\n",
+    }
+    for name, text in texts.items():
+        with open(tmp_path / f"{name}.csv", "w", newline="", encoding="utf-8") as f:
+            f.write(text)
+    files = [str(tmp_path / f"{name}.csv") for name in texts]
+    assert csv_records.line_files(spark, files, 400) == {files[0]}
+    whole = _rows(usage_csv.read_usage_csv(spark, files))
+    given = _rows(usage_csv.read_usage_csv(spark, files[0], header=COLUMNS))
+    with split_size(spark, "13b"):
+        assert _rows(usage_csv.read_usage_csv(spark, files)) == whole
+        assert _rows(usage_csv.read_usage_csv(spark, files[0], header=COLUMNS)) == given
+        assert "mapInArrow" not in usage_csv.read_usage_csv(spark, files[0])._jdf.queryExecution().toString()
