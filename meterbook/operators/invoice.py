@@ -12,7 +12,10 @@ tasks before they are listed, and no string state is kept while rows are read.
 
 In a batch, invoices are compared ignoring case like the single-invoice filter. The folded
 keys stay with every intermediate result; an invoice shows the smallest spelling among all
-of its rows.
+of its rows. The line sums of a batch deal the rows out once, by invoice: lines, their tags,
+the spelling and the subtotals then come without another shuffle. All lines of one invoice so
+meet in one task, as a sorted stream that spills; for an upload that is a single invoice ask
+for that invoice, whose lines are spread.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import functools
 import operator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterbook.functions.dates import period_label, stored_or_parsed
@@ -70,27 +73,28 @@ def _scope(df: DataFrame) -> list[str]:
     return [c for c in SCOPE_COLS if c in df.columns]
 
 
-def _measures(base: DataFrame, period_mode: str) -> list[Column]:
-    """Exact (lenient) sums and the first / last usage day of a group of rows."""
+def _measured(base: DataFrame, period_mode: str) -> list[Column]:
+    """Exact (lenient) amounts and the first / last usage day of each row."""
     if period_mode not in ("date", "text"):
         raise ValueError("period_mode is 'date' or 'text'")
     days = [F.coalesce(F.col("UsageDate"), F.col(c)) for c in ("ChargeStartDate", "ChargeEndDate")]
     if period_mode == "date":
         days = [stored_or_parsed(base, c) for c in ("ChargeStartDate", "ChargeEndDate")]
-    return [
-        F.sum(amount(base, "Quantity", strict=False)).alias("_q"),
-        F.sum(amount(base, "PricingPreTaxTotal", strict=False)).alias("_p"),
-        F.sum(amount(base, "BillingPreTaxTotal", strict=False)).alias("_b"),
-        F.min(days[0]).alias("_start"),
-        F.max(days[1]).alias("_end"),
-    ]
+    amounts = [amount(base, c, strict=False) for c in ("Quantity", "PricingPreTaxTotal", "BillingPreTaxTotal")]
+    return [c.alias(n) for c, n in zip([*amounts, *days], _MEASURES)]
+
+
+def _measures(base: DataFrame, period_mode: str) -> list[Column]:
+    """Sums and the first / last usage day of a group of rows."""
+    return [f(c).alias(n) for f, c, n in zip(_MERGED, _measured(base, period_mode), _MEASURES)]
 
 
+_MEASURES = ("_q", "_p", "_b", "_start", "_end")
 _MERGED = [F.sum, F.sum, F.sum, F.min, F.max]
 
 
 def _merged_measures() -> list[Column]:
-    return [f(c).alias(c) for f, c in zip(_MERGED, ("_q", "_p", "_b", "_start", "_end"))]
+    return [f(c).alias(c) for f, c in zip(_MERGED, _MEASURES)]
 
 
 def _exact_scope(batch: bool) -> list[Column]:
@@ -115,7 +119,7 @@ def line_sums(df: DataFrame, flt: UsageFilter | None = None, batch: bool = False
               period_mode: str = "date") -> DataFrame:
     """Per invoice line: exact (lenient) sums of quantity, pricing and billing, the distinct
     non-blank tags, and the first / last usage day; in a ``batch`` also the folded invoice
-    keys and the smallest spelling of each.
+    keys and the invoice's smallest spelling of each.
 
     ``period_mode="date"`` takes the earliest / latest readable usage date (chronological
     order, fixed-width buffers). ``"text"`` compares the date text as strings, like a
@@ -124,13 +128,21 @@ def line_sums(df: DataFrame, flt: UsageFilter | None = None, batch: bool = False
     base = apply_filter(df, flt)
     line_keys = [F.col(src).alias(name) for src, name in LINE_NAMES.items()]
     tag = [blank_to_null("Tags").alias("_tag")] if with_tags else []
-    rows = base.groupBy(*_exact_scope(batch), *line_keys, *tag).agg(*_measures(base, period_mode))
-    if not batch and not with_tags:
-        return rows
+    if not batch:
+        rows = base.groupBy(*line_keys, *tag).agg(*_measures(base, period_mode))
+        if not with_tags:
+            return rows
+        dealt, by = _folded(rows, batch, *LINE_COLS)
+    else:
+        rows = base.select(*_exact_scope(batch), *line_keys, *tag, *_measured(base, period_mode))
+        dealt, invoice = _folded(rows, batch)
+        by = [*invoice, *LINE_COLS]
     tags = F.nullif(F.array_join(F.array_sort(F.collect_set("_tag")), ", "), F.lit("")).alias("tags")
-    dealt, by = _folded(rows, batch, *LINE_COLS)
-    return dealt.groupBy(*by).agg(
+    lines = dealt.groupBy(*by).agg(
         *_smallest_spelling(batch), *_merged_measures(), *([tags] if with_tags else []))
+    if not batch:
+        return lines
+    return lines.withColumns({c: F.min(c).over(Window.partitionBy(*invoice)) for c in SPELLING_COLS.values()})
 
 
 def scope_sums(df: DataFrame, flt: UsageFilter | None = None, batch: bool = False,
@@ -157,13 +169,18 @@ def _shown(parts: DataFrame, sums: DataFrame) -> DataFrame:
     return joined.select(*SCOPE_COLS, *[c for c in parts.columns if c not in keys and c not in SPELLING_COLS.values()])
 
 
+def _spelled(df: DataFrame) -> list[Column]:
+    """The invoice's spelling that the line sums of a batch carry, under the names shown."""
+    return [F.col(c).alias(n) for n, c in SPELLING_COLS.items() if c in df.columns]
+
+
 def _priced(sums: DataFrame, params: PricingParams) -> DataFrame:
     forex, margin, vat = params.for_invoice()
     q = F.coalesce(F.col("_q"), _zero())
     p = F.coalesce(F.col("_p"), _zero())
     b = F.coalesce(F.col("_b"), _zero())
     return sums.select(
-        *[F.col(c) for c in sums.columns if not c.startswith("_") or c in KEY_COLS.values()],
+        *[F.col(c) for c in sums.columns if not c.startswith("_") or c in KEY_COLS.values() or c in SPELLING_COLS.values()],
         q.alias("_qd"),
         F.coalesce(weighted_price("_p", "_q"), _zero()).alias("_ud"),
         F.coalesce(weighted_price_double("_p", "_q"), F.lit(0.0)).alias("_u"),
@@ -195,32 +212,38 @@ def invoice_items(sums: DataFrame, params: PricingParams = PricingParams()) -> D
     Σpricing ÷ Σquantity (0 when Σquantity is 0 or missing)."""
     priced = _priced(sums, params)
     tags = ["tags"] if "tags" in sums.columns else []
-    return _shown(priced.select(*_keys(sums), *LINE_COLS, *tags, *_amounts()), sums)
+    return priced.select(*_spelled(sums), *LINE_COLS, *tags, *_amounts())
 
 
 def invoice_subtotals(sums: DataFrame, params: PricingParams = PricingParams()) -> DataFrame:
-    """Subtotals per (meter category, subcategory) plus one grand row, via GROUPING SETS over
-    the priced lines: ``level`` is ``subtotal`` or ``total``; amounts are exact sums of the
-    line amounts (so subtotals add up to the grand row)."""
+    """Subtotals per (meter category, subcategory) plus one grand row over the priced lines:
+    ``level`` is ``subtotal`` or ``total``; amounts are exact sums of the line amounts (so
+    subtotals add up to the grand row). A batch sums the subtotals of each invoice where they
+    are; GROUPING SETS would shuffle every line twice."""
     priced = _priced(sums, params)
-    scope = _keys(sums)
     cat, sub = "meter_category", "meter_sub_category"
-    g = priced.groupingSets([[*scope, cat, sub], list(scope)], *scope, cat, sub).agg(
-        F.grouping(cat).alias("_gid"),
-        F.sum("_vd").alias("_v"),
-        F.sum("_qd").alias("_sq"),
-    )
+    if scope := _keys(sums):
+        # by the smallest spelling, not grouped by it: the rows stay in the order of the line sums
+        spelled = _smallest_spelling(True)
+        subs = priced.groupBy(*scope, cat, sub).agg(*spelled, F.lit(0).alias("_gid"), F.sum("_vd").alias("_v"), F.sum("_qd").alias("_sq"))
+        total = subs.groupBy(*scope).agg(*spelled, F.lit(1).alias("_gid"), F.sum("_v").cast(MONEY).alias("_v"), F.sum("_sq").cast(MONEY).alias("_sq"))
+        g = subs.unionByName(total, allowMissingColumns=True)
+    else:
+        g = priced.groupingSets([[cat, sub], []], cat, sub).agg(
+            F.grouping(cat).alias("_gid"),
+            F.sum("_vd").alias("_v"),
+            F.sum("_qd").alias("_sq"),
+        )
     level = F.when(F.col("_gid") == 0, F.lit("subtotal")).otherwise(F.lit("total"))
     label = F.when(
         F.col("_gid") == 0, F.concat(F.lit("Subtotal for "), label_or(sub, "Unspecified"))
     ).otherwise(F.lit("Total"))
-    parts = g.select(
-        *scope, cat, sub, level.alias("level"), label.alias("label"),
+    return g.select(
+        *_spelled(g), cat, sub, level.alias("level"), label.alias("label"),
         to_double("_v").alias("subtotal_vat_inc"),
         decimal_text("_v", 2).alias("subtotal_vat_inc_raw"),
         to_double("_sq").alias("subtotal_quantity"),
     )
-    return _shown(parts, sums)
 
 
 def _by_invoice(sums: DataFrame, *measures: Column) -> DataFrame:
