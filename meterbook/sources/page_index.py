@@ -1,6 +1,7 @@
 """Deep pages of the consumption detail: a sorted copy of the rows that knows its row counts.
 
-The copy is range-partitioned in detail order into files of a set number of rows, and a small
+The copy is range-partitioned in detail order into files of a set number of rows (many files: into
+fewer ranges that are cut into files once sorted), and a small
 index holds, for each file, how many rows come before it. A page at any depth reads the index and
 the one or two files that hold it, where an offset over the plain table sorts all rows before it.
 
@@ -18,13 +19,23 @@ from meterbook.operators.detail import detail_order
 from meterbook.operators.positions import PART, PLACE, part_starts, placed
 
 ROWS_PER_FILE = 1_000_000
+# Ranges of one shuffle up to which a task writes each range as it comes, without holding its rows
+# (spark.shuffle.sort.bypassMergeThreshold), and the rows of a range from which there are more.
+RANGES, RANGE_ROWS = 200, 2_000_000
 
 
 def build(df: DataFrame, root: str, rows_per_file: int = ROWS_PER_FILE, date_mode: str = "text") -> None:
     """Write the sorted copy of ``df`` and its index under the new folder ``root``. One shuffle."""
     spark = df.sparkSession
-    files = math.ceil(df.count() / rows_per_file)
-    rows = placed(df, detail_order(df, date_mode=date_mode), max(1, files))
+    total = df.count()
+    files = math.ceil(total / rows_per_file)
+    ranges = min(files, max(RANGES, math.ceil(total / RANGE_ROWS)))
+    if ranges * files >= 1 << 31:  # a part's number is an int
+        ranges = files
+    rows = placed(df, detail_order(df, date_mode=date_mode), max(1, ranges))
+    if ranges < files:
+        cut = F.floor(F.col(PLACE) / rows_per_file).cast("int")
+        rows = rows.withColumns({PART: F.col(PART) * files + cut, PLACE: F.col(PLACE) % rows_per_file})
     if files:
         rows.write.option("compression", "zstd").partitionBy(PART).parquet(f"{root}/rows")
     else:  # a partitioned write of no rows leaves no file, and so no schema

@@ -154,6 +154,19 @@ def test_deep_pages_open_few_files(spark, view001, tmp_path):
         page_index.page(spark, root, 0, 90)
 
 
+def test_many_files_are_cut_from_fewer_ranges(spark, tmp_path, monkeypatch):
+    """Beyond a number of ranges, files are cut from sorted ranges: of the set size exactly, but for the last of each."""
+    monkeypatch.setattr(page_index, "RANGES", 3)
+    rows = spark.range(0, 200, 1, 4).select(F.when(F.col("id") % 7 > 0, F.concat(F.lit("2024-01-0"), F.col("id") % 9)).alias("UsageDate"), F.col("id").alias("_row_id"))
+    root = str(tmp_path / "pages")
+    page_index.build(rows, root, rows_per_file=11)
+    sizes = [r["size"] for r in page_index.index(spark, root).orderBy("start").collect()]
+    assert sum(sizes) == 200 and max(sizes) == 11 and sum(n < 11 for n in sizes) <= 3
+    ordered = [r._row_id for r in rows.orderBy(*detail.detail_order(rows)).collect()]
+    got = [(r.position, r._row_id) for k in range(1, 9) for r in page_index.page(spark, root, k, 27).collect()]
+    assert got == list(enumerate(ordered, 1))
+
+
 def test_pages_of_an_empty_table(spark, view001, tmp_path):
     root = str(tmp_path / "none")
     page_index.build(view001.limit(0), root)
