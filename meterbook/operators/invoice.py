@@ -12,10 +12,10 @@ tasks before they are listed, and no string state is kept while rows are read.
 
 In a batch, invoices are compared ignoring case like the single-invoice filter. The folded
 keys stay with every intermediate result; an invoice shows the smallest spelling among all
-of its rows. The line sums of a batch deal the rows out once, by invoice: lines, their tags,
-the spelling and the subtotals then come without another shuffle. All lines of one invoice so
-meet in one task, as a sorted stream that spills; for an upload that is a single invoice ask
-for that invoice, whose lines are spread.
+of its rows. The first aggregate's rows of a batch are dealt out once, by invoice: lines, their
+tags, the spelling and the subtotals then come without another shuffle. These rows of one
+invoice so meet in one task, as a sorted stream that spills; for an upload that is a single
+invoice ask for that invoice, whose lines are spread.
 """
 
 from __future__ import annotations
@@ -73,28 +73,27 @@ def _scope(df: DataFrame) -> list[str]:
     return [c for c in SCOPE_COLS if c in df.columns]
 
 
-def _measured(base: DataFrame, period_mode: str) -> list[Column]:
-    """Exact (lenient) amounts and the first / last usage day of each row."""
+def _measures(base: DataFrame, period_mode: str) -> list[Column]:
+    """Exact (lenient) sums and the first / last usage day of a group of rows."""
     if period_mode not in ("date", "text"):
         raise ValueError("period_mode is 'date' or 'text'")
     days = [F.coalesce(F.col("UsageDate"), F.col(c)) for c in ("ChargeStartDate", "ChargeEndDate")]
     if period_mode == "date":
         days = [stored_or_parsed(base, c) for c in ("ChargeStartDate", "ChargeEndDate")]
-    amounts = [amount(base, c, strict=False) for c in ("Quantity", "PricingPreTaxTotal", "BillingPreTaxTotal")]
-    return [c.alias(n) for c, n in zip([*amounts, *days], _MEASURES)]
-
-
-def _measures(base: DataFrame, period_mode: str) -> list[Column]:
-    """Sums and the first / last usage day of a group of rows."""
-    return [f(c).alias(n) for f, c, n in zip(_MERGED, _measured(base, period_mode), _MEASURES)]
+    return [
+        F.sum(amount(base, "Quantity", strict=False)).alias("_q"),
+        F.sum(amount(base, "PricingPreTaxTotal", strict=False)).alias("_p"),
+        F.sum(amount(base, "BillingPreTaxTotal", strict=False)).alias("_b"),
+        F.min(days[0]).alias("_start"),
+        F.max(days[1]).alias("_end"),
+    ]
 
 
-_MEASURES = ("_q", "_p", "_b", "_start", "_end")
 _MERGED = [F.sum, F.sum, F.sum, F.min, F.max]
 
 
 def _merged_measures() -> list[Column]:
-    return [f(c).alias(c) for f, c in zip(_MERGED, _MEASURES)]
+    return [f(c).alias(c) for f, c in zip(_MERGED, ("_q", "_p", "_b", "_start", "_end"))]
 
 
 def _exact_scope(batch: bool) -> list[Column]:
@@ -106,9 +105,9 @@ def _folded(rows: DataFrame, batch: bool, *more: str) -> tuple[DataFrame, list[s
     explicit exchange also keeps the first aggregate in the plan where a caller needs no sums
     of it, so that no string is ever aggregated over the rows themselves."""
     keys = list(KEY_COLS.values()) if batch else []
-    folded = rows.withColumns({KEY_COLS[n]: F.lower(SPELLING_COLS[n]) for n in SCOPE_COLS}) if batch else rows
-    by = [*keys, *more]
-    return folded.repartition(*by), by
+    folded = {KEY_COLS[n]: F.lower(SPELLING_COLS[n]) for n in SCOPE_COLS} if batch else {}
+    dealt = rows.repartition(*folded.values(), *more)  # folded again after it, so that the keys do not travel
+    return (dealt.withColumns(folded) if batch else dealt), [*keys, *more]
 
 
 def _smallest_spelling(batch: bool) -> list[Column]:
@@ -128,15 +127,11 @@ def line_sums(df: DataFrame, flt: UsageFilter | None = None, batch: bool = False
     base = apply_filter(df, flt)
     line_keys = [F.col(src).alias(name) for src, name in LINE_NAMES.items()]
     tag = [blank_to_null("Tags").alias("_tag")] if with_tags else []
-    if not batch:
-        rows = base.groupBy(*line_keys, *tag).agg(*_measures(base, period_mode))
-        if not with_tags:
-            return rows
-        dealt, by = _folded(rows, batch, *LINE_COLS)
-    else:
-        rows = base.select(*_exact_scope(batch), *line_keys, *tag, *_measured(base, period_mode))
-        dealt, invoice = _folded(rows, batch)
-        by = [*invoice, *LINE_COLS]
+    rows = base.groupBy(*_exact_scope(batch), *line_keys, *tag).agg(*_measures(base, period_mode))
+    if not batch and not with_tags:
+        return rows
+    dealt, invoice = _folded(rows, batch, *([] if batch else LINE_COLS))
+    by = [*invoice, *LINE_COLS] if batch else invoice
     tags = F.nullif(F.array_join(F.array_sort(F.collect_set("_tag")), ", "), F.lit("")).alias("tags")
     lines = dealt.groupBy(*by).agg(
         *_smallest_spelling(batch), *_merged_measures(), *([tags] if with_tags else []))
