@@ -114,8 +114,9 @@ def land(
     max_mb: float | None = None,
     cluster_files: int | None = None,
     follows: int | None = None,
+    compressed: bool = False,
 ) -> Landing:
-    """Land CSV file(s) as a new version of ``upload_id`` and publish it.
+    """Land CSV file(s) (``compressed``: ``.csv.gz`` too) as a new version of ``upload_id`` and publish it.
 
     ``follows`` is the state (:func:`current`) that the new rows are meant to replace; by
     default the one at the start of the landing. If it is no longer the upload's state,
@@ -129,7 +130,7 @@ def land(
     if follows is None:
         follows = current(spark, manifest_root, upload_id)
     try:
-        rows = upload_rows(spark, paths, upload_id, header, multi_line, max_mb, cluster_files).drop(UPLOAD_ID)
+        rows = upload_rows(spark, paths, upload_id, header, multi_line, max_mb, cluster_files, compressed).drop(UPLOAD_ID)
         watched, observation = observed(rows, f"landing-{version}")
         write_rows(watched, version_path(warehouse_root, upload_id, version), "error")
     except Exception as exc:

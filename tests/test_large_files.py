@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from meterbook.operators import detail
 from meterbook.operators.positions import numbered
 from meterbook.schema import CORRUPT_RECORD
-from meterbook.sources import csv_records, page_index, usage_csv
+from meterbook.plans import catalog
+from meterbook.sources import csv_records, exports, page_index, snapshots, usage_csv
 from meterbook.sources import warehouse as wh
 
+SF001 = "/root/testdata/sf0.001"
 COLUMNS = ["CustomerName", "Tags", "Quantity"]
 
 
@@ -207,3 +209,33 @@ def test_files_of_one_line_records_are_read_by_lines(spark, tmp_path):
         assert _rows(usage_csv.read_usage_csv(spark, files)) == whole
         assert _rows(usage_csv.read_usage_csv(spark, files[0], header=COLUMNS)) == given
         assert "mapInArrow" not in usage_csv.read_usage_csv(spark, files[0])._jdf.queryExecution().toString()
+
+
+def test_compressed_uploads_keep_every_row_and_are_asked_for(spark, tmp_path):
+    rows = [(f"c{k}", ' a,"b"\nc ' if k % 3 else None, str(k)) for k in range(60)]
+    grid = spark.createDataFrame(rows, "CustomerName string, Tags string, Quantity string").coalesce(1)
+    folder = str(tmp_path / "csv")
+    before = exports.COMPRESSED_FILE_ROWS
+    exports.COMPRESSED_FILE_ROWS = 25
+    try:
+        exports.write_grid_csv(grid, folder, compressed=True)
+    finally:
+        exports.COMPRESSED_FILE_ROWS = before
+    assert len(list((tmp_path / "csv").glob("*.csv.gz"))) == 3  # no file larger than that
+    assert not usage_csv.list_usage_files(spark, folder).where("accepted").count()
+    roots = str(tmp_path / "w"), str(tmp_path / "m")
+    with pytest.raises(ValueError, match="not a .csv file"):
+        wh.land_upload(spark, folder, *roots, 1)
+    for split in ("64", "128m"):  # smaller than a file: it is still read whole
+        with split_size(spark, split):
+            assert wh.land_upload(spark, folder, *roots, 1, compressed=True).row_count == 60
+            snapshots.land(spark, folder, *roots, 2, compressed=True)
+        assert _rows(wh.read_uploads(spark, roots[0], 1)) == sorted(((*r, None) for r in rows), key=str)
+        assert snapshots.read(spark, *roots).count() == 60
+
+
+def test_landed_queries_write_compressed_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(catalog, "shared_dir", lambda _, name: str(tmp_path / name.split("-")[0]))
+    base, _ = catalog._two_uploads(spark, SF001)
+    names = [f.name for part in ("hours", "units") for f in (tmp_path / "landed" / part).glob("part-*")]
+    assert names and all(n.endswith(".csv.gz") for n in names)

@@ -12,6 +12,7 @@ from meterbook import PricingParams, UsageFilter, invoice_scope
 from meterbook.operators import choices, detail, invoice, ranking, summary
 from meterbook.schema import USAGE_COLUMNS
 from meterbook.sources import exports, warehouse as wh
+from meterbook.sources.fixture import billing_view
 
 P = PricingParams(56.25, 0.85, 1.12)
 
@@ -132,3 +133,11 @@ def test_dashboard_refresh_is_one_scan(landed):
     text = plan(dashboard_rollup(up))
     assert len(re.findall(r"^\(\d+\) Scan parquet", text, re.M)) == 1
     assert "Expand" in text and "SortAggregate" not in text
+
+
+def test_a_unit_filter_cuts_rows_before_the_join_with_orders(spark):
+    hours = billing_view(spark, "/root/testdata/sf0.001").where(F.col("Unit") == "1 Hour")
+    tree = hours._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in tree.splitlines() if "Join Inner" in line]
+    at = next(k for k, line in enumerate(joins) if "l_partkey" in line)
+    assert "l_orderkey" in joins[0] and at > 0  # lower in the tree: joined before
