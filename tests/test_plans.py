@@ -136,7 +136,7 @@ def test_dashboard_refresh_is_one_scan(landed):
 
 
 def test_a_unit_filter_cuts_rows_before_the_join_with_orders(spark):
-    hours = billing_view(spark, "/root/testdata/sf0.001").where(F.col("Unit") == "1 Hour")
+    hours = billing_view(spark, "/root/testdata/sf0.01").where(F.col("Unit") == "1 Hour")
     tree = hours._jdf.queryExecution().optimizedPlan().toString()
     joins = [line for line in tree.splitlines() if "Join Inner" in line]
     at = next(k for k, line in enumerate(joins) if "l_partkey" in line)
