@@ -31,6 +31,7 @@ import math
 import random
 import zlib
 from collections.abc import Iterator
+from operator import attrgetter, itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -97,28 +98,45 @@ def bound(lengths: list[int], capacity: int) -> int:
     return best
 
 
+class Filled(list):
+    """A sequence that knows its fill. Individuals share it, so it never changes once it is in one."""
+
+    __slots__ = ("fill",)
+
+
+_FILL = attrgetter("fill")
+
+
 class Block:
     """The packing problem of one block, and individuals as lists of sequences of places."""
 
     def __init__(self, lengths: list[int], capacity: int):
         self.lengths, self.capacity, self.bound = lengths, capacity, bound(lengths, capacity)
 
-    def fill(self, sequence: Sequence) -> int:
-        return sum(map(self.lengths.__getitem__, sequence))
+    def filled(self, individual: list[Sequence]) -> list[Filled]:
+        """The individual with the fill of each sequence."""
+        out = []
+        for s in individual:
+            if type(s) is not Filled:
+                s = Filled(s)
+                s.fill = sum(map(self.lengths.__getitem__, s))
+            out.append(s)
+        return out
 
     def worth(self, individual: list[Sequence]) -> tuple[int, int]:
         """Fewer sequences first, then the one with fuller and emptier sequences."""
-        return len(individual), -sum(self.fill(s) ** 2 for s in individual)
+        return len(individual), -sum(s.fill * s.fill for s in self.filled(individual))
 
     def best_fit(self, individual: list[Sequence], loose: Sequence) -> list[Sequence]:
         """Put each loose piece, longest first, where it leaves the least room."""
-        out = [s[:] for s in individual]
-        holders: list[list[int]] = [[] for _ in range(self.capacity + 1)]
-        rooms = 0  # one bit for each amount of room that some sequence has
+        out = self.filled(individual)
+        holders: dict[int, list[int]] = {}
         for k, s in enumerate(out):
-            room = self.capacity - self.fill(s)
-            holders[room].append(k)
+            holders.setdefault(self.capacity - s.fill, []).append(k)
+        rooms = 0  # one bit for each amount of room that some sequence has
+        for room in holders:
             rooms |= 1 << room
+        own: dict[int, Filled] = {}
         for p in sorted(loose, key=self.lengths.__getitem__, reverse=True):
             length = self.lengths[p]
             enough = rooms >> length
@@ -127,17 +145,24 @@ class Block:
                 k = holders[room].pop()
                 if not holders[room]:
                     rooms ^= 1 << room
-                out[k].append(p)
+                s = own.get(k)
+                if s is None:
+                    own[k] = out[k] = s = Filled(out[k])
+                s.append(p)
             else:
                 room, k = self.capacity, len(out)
-                out.append([p])
-            holders[room - length].append(k)
-            rooms |= 1 << (room - length)
+                own[k] = s = Filled([p])
+                out.append(s)
+            room -= length
+            s.fill = self.capacity - room
+            holders.setdefault(room, []).append(k)
+            rooms |= 1 << room
         return out
 
     def crossed(self, one: list[Sequence], other: list[Sequence], rng: random.Random) -> list[Sequence]:
         """``one`` with well-filled sequences of ``other`` injected."""
-        full = sorted(other, key=self.fill, reverse=True)[: max(1, len(other) // 2)]
+        one = self.filled(one)
+        full = sorted(self.filled(other), key=_FILL, reverse=True)[: max(1, len(other) // 2)]
         injected = rng.sample(full, rng.randint(1, max(1, len(full) // 2)))
         held = {p for s in injected for p in s}
         kept = [s for s in one if held.isdisjoint(s)]
@@ -146,7 +171,8 @@ class Block:
 
     def mutated(self, one: list[Sequence], rng: random.Random) -> list[Sequence]:
         """``one`` with its emptiest sequences, and a few others, packed again."""
-        by_fill = sorted(one, key=self.fill)
+        one = self.filled(one)
+        by_fill = sorted(one, key=_FILL)
         n = max(1, min(len(one), 2 + len(one) // 20))
         out = by_fill[:n] + rng.sample(by_fill[n:], min(n, len(one) - n))
         gone = {id(s) for s in out}
@@ -163,8 +189,9 @@ class Block:
             some = rng.sample(everything, len(everything) // 2)
             chosen = set(some)
             population.append(self.best_fit(self.best_fit([], some), [p for p in everything if p not in chosen]))
-        population = sorted(population, key=self.worth)[:POPULATION]
+        ranked = sorted(((self.worth(x), x) for x in map(self.filled, population)), key=itemgetter(0))[:POPULATION]
         for _ in range(GENERATIONS):
+            population = [x for _, x in ranked]
             if len(population[0]) <= self.bound:
                 break
             children = []
@@ -172,8 +199,8 @@ class Block:
                 a, b = (min(rng.sample(range(len(population)), 2)) for _ in range(2))
                 child = self.crossed(population[a], population[b], rng)
                 children.append(self.mutated(child, rng) if rng.random() < 0.5 else child)
-            population = sorted(population + children, key=self.worth)[:POPULATION]
-        return population
+            ranked = sorted([*ranked, *((self.worth(x), x) for x in children)], key=itemgetter(0))[:POPULATION]
+        return [x for _, x in ranked]
 
 
 def _dump(individual: list[Sequence], n: int) -> bytes:

@@ -114,27 +114,29 @@ def _gather(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndar
 
 
 class WordCache:
-    """Ids of the words seen last: the words as one Arrow array, their ids as one flat array."""
+    """Ids of the words seen last: the place of each word, in the order of places, and their ids as
+    one flat array."""
 
     def __init__(self, kind: str):
-        self.words = pa.array([], pa.large_binary())
+        self.words: dict[str, int] = {}
         self.flat, self.starts, self.counts = np.zeros(0, kind), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.used, self.clock = np.zeros(0, np.int64), 0
 
-    def find(self, words: pa.Array) -> np.ndarray:
+    def find(self, words: list[str]) -> np.ndarray:
         """The place of each word, -1 if it is not here."""
         self.clock += 1
-        found = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        found = np.fromiter(map(self.words.get, words, itertools.repeat(-1)), np.int64, len(words))
         self.used[found[found >= 0]] = self.clock
         return found
 
-    def add(self, words: pa.Array, flat: np.ndarray, counts: np.ndarray) -> None:
-        """Keep these words too, after making room for them."""
+    def add(self, words: list[str], flat: np.ndarray, counts: np.ndarray) -> None:
+        """Keep these words, which are not here, too, after making room for them."""
         if len(self.words) + len(words) > CACHE_WORDS and len(self.words):
             keep = np.sort(np.argsort(-self.used, kind="stable")[: max(0, min(CACHE_WORDS // 2, CACHE_WORDS - len(words)))])
-            self.words = self.words.take(pa.array(keep))
+            old = list(self.words)
+            self.words = {old[k]: place for place, k in enumerate(keep.tolist())}
             self.flat, self.counts, self.used = _gather(self.flat, self.starts[keep], self.counts[keep]), self.counts[keep], self.used[keep]
-        self.words = pa.concat_arrays([self.words, words])
+        self.words.update(zip(words, itertools.count(len(self.words)), strict=False))
         self.flat, self.counts = np.concatenate([self.flat, flat]), np.concatenate([self.counts, counts])
         self.used = np.concatenate([self.used, np.full(len(words), self.clock)])
         self.starts = _starts(self.counts)[:-1]
@@ -142,8 +144,8 @@ class WordCache:
 
 class WordEncoder:
     """Encodes texts with a tokenizer whose pre-tokens never cross white space: a block's bytes are
-    cut into words, made distinct and looked up as arrays, and only what the bounded cache does not
-    hold is encoded, by the tokenizer itself.
+    cut into words without the white space between them and made distinct as arrays, and only what
+    the bounded cache does not hold is encoded, by the tokenizer itself.
 
     For a tokenizer with the normalizer and the pre-tokenizer named above, words of plain letters,
     digits and ASCII signs without an apostrophe are cut into its pre-tokens, and its model alone
@@ -167,46 +169,63 @@ class WordEncoder:
             self.model = Tokenizer.from_str(self.tokenizer.to_str())
             self.model.normalizer = None
             self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ends = self._ends(form["model"])
+
+    def _ends(self, model: dict) -> np.ndarray | None:
+        """For a model that marks the ends of pre-tokens: whether each id is at the end of one."""
+        from tokenizers import pre_tokenizers
+
+        suffix, vocab = model.get("end_of_word_suffix"), model.get("vocab")
+        if self.model is None or not suffix or not all(c + suffix in vocab for c in pre_tokenizers.ByteLevel.alphabet()):
+            return None
+        ends = np.zeros(1 + max(vocab.values()), bool)
+        ends[[k for t, k in vocab.items() if t.endswith(suffix)]] = True
+        return ends
 
     def _by_model(self, pieces: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """The ids of pre-tokens by the tokenizer's model, and how many each has."""
         flat, counts = [], []
         for at in range(0, len(pieces), 1000):
             mine = pieces[at : at + 1000]
-            found = self.model.encode(" ".join(mine), add_special_tokens=False)
-            flat.append(np.array(found.ids, self.kind))
-            counts.append(np.bincount(found.word_ids, minlength=len(mine)))
+            joined = " ".join(mine)
+            if self.ends is not None:
+                ids = np.array(self.model.encode_batch_fast([joined], add_special_tokens=False)[0].ids, self.kind)
+                n = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+            if self.ends is None or len(n) != len(mine) or n.sum() != len(ids):
+                found = self.model.encode(joined, add_special_tokens=False)
+                ids, n = np.array(found.ids, self.kind), np.bincount(found.word_ids, minlength=len(mine))
+            flat.append(ids)
+            counts.append(n)
         return flat, counts
 
-    def _ids(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of pieces, flat, and how many each has."""
-        texts = [p.strip(_SPACES).decode() if not self.spaced else p.decode() for p in pieces]
-        of = dict.fromkeys(texts, 0)
-        plain = [t for t in of if t and self.model is not None and _PLAIN.fullmatch(t)]
-        flat, counts = self._by_model(plain)
-        seen = set(plain)
-        rest = [t for t in of if t and t not in seen]
-        for at in range(0, len(rest), ENCODE_WORDS):
-            found = [x.ids for x in self.tokenizer.encode_batch_fast(rest[at : at + ENCODE_WORDS], add_special_tokens=False)]
+    def _ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct pieces, flat, and how many each has."""
+        plain = np.fromiter((_PLAIN.fullmatch(t) is not None for t in pieces), bool, len(pieces)) if self.model is not None else np.zeros(len(pieces), bool)
+        flat, counts = self._by_model(list(itertools.compress(pieces, plain)))
+        others = [k for k in np.flatnonzero(~plain).tolist() if pieces[k]]
+        for at in range(0, len(others), ENCODE_WORDS):
+            found = [x.ids for x in self.tokenizer.encode_batch_fast([pieces[k] for k in others[at : at + ENCODE_WORDS]], add_special_tokens=False)]
             flat.append(np.fromiter(itertools.chain.from_iterable(found), self.kind))
             counts.append(np.fromiter(map(len, found), np.int64, len(found)))
-        of.update(zip([*plain, *rest], itertools.count(1), strict=False))  # place 0: no ids
-        flat, counts = np.concatenate([np.zeros(0, self.kind), *flat]), np.concatenate([np.zeros(1, np.int64), *counts]).astype(np.int64)
-        place = np.fromiter((of[t] for t in texts), np.int64, len(texts))
-        return _gather(flat, _starts(counts)[place], counts[place]), counts[place]
+        flat, counts = np.concatenate([np.zeros(0, self.kind), *flat]), np.concatenate([np.zeros(0, np.int64), *counts]).astype(np.int64)
+        place = np.concatenate([np.flatnonzero(plain), np.array(others, np.int64)])
+        starts, n = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        starts[place], n[place] = _starts(counts)[:-1], counts
+        return (_gather(flat, starts, n) if others else flat), n
 
     def _cuts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The (folded) bytes of texts, where each piece starts, and the text of each piece.
+        """The (folded) bytes of texts without white space, where each piece starts, and how many
+        pieces stand before each text and in all.
 
-        A piece is a word with the white space after it, or a pre-token of a plain one. The strings
-        of added tokens have ids of their own: words of a text with one, in any case, are neither
-        folded nor cut, and no text is split if white space belongs to some."""
+        A piece is a word or a pre-token of a plain one, an empty one the white space that a text
+        begins with. The strings of added tokens have ids of their own: words of a text with one, in
+        any case, are neither folded nor cut, and no text is split if white space belongs to some."""
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
         raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
         offsets = offsets - offsets[0]
         first = np.unique(offsets[:-1][np.diff(offsets) > 0])
         if self.spaced or not len(raw):
-            return raw, first, np.searchsorted(offsets, first, "right") - 1
+            return raw, first, np.searchsorted(first, offsets)
         own = pa.array(np.zeros(len(texts), bool))
         for c in self.added:
             own = pc.or_(own, pc.match_substring(texts, c, ignore_case=True))
@@ -215,8 +234,10 @@ class WordEncoder:
         if self.folds:
             data = _folded(raw)
             # combining marks may compose with a small letter and not with the capital one
-            marked = pc.match_substring_regex(texts, "[\u0300-\u036f]").to_numpy(zero_copy_only=False)
-            for k in np.flatnonzero(own | marked):
+            marked = own
+            if (raw == 0xCC).any() or (raw == 0xCD).any():
+                marked = own | pc.match_substring_regex(texts, "[\u0300-\u036f]").to_numpy(zero_copy_only=False)
+            for k in np.flatnonzero(marked):
                 data[offsets[k] : offsets[k + 1]] = raw[offsets[k] : offsets[k + 1]]
         kind = _mapped(data, _ONE_TABLE)
         lead = np.flatnonzero((data[:-1] >= 0xC3) & (data[:-1] <= 0xC5))
@@ -238,27 +259,34 @@ class WordEncoder:
         number = np.cumsum(word)
         whole = np.zeros(number[-1] + 1, bool)
         whole[number[of == _OTHER] if self.model is not None else number] = True
-        starts = runs[word | (solid & ~whole[number])]
-        return data, starts, np.searchsorted(offsets, starts, "right") - 1
+        cut = np.flatnonzero(word | (solid & ~whole[number]))
+        starts, last = runs[cut], cut - 1
+        # the white space before a piece is one run; the first piece, whose last is no run, has none
+        gaps = (starts - runs[last]) * ~solid[last]
+        gaps[0] = 0
+        left = np.frombuffer(data.tobytes().translate(None, _SPACES), np.uint8)
+        return left, starts - np.cumsum(gaps), np.searchsorted(starts, offsets)
 
     def block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of a block of texts (large strings without nulls), flat, and how many each has."""
-        data, at, text = self._cuts(texts)
+        data, at, before = self._cuts(texts)
         offsets = np.append(at, len(data))
-        places = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
-        pieces, size = places.dictionary, pc.binary_length(places.dictionary).to_numpy()
+        places = pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        size, pieces = pc.binary_length(places.dictionary).to_numpy(), places.dictionary.to_numpy(zero_copy_only=False).tolist()
         found = self.cache.find(pieces)
         starts, counts = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
         known = found >= 0
         starts[known], counts[known] = self.cache.starts[found[known]], self.cache.counts[found[known]]
         missing = np.flatnonzero(~known)
-        flat, n = self._ids(pieces.take(pa.array(missing)).to_pylist())
+        new = list(itertools.compress(pieces, ~known))
+        flat, n = self._ids(new)
         starts[missing], counts[missing] = len(self.cache.flat) + _starts(n)[:-1], n
         place = places.indices.to_numpy()
-        out = _gather(np.concatenate([self.cache.flat, flat]), starts[place], counts[place])
+        size_of = counts[place]
+        out = _gather(np.concatenate([self.cache.flat, flat]), starts[place], size_of)
         short = np.flatnonzero(size[missing] <= CACHE_WORD_BYTES)[:CACHE_WORDS]
-        self.cache.add(pieces.take(pa.array(missing[short])), _gather(flat, _starts(n)[short], n[short]), n[short])
-        return out, np.bincount(text, counts[place], len(texts)).astype(np.int64)
+        self.cache.add([new[k] for k in short.tolist()], _gather(flat, _starts(n)[short], n[short]), n[short])
+        return out, np.diff(_starts(size_of)[before])
 
 
 @lru_cache(maxsize=2)

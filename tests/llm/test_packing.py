@@ -101,6 +101,25 @@ def test_individuals_stay_whole(lengths, seed):
         assert all(sum(lengths[p] for p in s) <= 30 for s in new) and len(new) >= block.bound
 
 
+def test_what_stays_in_place_is_not_summed_again():
+    class Read(list):
+        n = 0
+
+        def __getitem__(self, k):
+            Read.n += 1
+            return super().__getitem__(k)
+
+    rng = random.Random(2)
+    block = packing.Block(Read(rng.randint(1, 30) for _ in range(300)), 100)
+    one = block.best_fit([], list(range(290)))
+    whole, Read.n = [s[:] for s in one], 0
+    new = block.best_fit(one, list(range(290, 300)))
+    block.worth(new), block.worth(one)
+    assert Read.n <= 20  # ten pieces, sorted and placed
+    assert one == whole and sorted(p for s in new for p in s) == list(range(300))
+    assert [s.fill for s in new] == [sum(block.lengths[p] for p in s) for s in new]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 12), min_size=1, max_size=8))
 def test_bound_never_exceeds_the_optimum(lengths):

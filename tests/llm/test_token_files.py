@@ -47,6 +47,24 @@ def test_small_cache_small_blocks_and_long_texts(monkeypatch):
     assert encoded(texts) == [ids_of(t) for t in texts]
 
 
+def test_words_are_kept_once_whatever_white_space_follows():
+    encoder = token_files.WordEncoder(PATH)
+    texts = ["one one\n one  one", " \t", "\n One.one 7 é\r\n", "", "one \n"]
+    ids, counts = encoder.block(pa.array(texts, pa.large_string()))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts))[:-1]] == [ids_of(t) for t in texts]
+    assert {w for w in encoder.cache.words if w} == {"one", ".", "7", "é"}
+
+
+def test_ends_of_words_are_known_by_their_ids():
+    encoder, words = token_files.WordEncoder(PATH), ["a", "thereupon", "</", ">", "</>", "w", "éßſ"[:2], "xqzjv", "7", "unbelievableness"]
+    assert encoder.ends is not None and encoder.ends.sum() >= 256
+    want = [ids_of(w) for w in words]
+    for ends in (encoder.ends, None, np.zeros_like(encoder.ends), np.ones_like(encoder.ends)):  # wrong ones are noticed
+        encoder.ends = ends
+        flat, counts = encoder._by_model(words)
+        assert [x.tolist() for x in np.split(np.concatenate(flat), np.cumsum(np.concatenate(counts)))[:-1]] == want
+
+
 def test_other_tokenizers_take_whole_words(monkeypatch, tmp_path):
     from tokenizers import normalizers
 
