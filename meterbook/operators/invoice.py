@@ -16,6 +16,10 @@ of its rows. The first aggregate's rows of a batch are dealt out once, by invoic
 tags, the spelling and the subtotals then come without another shuffle. These rows of one
 invoice so meet in one task, as a sorted stream that spills; for an upload that is a single
 invoice ask for that invoice, whose lines are spread.
+
+That first aggregate costs a shuffle of its own, which pays where a line sums several rows. Where
+most lines are one row it moves every row twice; ``rows_first`` deals the rows themselves out by
+invoice, once, and aggregates them there.
 """
 
 from __future__ import annotations
@@ -32,9 +36,10 @@ from meterbook.functions.numbers import (
     MONEY, amount, decimal_text, export_number, priced_decimal, to_double, weighted_price,
     weighted_price_double,
 )
-from meterbook.functions.text import blank_to_null, first_usable, label_or
+from meterbook.functions.text import blank_to_null, first_usable, label_or, packed, unpacked
 from meterbook.operators.filters import UsageFilter, apply_filter
 from meterbook.params import PricingParams
+from meterbook.schema import AMOUNT_COLUMNS, DECIMAL_SUFFIX
 
 # Output names of the line keys (schema.INVOICE_KEYS) and the batch scope keys
 # (schema.INVOICE_SCOPE_KEYS).
@@ -73,13 +78,18 @@ def _scope(df: DataFrame) -> list[str]:
     return [c for c in SCOPE_COLS if c in df.columns]
 
 
-def _measures(base: DataFrame, period_mode: str) -> list[Column]:
-    """Exact (lenient) sums and the first / last usage day of a group of rows."""
+def _days(base: DataFrame, period_mode: str) -> list[Column]:
+    """The days of a row that count for the start and for the end of the period."""
     if period_mode not in ("date", "text"):
         raise ValueError("period_mode is 'date' or 'text'")
-    days = [F.coalesce(F.col("UsageDate"), F.col(c)) for c in ("ChargeStartDate", "ChargeEndDate")]
     if period_mode == "date":
-        days = [stored_or_parsed(base, c) for c in ("ChargeStartDate", "ChargeEndDate")]
+        return [stored_or_parsed(base, c) for c in ("ChargeStartDate", "ChargeEndDate")]
+    return [F.coalesce(F.col("UsageDate"), F.col(c)) for c in ("ChargeStartDate", "ChargeEndDate")]
+
+
+def _measures(base: DataFrame, period_mode: str) -> list[Column]:
+    """Exact (lenient) sums and the first / last usage day of a group of rows."""
+    days = _days(base, period_mode)
     return [
         F.sum(amount(base, "Quantity", strict=False)).alias("_q"),
         F.sum(amount(base, "PricingPreTaxTotal", strict=False)).alias("_p"),
@@ -110,12 +120,30 @@ def _folded(rows: DataFrame, batch: bool, *more: str) -> tuple[DataFrame, list[s
     return (dealt.withColumns(folded) if batch else dealt), [*keys, *more]
 
 
+def _rows_by_invoice(base: DataFrame, with_tags: bool, period_mode: str) -> tuple[DataFrame, list[str]]:
+    """The rows dealt out by the folded invoice keys, in the columns of the first aggregate's rows,
+    and the names of those keys. The line keys, tags and amounts of a row travel as one text (amounts
+    that are stored parsed as they are); its days on their own, as not every caller needs them."""
+    start, end = _days(base, period_mode)
+    keys = [F.col(src).alias(name) for src, name in LINE_NAMES.items()]
+    tag = [blank_to_null("Tags").alias("_tag")] if with_tags else []
+    amounts = [c for c in AMOUNT_COLUMNS if c + DECIMAL_SUFFIX not in base.columns]
+    stored = [c + DECIMAL_SUFFIX for c in AMOUNT_COLUMNS if c not in amounts]
+    texts = [*LINE_COLS, *(["_tag"] if with_tags else []), *amounts]
+    wide = base.select(*_exact_scope(True), *keys, *tag, *amounts, *stored, start.alias("_start"), end.alias("_end"))
+    narrow = wide.select(*SPELLING_COLS.values(), packed(texts).alias("_texts"), *stored, "_start", "_end")
+    dealt, invoice = _folded(narrow, True)
+    rows = unpacked(dealt, "_texts", texts)
+    sums = {n: amount(rows, c, strict=False) for n, c in zip(("_q", "_p", "_b"), AMOUNT_COLUMNS)}
+    return rows.withColumns(sums).drop(*amounts, *stored), invoice
+
+
 def _smallest_spelling(batch: bool) -> list[Column]:
     return [F.min(SPELLING_COLS[n]).alias(SPELLING_COLS[n]) for n in SCOPE_COLS] if batch else []
 
 
 def line_sums(df: DataFrame, flt: UsageFilter | None = None, batch: bool = False, with_tags: bool = True,
-              period_mode: str = "date") -> DataFrame:
+              period_mode: str = "date", rows_first: bool = False) -> DataFrame:
     """Per invoice line: exact (lenient) sums of quantity, pricing and billing, the distinct
     non-blank tags, and the first / last usage day; in a ``batch`` also the folded invoice
     keys and the invoice's smallest spelling of each.
@@ -123,14 +151,23 @@ def line_sums(df: DataFrame, flt: UsageFilter | None = None, batch: bool = False
     ``period_mode="date"`` takes the earliest / latest readable usage date (chronological
     order, fixed-width buffers). ``"text"`` compares the date text as strings, like a
     VARCHAR column; string buffers then need a sort- or object-based aggregate.
+
+    ``rows_first`` shuffles every row of a batch once, however few rows a line sums; without it
+    the sums of equal rows are shuffled twice, which is less where a line sums several rows.
     """
     base = apply_filter(df, flt)
+    if batch and rows_first:
+        return _lines(*_rows_by_invoice(base, with_tags, period_mode), batch, with_tags)
     line_keys = [F.col(src).alias(name) for src, name in LINE_NAMES.items()]
     tag = [blank_to_null("Tags").alias("_tag")] if with_tags else []
     rows = base.groupBy(*_exact_scope(batch), *line_keys, *tag).agg(*_measures(base, period_mode))
     if not batch and not with_tags:
         return rows
-    dealt, invoice = _folded(rows, batch, *([] if batch else LINE_COLS))
+    return _lines(*_folded(rows, batch, *([] if batch else LINE_COLS)), batch, with_tags)
+
+
+def _lines(dealt: DataFrame, invoice: list[str], batch: bool, with_tags: bool) -> DataFrame:
+    """The lines of rows, or of sums of equal rows, that are dealt out by invoice (or else by line)."""
     by = [*invoice, *LINE_COLS] if batch else invoice
     tags = F.nullif(F.array_join(F.array_sort(F.collect_set("_tag")), ", "), F.lit("")).alias("tags")
     lines = dealt.groupBy(*by).agg(

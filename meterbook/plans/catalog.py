@@ -99,8 +99,8 @@ def q_invoice_list(spark, sf_dir):
     return choices.invoice_list(_view(spark, sf_dir), limit=INVOICE_LIST_LIMIT)
 
 
-def _sums(spark, sf_dir, batch=False, with_tags=True):
-    return invoice.line_sums(_view(spark, sf_dir), batch=batch, with_tags=with_tags)
+def _sums(spark, sf_dir, batch=False, with_tags=True, rows_first=False):
+    return invoice.line_sums(_view(spark, sf_dir), batch=batch, with_tags=with_tags, rows_first=rows_first)
 
 
 def q_invoice_lines(spark, sf_dir):
@@ -166,7 +166,7 @@ def q_strategy_pricing(spark, sf_dir):
 
 
 def q_invoice_batch(spark, sf_dir):
-    return invoice.invoice_items(_sums(spark, sf_dir, batch=True), PARAMS)
+    return invoice.invoice_items(_sums(spark, sf_dir, batch=True, rows_first=True), PARAMS)
 
 
 def q_invoice_batch_totals(spark, sf_dir):

@@ -180,3 +180,12 @@ def test_amounts_from_ten_to_the_fourteenth_on(spark):
 def test_unusable_invoice_rates_take_their_fallbacks(value):
     assert PricingParams(value, value, value).for_invoice() == (Decimal(1), Decimal(1), Decimal("1.12"))
     assert PricingParams("2.5", 1e-3, " 7 ").for_invoice() == (Decimal("2.5"), Decimal("0.001"), Decimal(7))
+
+
+def test_packed_texts_come_back(spark):
+    rows = [("a", None, ""), (None, None, None), ("", "", ""), ("\x1e", "\x1f", "\x1d"), ("\x1d1", "\x1d\x1d0\x1f\x1e", "x\x1fy\n"), ("é,\"", " ", "\x1d2\x1e")]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, a string, b string, c string")
+    narrow = df.select("k", text.packed(["c", "a", "b"]).alias("t"))
+    assert len({r.t for r in narrow.collect()}) == len(rows)
+    back = text.unpacked(narrow, "t", ["c", "a", "b"]).orderBy("k").select("a", "b", "c")
+    assert [tuple(r) for r in back.collect()] == rows
