@@ -178,7 +178,7 @@ def q_invoice_batch_period(spark, sf_dir):
 
 
 def q_invoice_batch_subtotals(spark, sf_dir):
-    return invoice.invoice_subtotals(_sums(spark, sf_dir, batch=True, with_tags=False), PARAMS)
+    return invoice.invoice_subtotals(_sums(spark, sf_dir, batch=True, with_tags=False, rows_first=True), PARAMS)
 
 
 def q_invoice_csv_rows(spark, sf_dir):
