@@ -38,6 +38,12 @@ def session_conf(spark: SparkSession, name: str, value: str) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def shuffles_removed(spark: SparkSession):
+    """Within the block the shuffle files of a job go when it ends. Otherwise they stay until the
+    driver happens to collect its garbage, beside the files of the next steps."""
+    return session_conf(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A folder under the cluster's shared ``spark.checkpoint.dir``.
 
@@ -49,3 +55,9 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         spark.sparkContext.setCheckpointDir(base)
     base = base.rstrip("/")
     return f"{base}/{name}" if "://" in base else os.path.join(base, name)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder of files between two steps, wherever it is."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

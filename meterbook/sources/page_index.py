@@ -15,8 +15,11 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meterbook.functions.text import packed, unpacked
 from meterbook.operators.detail import detail_order
 from meterbook.operators.positions import PART, PLACE, part_starts, placed
+from meterbook.schema import ROW_ID, UPLOAD_ID
+from meterbook.session import remove_folder, shuffles_removed
 
 ROWS_PER_FILE = 1_000_000
 # Ranges of one shuffle up to which a task writes each range as it comes, without holding its rows
@@ -25,14 +28,32 @@ RANGES, RANGE_ROWS = 200, 2_000_000
 
 
 def build(df: DataFrame, root: str, rows_per_file: int = ROWS_PER_FILE, date_mode: str = "text") -> None:
-    """Write the sorted copy of ``df`` and its index under the new folder ``root``. One shuffle."""
+    """Write the sorted copy of ``df`` and its index under the new folder ``root``. One shuffle.
+
+    The rows are first written as they come: counted, sampled and sorted from there, they are
+    worked out once, and the shuffles that they took are gone before the one that sorts them."""
     spark = df.sparkSession
+    staged = f"{root}/staged"
+    with shuffles_removed(spark):
+        df.write.option("compression", "zstd").parquet(staged)
+        _write_sorted(spark.read.schema(df.schema).parquet(staged), root, rows_per_file, date_mode)
+    remove_folder(spark, staged)
+    starts = part_starts(spark.read.parquet(f"{root}/rows"))
+    schema = f"{PART} int, start long, size long"
+    spark.createDataFrame(starts, schema).coalesce(1).write.parquet(f"{root}/index")  # written last: a folder without it is not an index
+
+
+def _write_sorted(df: DataFrame, root: str, rows_per_file: int, date_mode: str) -> None:
     total = df.count()
     files = math.ceil(total / rows_per_file)
     ranges = min(files, max(RANGES, math.ceil(total / RANGE_ROWS)))
     if ranges * files >= 1 << 31:  # a part's number is an int
         ranges = files
-    rows = placed(df, detail_order(df, date_mode=date_mode), max(1, ranges))
+    texts = [c for c, kind in df.dtypes if kind == "string" and c not in ("UsageDate", UPLOAD_ID, ROW_ID)]  # not those of the order
+    narrow = df.select(*[c for c in df.columns if c not in texts], packed(texts).alias("_texts")) if texts else df
+    rows = placed(narrow, detail_order(narrow, date_mode=date_mode), max(1, ranges))
+    if texts:
+        rows = unpacked(rows, "_texts", texts).select(*df.columns, PART, PLACE)
     if ranges < files:
         cut = F.floor(F.col(PLACE) / rows_per_file).cast("int")
         rows = rows.withColumns({PART: F.col(PART) * files + cut, PLACE: F.col(PLACE) % rows_per_file})
@@ -40,9 +61,6 @@ def build(df: DataFrame, root: str, rows_per_file: int = ROWS_PER_FILE, date_mod
         rows.write.option("compression", "zstd").partitionBy(PART).parquet(f"{root}/rows")
     else:  # a partitioned write of no rows leaves no file, and so no schema
         rows.drop(PART).write.parquet(f"{root}/rows/{PART}=0")
-    starts = part_starts(spark.read.parquet(f"{root}/rows"))
-    schema = f"{PART} int, start long, size long"
-    spark.createDataFrame(starts, schema).coalesce(1).write.parquet(f"{root}/index")  # written last: a folder without it is not an index
 
 
 def index(spark: SparkSession, root: str) -> DataFrame:

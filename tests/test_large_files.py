@@ -169,6 +169,26 @@ def test_many_files_are_cut_from_fewer_ranges(spark, tmp_path, monkeypatch):
     assert got == list(enumerate(ordered, 1))
 
 
+def test_rows_of_an_index_are_worked_out_once(spark, tmp_path):
+    """Counted, sampled and sorted from a copy, which goes; texts of any kind come through the sorting."""
+    seen = spark.sparkContext.accumulator(0)
+    odd = [None, "", "\x1e", "\x1f", "\x1d1", "é\n,", " b "]
+
+    def tag(k):
+        seen.add(1)
+        return odd[k % len(odd)]
+
+    rows = spark.range(0, 300, 1, 3).select(F.concat(F.lit("2024-01-0"), F.col("id") % 9).alias("UsageDate"), F.col("id").alias("_row_id"),
+                                            F.udf(tag, "string")("id").alias("Tags"), F.lit(None).cast("string").alias("Unit"), (F.col("id") / 7).alias("share"))
+    root = str(tmp_path / "pages")
+    page_index.build(rows, root, rows_per_file=40)
+    assert seen.value == 300
+    assert sorted(p.name for p in (tmp_path / "pages").iterdir()) == ["index", "rows"]
+    got = page_index.page(spark, root, 1, 300)
+    assert got.columns == [*rows.columns, "position"]
+    assert sorted(got.drop("position").collect(), key=lambda r: r._row_id) == sorted(rows.collect(), key=lambda r: r._row_id)
+
+
 def test_pages_of_an_empty_table(spark, view001, tmp_path):
     root = str(tmp_path / "none")
     page_index.build(view001.limit(0), root)
